@@ -215,3 +215,9 @@ def hash_cut(df: DataFrame, key: Column, n: int, collect_rows=COLLECT_ROWS):
             return rows[left - 1]
         if width >= 30:
             raise ValueError("the ordering key is not unique")
+
+
+def keep_keys(big: DataFrame, wanted: DataFrame, on) -> DataFrame:
+    """Rows of `big` whose keys occur in `wanted`; cuts a large table before it is joined."""
+    on = [on] if isinstance(on, str) else list(on)
+    return lookup_join(big, wanted.select(*on).distinct(), on, "left_semi")
