@@ -21,6 +21,7 @@ ROWS_PER_BUCKET = 200_000
 MAX_BUCKETS = 16_384
 COLLECT_ROWS = 10_000
 HEX_STEP = 3
+ABOVE_HEX = "g"
 
 
 def fits_broadcast(df: DataFrame, max_rows=BROADCAST_ROWS, max_bytes=BROADCAST_BYTES) -> bool:
@@ -63,14 +64,16 @@ def lookup_join(
     *,
     max_rows=BROADCAST_ROWS,
     hot_rows=HOT_ROWS,
+    small=None,
 ) -> DataFrame:
     """Join a large `fact` to `dim` on equal keys; `how` is inner, left, left_semi or left_anti.
 
     A `dim` of checked size is broadcast. Otherwise the join shuffles, with hot fact keys
-    joined apart against their few `dim` rows, and null keys kept out of the shuffle.
+    joined apart against their few `dim` rows, and null keys kept out of the shuffle. A caller
+    that has already checked the size passes the answer as `small`.
     """
     on = [on] if isinstance(on, str) else list(on)
-    if fits_broadcast(dim, max_rows):
+    if fits_broadcast(dim, max_rows) if small is None else small:
         return fact.join(F.broadcast(dim), on, how)
 
     keyed = fact.where(~_any_null(on))
@@ -191,7 +194,7 @@ def order_cut(df: DataFrame, key: str, n: int, collect_rows=COLLECT_ROWS):
 def hash_cut(df: DataFrame, key: Column, n: int, collect_rows=COLLECT_ROWS):
     """The hex string h for which exactly `n` rows have the unique hash `key` <= h.
 
-    Counting by ever longer prefixes finds the cut without sorting the rows, so an exact
+    Returns None for n <= 0. With fewer than `n` rows it is ABOVE_HEX, which lets every row pass. Counting by ever longer prefixes finds the cut without sorting the rows, so an exact
     split or sample costs a few narrow counting passes and a map-only filter.
     """
     if n <= 0:
@@ -202,7 +205,7 @@ def hash_cut(df: DataFrame, key: Column, n: int, collect_rows=COLLECT_ROWS):
         inside = keys.where(F.col("_key").startswith(prefix)) if prefix else keys
         counts = inside.groupBy(F.substring("_key", 1, width).alias("_prefix")).count().collect()
         if left > sum(row["count"] for row in counts):
-            raise ValueError(f"fewer than {n} rows")
+            return ABOVE_HEX
         for found, count in sorted((row["_prefix"], row["count"]) for row in counts):
             if left <= count:
                 prefix = found
