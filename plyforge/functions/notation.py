@@ -97,6 +97,11 @@ def normalise_san(move: Column) -> Column:
     return strip_blanks(F.rtrim(F.coalesce(move, F.lit("")), F.lit("+#")))
 
 
+def san_key(move: Column) -> Column:
+    """The form under which a move is looked up: one final check or mate sign is optional."""
+    return F.regexp_replace(move, r"[+#]$", "")
+
+
 def next_move(prefix: Column, generated: Column) -> Column:
     """First move of `generated` beyond the moves of `prefix`; null when there is none."""
     return F.get(

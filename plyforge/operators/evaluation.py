@@ -7,7 +7,7 @@ Answers are rows (model, position, sample_idx, move). Identical answers can be t
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plyforge.functions.notation import normalise_san
+from plyforge.functions.notation import normalise_san, san_key
 from plyforge.scale import keep_keys, lookup_join
 
 # Fixed value: score loss from which a move counts as a blunder.
@@ -34,10 +34,13 @@ def _weight(df: DataFrame) -> Column:
 def legal_answers(answers: DataFrame, legal_moves: DataFrame) -> DataFrame:
     """Add `is_legal`: the move is one of the position's moves; null and empty are not.
 
-    `legal_moves` holds (position, move), each once.
+    `legal_moves` holds (position, move), each once. A final check or mate sign is optional.
     """
-    known = legal_moves.select("position", "move", F.lit(True).alias("is_legal"))
-    joined = lookup_join(answers, known, ["position", "move"], "left")
+    known = legal_moves.select(
+        "position", san_key(F.col("move")).alias("_san"), F.lit(True).alias("is_legal")
+    )
+    keyed = answers.withColumn("_san", san_key(F.col("move")))
+    joined = lookup_join(keyed, known, ["position", "_san"], "left").drop("_san")
     return joined.withColumn("is_legal", F.coalesce("is_legal", F.lit(False)))
 
 
@@ -45,15 +48,16 @@ def move_losses(best: DataFrame, move_scores: DataFrame) -> DataFrame:
     """Loss of every scored move, once per move: max(0, best + score of the opponent after it)."""
     return lookup_join(move_scores, best, "position").select(
         "position",
-        "move",
+        san_key(F.col("move")).alias("_san"),
         F.greatest(F.lit(0), F.col("best_cp") + F.col("cp_after")).alias("cpl"),
     )
 
 
 def centipawn_loss(answers: DataFrame, best: DataFrame, move_scores: DataFrame) -> DataFrame:
     """Add `cpl` to answers with `is_legal`; null for an illegal move."""
-    joined = lookup_join(answers, move_losses(best, move_scores), ["position", "move"], "left")
-    return joined.withColumn("cpl", F.when(F.col("is_legal"), F.col("cpl")))
+    keyed = answers.withColumn("_san", san_key(F.col("move")))
+    joined = lookup_join(keyed, move_losses(best, move_scores), ["position", "_san"], "left")
+    return joined.withColumn("cpl", F.when(F.col("is_legal"), F.col("cpl"))).drop("_san")
 
 
 def screen(

@@ -65,15 +65,15 @@ def position_context(
     """Add `ply` and `pgn_context`: the moves before the game first reaches the position.
 
     puzzles: (…, game_id, position); game_positions: (game_id, ply, position) with ply 0 for
-    the start; games: (game_id, moves). Without `include_start` only positions after a move
-    count. Both columns are null when the game never reaches the position.
+    the start; games: (game_id, moves, …), whose further columns are added too. Without
+    `include_start` only positions after a move count. Both columns are null when the game
+    never reaches the position.
     """
     on = ["game_id", "position"]
     reached = game_positions if include_start else game_positions.where(F.col("ply") > 0)
     first = keep_keys(reached, puzzles, on).groupBy(*on).agg(F.min("ply").alias("ply"))
     placed = lookup_join(puzzles, first, on, "left")
-    moves = games.select("game_id", F.col("moves").alias("_moves"))
-    with_moves = attach_source_game(placed, moves)
+    with_moves = attach_source_game(placed, games.withColumnRenamed("moves", "_moves"))
     before = F.expr("slice(_moves, 1, ply)")
     text = F.when(F.col("ply").isNotNull(), numbered_text(before))
     return with_moves.withColumn("pgn_context", text).drop("_moves")

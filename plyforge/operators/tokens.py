@@ -105,17 +105,17 @@ def merge_pairs(symbols: Column, merges) -> Column:
     return F.aggregate(rules, symbols, lambda s, rule: F.replace(s, rule["pair"], rule["new"]))
 
 
-def _settled(rows, complete: bool) -> list:
+def _settled(rows, complete: bool, known=frozenset()) -> list:
     """How many of the ranked pairs can be merged at once with the same result as one by one.
 
     A later pair is safe while it shares no symbol with the pairs already taken: then its own
     count cannot change, and any pair made or reduced by them stems from a pair that shares a
     symbol with them. Those all rank lower; so that none can draw level, every pair with the
     same count must be free of the taken symbols too, and the last count is left out when the
-    list was cut there. A pair of two equal symbols can give a pair of its own kind, so
-    nothing follows it.
+    list was cut there. A pair of two equal symbols can give a pair of its own kind, and one
+    that spells a `known` symbol adds to that symbol's pairs, so nothing follows either.
     """
-    taken, used = [], set()
+    taken, used, spelled = [], set(), set(known)
     for i, row in enumerate(rows):
         if i:
             level = [r for r in rows if r["n"] == row["n"]]
@@ -125,8 +125,10 @@ def _settled(rows, complete: bool) -> list:
                 break
         taken.append(row)
         used |= {row["left"], row["right"]}
-        if row["left"] == row["right"]:
+        new = row["left"] + row["right"]
+        if row["left"] == row["right"] or new in spelled:
             break
+        spelled.add(new)
     return taken
 
 
@@ -146,7 +148,8 @@ def learn_merges(
         rows = top_pairs(pair_counts(current), top, mode).collect()
         if not rows:
             break
-        for row in _settled(rows, complete=len(rows) < top)[: n_merges - len(merges)]:
+        known = set() if mode == "byte" else {merge[3] for merge in merges}
+        for row in _settled(rows, len(rows) < top, known)[: n_merges - len(merges)]:
             rank = len(merges)
             new = str(FIRST_BYTE_MERGE + rank) if mode == "byte" else row["left"] + row["right"]
             merges.append((rank, row["left"], row["right"], new, row["n"]))

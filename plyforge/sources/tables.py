@@ -24,10 +24,14 @@ def read_merges(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MERGE_SCHEMA).parquet(path).orderBy("rank")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether a finished Spark write is at `path`."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+    return exists(spark, f"{path}/_SUCCESS")
 
 
 def pairs_table(spark: SparkSession, path: str, build, rebuild=False) -> DataFrame:
