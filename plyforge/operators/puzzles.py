@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plyforge.functions.notation import numbered_text, words
 from plyforge.functions.scoring import shuffle_key
-from plyforge.scale import hash_cut, keep_keys, lookup_join, prefix_sum
+from plyforge.scale import hash_cut, lookup_join, match_rows, prefix_sum
 
 # Default rating band, themes wanted and left out, split seed.
 RATING_LOW, RATING_HIGH = 1200, 1900
@@ -56,7 +56,7 @@ def attach_source_game(puzzles: DataFrame, games: DataFrame) -> DataFrame:
 
     The game table is cut to the wanted ids before it is joined.
     """
-    return lookup_join(puzzles, keep_keys(games, puzzles, "game_id"), "game_id", "left")
+    return match_rows(puzzles, games, "game_id")
 
 
 def position_context(
@@ -71,8 +71,8 @@ def position_context(
     """
     on = ["game_id", "position"]
     reached = game_positions if include_start else game_positions.where(F.col("ply") > 0)
-    first = keep_keys(reached, puzzles, on).groupBy(*on).agg(F.min("ply").alias("ply"))
-    placed = lookup_join(puzzles, first, on, "left")
+    first_ply = lambda rows: rows.groupBy(*on).agg(F.min("ply").alias("ply"))
+    placed = match_rows(puzzles, reached, on, shrink=first_ply)
     with_moves = attach_source_game(placed, games.withColumnRenamed("moves", "_moves"))
     before = F.expr("slice(_moves, 1, ply)")
     text = F.when(F.col("ply").isNotNull(), numbered_text(before))

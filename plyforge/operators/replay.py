@@ -1,109 +1,123 @@
 """Walk move lists through a transition relation (state, move, next_state)."""
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plyforge.functions.notation import parse_half_moves
-from plyforge.scale import fits_broadcast, keep_keys, lookup_join
-from plyforge.session import checkpointed
+from plyforge.scale import fits_broadcast, match_rows
+from plyforge.session import checkpointed, scratch_path
 
 # Fixed value: shortest move list that counts as a game.
 MIN_HALF_MOVES = 6
 
-FOLD_EDGES = 256
-PLIES_PER_CHECKPOINT = 8
+MAP_EDGES = 256
 _BETWEEN = "\u0001"
 
 
 def _edge_map(edges) -> Column:
     entries = []
     for edge in edges:
-        entries += [F.lit(f"{edge['state']}{_BETWEEN}{edge['move']}"), F.lit(str(edge["next_state"]))]
-    return F.create_map(*entries)
+        entries += [F.lit(f"{edge['state']}{_BETWEEN}{edge['move']}"), F.lit(edge["next_state"])]
+    return F.create_map(*entries) if entries else F.lit(None).cast("map<string,string>")
 
 
-def _few_edges(transitions: DataFrame):
-    """The relation as rows when it has at most FOLD_EDGES edges, else None."""
-    edges = transitions.select("state", "move", "next_state").limit(FOLD_EDGES + 1).collect()
-    return edges if len(edges) <= FOLD_EDGES else None
-
-
-def _fold_states(games: DataFrame, edges, start) -> DataFrame:
-    """Add `states` by folding each list over a map literal, without a shuffle."""
-    if not edges:
-        return games.withColumn("states", F.transform("moves", lambda _: F.lit(None).cast("string")))
+def _map_states(games: DataFrame, edges, start) -> DataFrame:
+    """Add `states` by folding each list over a map literal of a few edges."""
     table = _edge_map(edges)
     walked = F.aggregate(
         "moves",
-        F.array(F.lit(str(start))),
-        lambda seen, move: F.concat(
-            seen,
-            F.array(
-                F.try_element_at(
-                    table, F.concat(F.element_at(seen, -1), F.lit(_BETWEEN), move)
-                )
-            ),
+        F.array(F.lit(start)).cast("array<string>"),
+        lambda seen, move: F.array_append(
+            seen, F.try_element_at(table, F.concat(F.element_at(seen, -1), F.lit(_BETWEEN), move))
         ),
     )
     return games.withColumn("states", F.slice(walked, F.lit(2), F.size("moves")))
 
 
-def _join_states(games: DataFrame, transitions: DataFrame, start, every) -> DataFrame:
-    """Add `states` ply by ply: every game joins the relation on its state and next move.
+def _lookup_states(games: DataFrame, edges, start) -> DataFrame:
+    """Add `states` by looking the steps up in a dictionary, in Arrow batches."""
+    steps = {(edge["state"], edge["move"]): edge["next_state"] for edge in edges}
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def walk(lists: pd.Series) -> pd.Series:
+        def one(moves):
+            state, states = start, []
+            for move in moves:
+                state = steps.get((state, move))
+                states.append(state)
+            return states
+
+        return lists.map(one, na_action="ignore")
 
-    A large relation is first cut to the steps some game takes at this ply. Early plies have
-    few distinct steps, so that cut fits a broadcast even though every game starts alike.
+    return games.withColumn("states", walk("moves"))
+
+
+def _join_states(games: DataFrame, edges: DataFrame, start) -> DataFrame:
+    """Add `states` ply by ply, for a relation too large to hold in a task.
+
+    The moves are written once by ply. Each round joins the games still alive, as narrow rows
+    (game_id, state), to their next move and to the relation, which is first cut to the steps
+    some game takes at this ply: early plies have few distinct steps, so that cut fits a
+    broadcast even though all games start alike.
     """
-    small = fits_broadcast(transitions)
-    edges = transitions.select(
-        F.col("state").cast("string").alias("_state"),
-        F.col("move").alias("_move"),
-        F.col("next_state").cast("string").alias("_next"),
-    )
-    walk = games.withColumn("states", F.array().cast("array<string>")).withColumn(
-        "_state", F.lit(str(start))
-    )
-    longest = games.agg(F.max(F.size("moves"))).first()[0] or 0
-    on = ["_state", "_move"]
-    for ply in range(longest):
-        walk = walk.withColumn("_move", F.get("moves", F.lit(ply)))
-        if small:
-            walk = lookup_join(walk, edges, on, "left", small=True)
-        else:
-            walk = checkpointed(walk)
-            walk = lookup_join(walk, keep_keys(edges, walk, on), on, "left")
-        alive = ply < F.size("moves")
-        walk = walk.select(
-            *games.columns,
-            F.when(alive, F.array_append("states", F.col("_next")))
-            .otherwise(F.col("states"))
-            .alias("states"),
-            F.col("_next").alias("_state"),
+    spark = games.sparkSession
+    path = scratch_path(spark, "moves_by_ply")
+    listed = games.select("game_id", F.posexplode("moves").alias("ply", "move"))
+    listed.repartitionByRange("ply", "game_id").write.partitionBy("ply").parquet(path)
+    moves = spark.read.parquet(path)
+    alive = games.select("game_id", F.lit(start).alias("state"))
+    rounds = []
+    for ply in range(games.agg(F.max(F.size("moves"))).first()[0] or 0):
+        here = moves.where(F.col("ply") == ply).select("game_id", "move")
+        at = checkpointed(alive.join(here, "game_id"))
+        made = checkpointed(
+            match_rows(at, edges, ["state", "move"], "inner").select(
+                "game_id", F.lit(ply).alias("ply"), F.col("next_state").alias("state")
+            )
         )
-        if small and ply % every == every - 1:
-            walk = checkpointed(walk)
-            if walk.where(F.col("_state").isNotNull()).isEmpty():
-                break
-    rest = F.array_repeat(F.lit(None).cast("string"), F.size("moves") - F.size("states"))
-    return walk.withColumn("states", F.concat("states", rest)).drop("_state")
+        if made.isEmpty():
+            break
+        rounds.append(made)
+        alive = made.select("game_id", "state")
+    if not rounds:
+        return games.withColumn("states", F.transform("moves", lambda _: F.lit(None).cast("string")))
+    steps = rounds[0]
+    for made in rounds[1:]:
+        steps = steps.unionByName(made)
+    reached = steps.groupBy("game_id").agg(
+        F.transform(
+            F.sort_array(F.collect_list(F.struct("ply", "state"))), lambda step: step["state"]
+        ).alias("_reached")
+    )
+    filled = F.transform("moves", lambda _, i: F.get(F.col("_reached"), i))
+    return games.join(reached, "game_id", "left").withColumn("states", filled).drop("_reached")
 
 
-def game_states(
-    games: DataFrame, transitions: DataFrame, start, method="auto", every=PLIES_PER_CHECKPOINT
-) -> DataFrame:
-    """Add `states` to (…, moves): the state after each move, null from the first failure on.
+def game_states(games: DataFrame, transitions: DataFrame, start, method="auto") -> DataFrame:
+    """Add `states` to (game_id, …, moves): the state after each move, null from the first
+    missing transition on. States are strings.
 
-    A relation of a few edges is folded over each list; a larger one is joined ply by ply.
-    `method` can force `fold` or `join`.
+    A relation of a few edges becomes a map literal and one of checked size a dictionary; both
+    need no shuffle. A larger one is joined ply by ply. `method` can force `map`, `lookup` or
+    `join`.
     """
+    edges = transitions.select(
+        F.col("state").cast("string").alias("state"),
+        "move",
+        F.col("next_state").cast("string").alias("next_state"),
+    )
+    start = str(start)
+    if method == "auto":
+        if not fits_broadcast(edges):
+            method = "join"
+        else:
+            method = "map" if edges.limit(MAP_EDGES + 1).count() <= MAP_EDGES else "lookup"
     if method == "join":
-        return _join_states(games, transitions, start, every)
-    edges = _few_edges(transitions)
-    if edges is None:
-        if method == "fold":
-            raise ValueError(f"more than {FOLD_EDGES} edges")
-        return _join_states(games, transitions, start, every)
-    return _fold_states(games, edges, start)
+        return _join_states(games, edges, start)
+    walk = _map_states if method == "map" else _lookup_states
+    return walk(games, edges.collect(), start)
 
 
 def replay(
@@ -175,15 +189,12 @@ def valid_sequences(
 
 def valid_moves(games, transitions, start, min_half_moves=MIN_HALF_MOVES, method="auto"):
     """The same check for (game_id, moves)."""
-    long_enough = F.size("moves") >= min_half_moves
-    walked = game_states(
-        games.withColumn("moves", F.when(long_enough, F.col("moves")).otherwise(F.array())),
-        transitions,
-        start,
-        method,
+    checked = F.when(F.size("moves") >= min_half_moves, F.col("moves")).otherwise(F.array())
+    walked = game_states(games.select("game_id", checked.alias("moves")), transitions, start, method)
+    legal = F.coalesce(F.element_at("states", -1).isNotNull(), F.lit(False))
+    return walked.select(
+        "game_id", F.when(F.size("states") > 0, legal).otherwise(False).alias("is_legal")
     )
-    legal = (F.size("states") > 0) & F.element_at("states", -1).isNotNull()
-    return walked.select("game_id", F.when(F.size("states") > 0, legal).otherwise(min_half_moves <= 0).alias("is_legal"))
 
 
 def min_half_moves(games: DataFrame, n=MIN_HALF_MOVES, moves="moves") -> DataFrame:

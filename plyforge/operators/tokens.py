@@ -324,9 +324,11 @@ def bpe_encode(
     """(keys, ids): each distinct piece is encoded once, then its ids are put back in place."""
     keys = list(keys)
     placed = corpus.select(*keys, F.posexplode_outer(pieces).alias("pos", "piece"))
-    distinct = placed.where(F.col("piece").isNotNull()).select("piece").distinct()
-    dictionary = checkpointed(encode_pieces(distinct, merges, vocabulary, mode))
-    coded = lookup_join(placed, dictionary, "piece", "left")
+    counted = placed.where(F.col("piece").isNotNull()).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    dictionary = checkpointed(encode_pieces(counted, merges, vocabulary, mode))
+    coded = lookup_join(
+        placed, dictionary.select("piece", "ids"), "piece", "left", counts=dictionary.select("piece", "n")
+    )
     parts = F.sort_array(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids"))))
     return coded.groupBy(*keys).agg(
         F.flatten(F.transform(parts, lambda part: part["ids"])).alias("ids")

@@ -9,6 +9,7 @@ from plyforge.operators.pairs import BAD_LOSS, GOOD_LOSS, PAIRS_PER_POSITION, SE
 from plyforge.operators.replay import reached_positions, unique_positions
 from plyforge.operators.tokens import bpe_encode, split_pieces
 from plyforge.scale import keep_keys, lookup_join
+from plyforge.session import written
 
 # Fixed value: plies of an opening line that are looked at.
 MAX_HALF_MOVES = 30
@@ -34,9 +35,10 @@ def branching_positions(games: DataFrame, transitions: DataFrame, start, max_hal
         .agg(F.count(F.lit(1)).alias("n_moves"))
         .where(F.col("n_moves") >= 2)
     )
-    return keep_keys(first, open_ended, "position").select(
+    kept = keep_keys(first, open_ended, "position").select(
         "position", "game_id", "ply", numbered_text(F.col("played")).alias("context")
     )
+    return written(kept, "positions")
 
 
 def preference_pairs(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from plyforge.functions.notation import wrap_special
 from plyforge.operators.tokens import bpe_encode, split_pieces
 from plyforge.operators.windows import token_offsets, training_windows
+from plyforge.session import written
 
 
 def encode_games(corpus: DataFrame, merges: DataFrame, vocabulary: DataFrame, key="order_key") -> DataFrame:
@@ -18,6 +19,9 @@ def encode_games(corpus: DataFrame, merges: DataFrame, vocabulary: DataFrame, ke
 def window_dataset(
     corpus: DataFrame, merges: DataFrame, vocabulary: DataFrame, block: int, stride=1, turn_ids=()
 ) -> DataFrame:
-    """Training windows of the games in `order_key` order, ready to be written."""
-    encoded = encode_games(corpus, merges, vocabulary)
+    """Training windows of the games in `order_key` order, ready to be written.
+
+    The token table is written once: its offsets take several passes over narrow columns.
+    """
+    encoded = written(encode_games(corpus, merges, vocabulary), "tokens")
     return training_windows(token_offsets(encoded, "order_key"), block, stride, turn_ids)

@@ -12,6 +12,8 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plyforge.session import checkpointed
+
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 HOT_ROWS = 1_000_000
@@ -24,16 +26,24 @@ HEX_STEP = 3
 ABOVE_HEX = "g"
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row: texts by length, numbers as 8, nested columns as their JSON."""
+    total = F.lit(0)
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(name), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            total = total + F.octet_length(F.to_json(F.struct(name)))
+        else:
+            total = total + 8
+    return total
+
+
 def fits_broadcast(df: DataFrame, max_rows=BROADCAST_ROWS, max_bytes=BROADCAST_BYTES) -> bool:
-    """Count rows and bytes, reading no more than `max_rows + 1` rows."""
-    row = (
-        df.limit(max_rows + 1)
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes"),
-        )
-        .first()
-    )
+    """Whether all rows, counted in one aggregate, are few and short enough to broadcast."""
+    row = df.agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(_row_bytes(df).cast("long")).alias("bytes")
+    ).first()
     return row["rows"] <= max_rows and (row["bytes"] or 0) <= max_bytes
 
 
@@ -44,14 +54,15 @@ def _any_null(columns):
     return test
 
 
-def _hot_keys(fact: DataFrame, on: list, hot_rows: int):
+def _hot_keys(fact: DataFrame, on: list, hot_rows: int, counts=None):
     """Keys with at least max(hot_rows, total / MAX_HOT_KEYS) rows: never more than MAX_HOT_KEYS."""
-    total = fact.count()
+    if counts is None:
+        counts = fact.where(~_any_null(on)).groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
     floor = max(hot_rows, ceil(total / MAX_HOT_KEYS))
     if total < floor:
         return None
-    counts = fact.where(~_any_null(on)).groupBy(*on).count()
-    found = counts.where(F.col("count") >= floor).select(*on)
+    found = counts.where(F.col("n") >= floor).select(*on)
     rows = found.collect()
     return fact.sparkSession.createDataFrame(rows, found.schema) if rows else None
 
@@ -65,12 +76,14 @@ def lookup_join(
     max_rows=BROADCAST_ROWS,
     hot_rows=HOT_ROWS,
     small=None,
+    counts=None,
 ) -> DataFrame:
     """Join a large `fact` to `dim` on equal keys; `how` is inner, left, left_semi or left_anti.
 
     A `dim` of checked size is broadcast. Otherwise the join shuffles, with hot fact keys
     joined apart against their few `dim` rows, and null keys kept out of the shuffle. A caller
-    that has already checked the size passes the answer as `small`.
+    that has already checked the size passes the answer as `small`, and one that knows the
+    rows per key passes them as `counts` with a column `n`.
     """
     on = [on] if isinstance(on, str) else list(on)
     if fits_broadcast(dim, max_rows) if small is None else small:
@@ -78,7 +91,7 @@ def lookup_join(
 
     keyed = fact.where(~_any_null(on))
     parts = []
-    hot = _hot_keys(fact, on, hot_rows)
+    hot = _hot_keys(keyed, on, hot_rows, counts)
     if hot is None:
         parts.append(keyed.join(dim, on, how))
     else:
@@ -221,6 +234,22 @@ def hash_cut(df: DataFrame, key: Column, n: int, collect_rows=COLLECT_ROWS):
 
 
 def keep_keys(big: DataFrame, wanted: DataFrame, on) -> DataFrame:
-    """Rows of `big` whose keys occur in `wanted`; cuts a large table before it is joined."""
+    """Rows of `big` whose keys occur in `wanted`."""
     on = [on] if isinstance(on, str) else list(on)
     return lookup_join(big, wanted.select(*on).distinct(), on, "left_semi")
+
+
+def match_rows(wanted: DataFrame, big: DataFrame, on, how="left", shrink=None) -> DataFrame:
+    """Join `wanted` to a larger table that holds each key once after `shrink`.
+
+    `big` is first cut to the wanted keys. When those are few, the cut is written once, so
+    that checking its size and joining it do not read `big` again.
+    """
+    on = [on] if isinstance(on, str) else list(on)
+    keys = wanted.select(*on).distinct()
+    few = fits_broadcast(keys)
+    cut = lookup_join(big, keys, on, "left_semi", small=few)
+    cut = cut if shrink is None else shrink(cut)
+    if few:
+        return lookup_join(wanted, checkpointed(cut), on, how)
+    return lookup_join(wanted, cut, on, how, small=False)

@@ -1,6 +1,7 @@
 """Session settings and the shared checkpoint folder."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,18 +25,36 @@ def local_session(cpus="*", app="plyforge", partitions=8, **conf) -> SparkSessio
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and continue from the written rows.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for written intermediate rows.
 
-    The folder is the cluster's `spark.checkpoint.dir`. Only a local run without that
-    setting gets a temporary one.
+    It is the cluster's `spark.checkpoint.dir`. Only a local run without that setting gets a
+    temporary one.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
             folder = tempfile.mkdtemp(prefix="plyforge-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write `df` to the checkpoint folder and continue from the written rows."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place for a table in the checkpoint folder."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` as a table in the checkpoint folder and read it back by column."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -26,7 +26,7 @@ def read_games(df: DataFrame, order: str, limit=None) -> DataFrame:
     ).where(F.col("pgn") != "")
     if limit is None:
         return games
-    if games.limit(limit + 1).count() <= limit:
+    if games.count() <= limit:
         return games
     return games.where(F.col(order) <= order_cut(games, order, limit))
 
