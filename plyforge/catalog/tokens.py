@@ -85,9 +85,9 @@ def encoded_words(spark, sf):
 
 @query(
     "byte_tokens",
-    """SELECT doc_id, token, count(*) AS n, sum(pos) AS places FROM (
-  SELECT doc_id, ('0x' || h[2 * pos + 1:2 * pos + 2])::INTEGER AS token, pos FROM (
-    SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS pos FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents))) GROUP BY ALL""",
+    """SELECT doc_id, ('0x' || h)::INTEGER AS token, count(*) AS n, sum(pos) AS places FROM (
+  SELECT doc_id, unnest(a) AS h, generate_subscripts(a, 1) - 1 AS pos FROM (
+    SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS a FROM documents)) GROUP BY ALL""",
 )
 def _(spark, sf):
     tokens = tk.byte_tokens(table(spark, sf, "documents"))
@@ -269,10 +269,11 @@ def _(spark, sf):
 @query(
     "training_windows",
     STREAM
-    + """, whole AS (SELECT flatten(list(a ORDER BY doc_id)) AS a FROM games),
-w AS (SELECT unnest(range(0, greatest(0, len(a) - 64), 16)) AS start, a FROM whole)
-SELECT start, array_to_string(a[start + 1:start + 64], ',') AS x, array_to_string(a[start + 2:start + 65], ',') AS y,
-  array_to_string(list_transform(a[start + 2:start + 65], lambda t: CASE WHEN t IN (3, 7) THEN '0.15' ELSE '1.0' END), ',') AS w FROM w""",
+    + """, tokens AS (SELECT start + i - 1 AS pos, token FROM (SELECT start, unnest(a) AS token, generate_subscripts(a, 1) AS i FROM games)),
+starts AS (SELECT pos AS start FROM tokens WHERE pos % 16 = 0 AND pos < (SELECT count(*) FROM tokens) - 64),
+w AS (SELECT s.start, o.k, t.token FROM starts s, range(0, 65) o(k), tokens t WHERE t.pos = s.start + o.k)
+SELECT start, string_agg(token::VARCHAR, ',' ORDER BY k) FILTER (k < 64) AS x, string_agg(token::VARCHAR, ',' ORDER BY k) FILTER (k > 0) AS y,
+  string_agg(CASE WHEN token IN (3, 7) THEN '0.15' ELSE '1.0' END, ',' ORDER BY k) FILTER (k > 0) AS w FROM w GROUP BY start""",
 )
 def training_windows(spark, sf):
     stream = wn.token_offsets(length_stream(spark, sf), "doc_id")
@@ -430,9 +431,11 @@ known AS (SELECT * FROM vocabulary UNION ALL SELECT 2, '?'),
 ids AS (
   SELECT piece, list(v.id ORDER BY k) AS ids FROM (SELECT piece, unnest(a) AS token, generate_subscripts(a, 1) AS k FROM coded WHERE piece NOT IN ('[g_start]', '[g_end]')) c JOIN known v USING (token) GROUP BY piece
   UNION ALL SELECT '[g_start]', [0] UNION ALL SELECT '[g_end]', [1]),
-whole AS (SELECT flatten(list(ids ORDER BY doc_id, pos)) AS a FROM placed JOIN ids USING (piece)),
-w AS (SELECT unnest(range(0, greatest(0, len(a) - 128), 128)) AS start, a FROM whole)
-SELECT start, array_to_string(a[start + 1:start + 128], ',') AS x, array_to_string(a[start + 2:start + 129], ',') AS y FROM w"""
+tokens AS (SELECT token, row_number() OVER (ORDER BY doc_id, pos, i) - 1 AS pos FROM (
+  SELECT doc_id, pos, unnest(ids) AS token, generate_subscripts(ids, 1) AS i FROM placed JOIN ids USING (piece))),
+starts AS (SELECT pos AS start FROM tokens WHERE pos % 128 = 0 AND pos < (SELECT count(*) FROM tokens) - 128),
+w AS (SELECT s.start, o.k, t.token FROM starts s, range(0, 129) o(k), tokens t WHERE t.pos = s.start + o.k)
+SELECT start, string_agg(token::VARCHAR, ',' ORDER BY k) FILTER (k < 128) AS x, string_agg(token::VARCHAR, ',' ORDER BY k) FILTER (k > 0) AS y FROM w GROUP BY start"""
 
 
 @query("window_dataset", WINDOWS)

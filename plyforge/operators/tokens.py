@@ -141,7 +141,9 @@ def learn_merges(
     bounded list, and settles as many of them as give the same merges as one at a time.
     Stops early when no pair is left.
     """
-    state = checkpointed(pieces.select(base_symbols(F.col("piece"), mode).alias("symbols"), "freq"))
+    cores = pieces.sparkSession.sparkContext.defaultParallelism
+    spread = pieces.repartition(cores, "piece")  # few bytes, read again in every round
+    state = checkpointed(spread.select(base_symbols(F.col("piece"), mode).alias("symbols"), "freq"))
     merges, pending, rounds = [], [], 0
     while len(merges) < n_merges:
         current = state.withColumn("symbols", merge_pairs(F.col("symbols"), pending))

@@ -9,7 +9,10 @@ from plyforge.operators.runs import PASS_RATE, VAL_LOSS, logged_number
 from plyforge.sources.puzzles import read_puzzles_jsonl
 from plyforge.sources.tables import exists
 
-LOG_SCHEMA = "run string, line_no struct<block: bigint, line: bigint>, pass_rate double, val_loss double"
+LOG_SCHEMA = (
+    "run string, line_no struct<file: string, block: bigint, line: bigint>, "
+    "pass_rate double, val_loss double"
+)
 
 
 def _run(stream: DataFrame, step, checkpoint: str) -> None:
@@ -55,17 +58,22 @@ def resume_eval_stream(
 
 
 def round_log_stream(spark: SparkSession, logs: str, sink: str, checkpoint: str) -> None:
-    """Append the metric lines of new round logs, one log file per run."""
-    lines = spark.readStream.text(logs).select(
-        F.col("value").alias("line"),
-        F.col("_metadata.file_name").alias("run"),
-        F.col("_metadata.file_block_start").alias("block"),
+    """Append the metric lines of new round logs, in one folder `run=…` per run."""
+    lines = (
+        spark.readStream.schema("value string, run string")
+        .text(logs)
+        .select(
+            F.col("value").alias("line"),
+            "run",
+            F.col("_metadata.file_name").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+        )
     )
 
     def step(batch, _):
         placed = batch.select(
             "run",
-            F.struct("block", F.monotonically_increasing_id().alias("line")).alias("line_no"),
+            F.struct("file", "block", F.monotonically_increasing_id().alias("line")).alias("line_no"),
             logged_number(F.col("line"), PASS_RATE).alias("pass_rate"),
             logged_number(F.col("line"), VAL_LOSS).alias("val_loss"),
         )
