@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from plyforge.catalog.registry import query, table
+from plyforge.catalog.registry import documents, query, table
 from plyforge.functions import notation as nt
 from plyforge.functions.fixed import SEED_OPENINGS
 from plyforge.operators import corpus as co
@@ -60,7 +60,7 @@ GAMES_SQL = f"games AS (SELECT doc_id AS game_id, {sql_numbered(WORDS.format('te
 def games(spark, sf):
     """(game_id, pgn): all words of a document as numbered moves, with a result mark."""
     mark = F.get(F.lit(RESULTS), (F.col("doc_id") % 6).cast("int"))
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf, "doc_id", "text").select(
         F.col("doc_id").alias("game_id"), F.concat(nt.numbered_text(word_list()), mark).alias("pgn")
     )
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from plyforge.catalog.corpus import WORDS, games, sql_numbered, word_list, SQL_RESULTS
-from plyforge.catalog.registry import query, table
+from plyforge.catalog.registry import documents, query, table
 from plyforge.functions import scoring as sc
 from plyforge.functions.notation import TRAINER_PIECES
 from plyforge.operators import metrics as mt
@@ -71,15 +71,12 @@ encoded AS (
 
 def word_vocabulary(spark, sf, merges=WORD_MERGES):
     """(merges, vocabulary) learned from the words of all documents."""
-    docs = table(spark, sf, "documents").select("text")
-    base = docs.select(F.explode(F.split(F.array_join(word_list(), ""), "")).alias("c")).distinct()
-    size = len(tk.SPECIAL_TOKENS) + base.where(F.col("c") != "").count() + merges
-    return tk.train_bpe(docs, word_list(), size)
+    return tk.train_bpe(documents(spark, sf, "text"), word_list(), n_merges=merges)
 
 
 def encoded_words(spark, sf):
     merges, vocabulary = word_vocabulary(spark, sf)
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf, "doc_id", "text")
     return tk.bpe_encode(docs, word_list(), merges, vocabulary), vocabulary
 
 
@@ -90,7 +87,7 @@ def encoded_words(spark, sf):
     SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS a FROM documents)) GROUP BY ALL""",
 )
 def _(spark, sf):
-    tokens = tk.byte_tokens(table(spark, sf, "documents"))
+    tokens = tk.byte_tokens(documents(spark, sf))
     return tokens.groupBy("doc_id", "token").agg(
         F.count(F.lit(1)).alias("n"), F.sum("pos").alias("places")
     )
@@ -98,7 +95,7 @@ def _(spark, sf):
 
 @query("piece_counts", f"WITH {WORD_PIECES} SELECT piece, freq FROM pieces")
 def _(spark, sf):
-    return tk.piece_counts(table(spark, sf, "documents"), word_list())
+    return tk.piece_counts(documents(spark, sf), word_list())
 
 
 @query(
@@ -106,7 +103,7 @@ def _(spark, sf):
     f"WITH {WORD_PIECES}, s AS (SELECT {sql_symbols('piece')} AS s, freq FROM pieces) SELECT l AS \"left\", r AS \"right\", n FROM ({sql_pairs('s')})",
 )
 def _(spark, sf):
-    pieces = tk.piece_counts(table(spark, sf, "documents"), word_list())
+    pieces = tk.piece_counts(documents(spark, sf), word_list())
     counts = tk.pair_counts(pieces.select(tk.base_symbols(F.col("piece")).alias("symbols"), "freq"))
     text = lambda name: F.unhex(name).cast("string").alias(name)
     return counts.select(text("left"), text("right"), "n")
@@ -117,7 +114,7 @@ def _(spark, sf):
     f"WITH {WORD_PIECES}, s AS (SELECT {sql_symbols('piece')} AS s, freq FROM pieces) SELECT l AS \"left\", r AS \"right\", n FROM ({sql_pairs('s')}) ORDER BY n DESC, l, r LIMIT 1",
 )
 def _(spark, sf):
-    pieces = tk.piece_counts(table(spark, sf, "documents"), word_list())
+    pieces = tk.piece_counts(documents(spark, sf), word_list())
     counts = tk.pair_counts(pieces.select(tk.base_symbols(F.col("piece")).alias("symbols"), "freq"))
     text = lambda name: F.unhex(name).cast("string").alias(name)
     return tk.top_pairs(counts).select(text("left"), text("right"), "n")
@@ -128,7 +125,7 @@ def _(spark, sf):
     f"""WITH {WORD_PIECES}, {sql_train('pieces', 3)} SELECT piece, replace(replace({sql_encode(sql_symbols('piece'), 3)}, '<', ''), '>', '|') AS symbols FROM pieces""",
 )
 def _(spark, sf):
-    pieces = tk.piece_counts(table(spark, sf, "documents"), word_list())
+    pieces = tk.piece_counts(documents(spark, sf), word_list())
     rules = [merge[1:4] for merge in tk.learn_merges(pieces, 3)]
     merged = tk.merge_pairs(tk.base_symbols(F.col("piece")), rules)
     shown = F.transform(tk.symbol_list(merged), lambda s: F.concat(F.unhex(s).cast("string"), F.lit("|")))
@@ -145,7 +142,7 @@ def train_bpe(spark, sf):
     f"WITH {WORD_PIECES}, {sql_train('pieces', BYTE_MERGES, byte=True)} SELECT rank, l AS \"left\", r AS \"right\", t AS token, n FROM merges",
 )
 def _(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     return tk.train_bpe(docs, word_list(), tk.FIRST_BYTE_MERGE + BYTE_MERGES, "byte")[0]
 
 
@@ -184,9 +181,7 @@ SELECT id::INTEGER AS token_id FROM coded JOIN vocabulary ON s = '<' || token ||
 def _(spark, sf):
     numbers = F.regexp_extract_all("pgn", F.lit(r"( ?\d+\.)"), F.lit(1))
     corpus = games(spark, sf)
-    base = corpus.select(F.explode(numbers).alias("p")).select(F.explode(F.split("p", "")).alias("c")).distinct()
-    size = len(tk.SPECIAL_TOKENS) + base.where(F.col("c") != "").count() + TURN_MERGES
-    merges, vocabulary = tk.train_bpe(corpus, numbers, size)
+    merges, vocabulary = tk.train_bpe(corpus, numbers, n_merges=TURN_MERGES)
     return tk.turn_token_ids(spark, merges, vocabulary)
 
 
@@ -237,9 +232,7 @@ def tokenize_pairs(spark, sf):
         F.explode(F.array(context, F.concat(context, gap, "chosen"), F.concat(context, gap, "rejected"))).alias("text")
     )
     pieces = F.filter(tk.split_pieces(F.col("text"), specials=True), lambda p: p != "[g_start]")
-    base = texts.select(F.explode(pieces).alias("p")).select(F.explode(F.split("p", "")).alias("c")).distinct()
-    size = len(tk.SPECIAL_TOKENS) + base.where(F.col("c") != "").count() + PAIR_MERGES
-    merges, vocabulary = tk.train_bpe(texts, pieces, size)
+    merges, vocabulary = tk.train_bpe(texts, pieces, n_merges=PAIR_MERGES)
     coded = preferences.tokenize_pairs(pairs, merges, vocabulary, 8)
     return coded.withColumns(
         {name: F.array_join(name, ",") for name in ("chosen_ids", "rejected_ids")}
@@ -251,7 +244,7 @@ def tokenize_pairs(spark, sf):
 
 def length_stream(spark, sf):
     """(doc_id, ids): word lengths as token ids."""
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         "doc_id", F.transform(word_list(), lambda w: F.length(w)).alias("ids")
     )
 
@@ -443,7 +436,7 @@ def window_dataset(spark, sf):
     from plyforge.functions.notation import numbered_text
 
     merges, vocabulary = word_vocabulary(spark, sf)
-    corpus = table(spark, sf, "documents").select(
+    corpus = documents(spark, sf).select(
         F.col("doc_id").alias("order_key"), numbered_text(word_list()).alias("pgn")
     )
     windows = pretraining.window_dataset(corpus, merges, vocabulary, 128, 128)

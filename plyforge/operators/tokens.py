@@ -21,6 +21,7 @@ LAST_TURN = 300
 
 TOP_PAIRS = 256
 MAX_MERGES = 20_000
+MAX_CHARACTERS = 1_200_000  # more than Unicode has
 ROUNDS_PER_CHECKPOINT = 10
 SPECIAL_PATTERN = r"\[g_start\]|\[g_end\]|\[unknown\]|\[pad\]"
 
@@ -67,14 +68,12 @@ def base_symbols(piece: Column, mode="symbol") -> Column:
 
 def symbol_list(symbols: Column) -> Column:
     """`<a><b>` to `[a, b]`."""
-    return F.filter(F.split(F.regexp_replace(symbols, "^<|>$", ""), "><"), lambda s: s != "")
+    return F.split(F.substring(symbols, F.lit(2), F.length(symbols) - 2), "><")
 
 
 def pair_counts(pieces: DataFrame) -> DataFrame:
     """(left, right, n) of adjacent symbols in (symbols, freq), weighted by piece frequency."""
-    listed = pieces.where(F.col("symbols").contains("><")).select(
-        symbol_list(F.col("symbols")).alias("s"), "freq"
-    )
+    listed = pieces.select(symbol_list(F.col("symbols")).alias("s"), "freq")
     pairs = F.transform(
         F.slice("s", F.lit(1), F.size("s") - 1),
         lambda left, i: F.struct(left.alias("left"), F.get(F.col("s"), i + 1).alias("right")),
@@ -132,30 +131,55 @@ def _settled(rows, complete: bool, known=frozenset()) -> list:
     return taken
 
 
+def _count_changes(pieces: DataFrame, rules) -> DataFrame:
+    """(left, right, n): how pair counts change in the pieces that `rules` merge."""
+    touched = F.lit(False)
+    for left, right, _ in rules:
+        touched = touched | F.col("symbols").contains(f"<{left}><{right}>")
+    versions = F.array(
+        F.struct(merge_pairs(F.col("symbols"), rules).alias("symbols"), F.col("freq").alias("freq")),
+        F.struct(F.col("symbols"), (-F.col("freq")).alias("freq")),
+    )
+    # A filter would be pushed down and work out `symbols` once more for every rule.
+    changed = pieces.select(F.explode(F.when(touched, versions)).alias("v"))
+    return pair_counts(changed.select("v.*"))
+
+
 def learn_merges(
     pieces: DataFrame, n_merges: int, mode="symbol", every=ROUNDS_PER_CHECKPOINT, top=TOP_PAIRS
 ) -> list:
     """Merges (rank, left, right, new, n) from distinct pieces (piece, freq).
 
-    Each round is one job over the distinct pieces that brings back the leading pairs, a
-    bounded list, and settles as many of them as give the same merges as one at a time.
-    Stops early when no pair is left.
+    All pairs are counted once. Each round brings back the leading pairs, a bounded list,
+    settles as many of them as give the same merges as one at a time, and adds to the counts
+    what changes in the pieces they occur in. Stops early when no pair is left.
     """
     cores = pieces.sparkSession.sparkContext.defaultParallelism
-    spread = pieces.repartition(cores, "piece")  # few bytes, read again in every round
-    state = checkpointed(spread.select(base_symbols(F.col("piece"), mode).alias("symbols"), "freq"))
+    dealt = pieces.repartition(cores, "piece")  # few bytes, read again in every round
+    state = checkpointed(dealt.select(base_symbols(F.col("piece"), mode).alias("symbols"), "freq"))
+    counts = checkpointed(pair_counts(state))
     merges, pending, rounds = [], [], 0
     while len(merges) < n_merges:
-        current = state.withColumn("symbols", merge_pairs(F.col("symbols"), pending))
-        rows = top_pairs(pair_counts(current), top, mode).collect()
+        rows = top_pairs(counts, top, mode).collect()
         if not rows:
             break
         known = set() if mode == "byte" else {merge[3] for merge in merges}
+        rules = []
         for row in _settled(rows, len(rows) < top, known)[: n_merges - len(merges)]:
             rank = len(merges)
             new = str(FIRST_BYTE_MERGE + rank) if mode == "byte" else row["left"] + row["right"]
             merges.append((rank, row["left"], row["right"], new, row["n"]))
-            pending.append((row["left"], row["right"], new))
+            rules.append((row["left"], row["right"], new))
+        if len(merges) == n_merges:
+            break
+        current = state.withColumn("symbols", merge_pairs(F.col("symbols"), pending))
+        counts = checkpointed(
+            counts.unionByName(_count_changes(current, rules))
+            .groupBy("left", "right")
+            .agg(F.sum("n").alias("n"))
+            .where(F.col("n") > 0)
+        )
+        pending += rules
         rounds += 1
         if rounds % every == 0:
             state = checkpointed(
@@ -179,11 +203,12 @@ def merge_table(spark: SparkSession, merges, mode="symbol") -> DataFrame:
 def train_bpe(
     corpus: DataFrame,
     pieces: Column,
-    vocab_size: int,
+    vocab_size=None,
     mode="symbol",
     specials=SPECIAL_TOKENS,
+    n_merges=None,
 ) -> tuple:
-    """(merges, vocabulary) tables.
+    """(merges, vocabulary) tables, as large as `vocab_size` or after `n_merges` merges.
 
     Byte mode starts from 256 byte ids. Symbol mode numbers the special tokens first, then the
     distinct characters, then the merges.
@@ -191,13 +216,13 @@ def train_bpe(
     spark = corpus.sparkSession
     counted = checkpointed(piece_counts(corpus, pieces))
     if mode == "byte":
-        merges = learn_merges(counted, vocab_size - FIRST_BYTE_MERGE, mode)
+        merges = learn_merges(counted, n_merges or vocab_size - FIRST_BYTE_MERGE, mode)
         return merge_table(spark, merges, mode), byte_vocabulary(spark, merges)
     symbols = counted.select(
         F.explode(symbol_list(base_symbols(F.col("piece")))).alias("s")
     ).distinct()
-    base = sorted(row[0] for row in symbols.limit(vocab_size).collect())
-    merges = learn_merges(counted, vocab_size - len(specials) - len(base), mode)
+    base = sorted(row[0] for row in symbols.limit(MAX_CHARACTERS).collect())
+    merges = learn_merges(counted, n_merges or vocab_size - len(specials) - len(base), mode)
     return merge_table(spark, merges, mode), symbol_vocabulary(spark, base, merges, specials)
 
 
@@ -327,7 +352,9 @@ def bpe_encode(
     keys = list(keys)
     placed = corpus.select(*keys, F.posexplode_outer(pieces).alias("pos", "piece"))
     counted = placed.where(F.col("piece").isNotNull()).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-    dictionary = checkpointed(encode_pieces(counted, merges, vocabulary, mode))
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    dealt = counted.repartition(cores, "piece")  # many rules are tried on each piece
+    dictionary = checkpointed(encode_pieces(dealt, merges, vocabulary, mode))
     coded = lookup_join(
         placed, dictionary.select("piece", "ids"), "piece", "left", counts=dictionary.select("piece", "n")
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from plyforge.session import checkpointed
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 10_000
@@ -26,6 +26,15 @@ HEX_STEP = 3
 ABOVE_HEX = "g"
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A file scan with fewer splits than there are cores, dealt out to all of them.
+
+    For a few files of text whose rows take long; a scan of many files stays as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def _row_bytes(df: DataFrame) -> Column:
     """Bytes of a row: texts by length, numbers as 8, nested columns as their JSON."""
     total = F.lit(0)
