@@ -10,6 +10,7 @@ from plyforge.operators import metrics as mt
 from plyforge.operators import tokens as tk
 from plyforge.operators import windows as wn
 from plyforge.plans import preferences, pretraining
+from plyforge.scale import spread
 
 
 def sql_symbols(piece):
@@ -191,7 +192,7 @@ def _(spark, sf):
 def order_pairs(spark, sf):
     n = F.col("o_orderkey")
     context = F.when(n % 5 != 0, F.concat(F.lit("1."), "o_orderstatus", F.lit(" x"), F.col("o_custkey") % 53))
-    return table(spark, sf, "orders").select(
+    return spread(table(spark, sf, "orders")).select(
         n.alias("pair_id"),
         F.coalesce(context, F.lit("")).alias("context"),
         F.concat(F.lit("m"), F.col("o_custkey") % 97).alias("chosen"),

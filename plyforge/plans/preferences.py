@@ -70,7 +70,9 @@ def tokenize_pairs(
         F.struct(F.lit("chosen").alias("part"), F.concat(context, gap, "chosen").alias("text")),
         F.struct(F.lit("rejected").alias("part"), F.concat(context, gap, "rejected").alias("text")),
     )
-    listed = pairs.select(key, F.explode(texts).alias("t")).select(key, "t.*")
+    # Placed by pair once, so that neither regrouping below shuffles again.
+    placed = pairs.select(key, "context", "chosen", "rejected").repartition(key)
+    listed = placed.select(key, F.explode(texts).alias("t")).select(key, "t.*")
     coded = bpe_encode(
         listed, split_pieces(F.col("text"), specials=True), merges, vocabulary, keys=[key, "part"]
     )

@@ -152,31 +152,29 @@ def prefix_sum(
 ) -> DataFrame:
     """Add `out`: the sum of `weight` over all rows before this one in the unique `order`.
 
-    Two levels: rows are summed per key range, the short list of range totals is scanned,
-    and a window inside each range adds the rest.
+    Two levels: weights are summed per key range, the short list of range totals is scanned,
+    and a window inside each range adds the rest. Only (order, weight) goes through this; the
+    sums are then joined to the rows.
     """
-    n_buckets = max(1, min(MAX_BUCKETS, ceil(df.count() / rows_per_bucket)))
-    placed = df.withColumn("_weight", weight.cast("long")).withColumn(
-        "_bucket", range_bucket(df, order, n_buckets)
-    )
+    narrow = df.select(order, weight.cast("long").alias("_weight"))
+    rows = narrow.count()
+    n_buckets = max(1, min(MAX_BUCKETS, ceil(rows / rows_per_bucket)))
+    placed = narrow.withColumn("_bucket", range_bucket(narrow, order, n_buckets))
     before = F.coalesce(
         F.sum("_weight").over(
             Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         ),
         F.lit(0),
     )
-    if n_buckets == 1:
-        return placed.withColumn(out, before).drop("_weight", "_bucket")
     totals = placed.groupBy("_bucket").agg(F.sum("_weight").alias("_total"))
     scan = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(  # at most MAX_BUCKETS rows
         "_bucket", F.coalesce(F.sum("_total").over(scan), F.lit(0)).alias("_carried")
     )
-    return (
-        placed.join(F.broadcast(carried), "_bucket")
-        .withColumn(out, F.col("_carried") + before)
-        .drop("_weight", "_bucket", "_carried")
+    sums = placed.join(F.broadcast(carried), "_bucket").select(
+        order, (F.col("_carried") + before).alias(out)
     )
+    return df.join(F.broadcast(sums) if rows <= BROADCAST_ROWS else sums, order)
 
 
 def row_index(df: DataFrame, order: str, out="row_no", rows_per_bucket=ROWS_PER_BUCKET) -> DataFrame:
