@@ -4,7 +4,12 @@ from pyspark.sql import functions as F
 
 from plyforge.catalog.registry import query, table
 from plyforge.operators import evaluation as ev
-from plyforge.plans.evaluation import evaluate, probe_positions
+from plyforge.plans.evaluation import (
+    answers_from_text,
+    evaluate,
+    evaluate_puzzles,
+    probe_positions,
+)
 from plyforge.catalog.corpus import OPENINGS_SQL, openings, sql_half_moves, sql_numbered, sql_shuffle_key
 
 
@@ -305,6 +310,30 @@ def _(spark, sf):
     )
 
 
+@query("evaluate_text", BASE + f"SELECT model, {RATES}, is_specialist FROM summary")
+def _(spark, sf):
+    """The same answers, as texts that go on from each position's prefix."""
+    given = answers(spark, sf)
+    prefix = F.concat(F.lit("1.a"), "position", F.lit(" b 2.c"))
+    probes = given.select("position", prefix.alias("prefix")).distinct()
+    text = F.concat(F.lit("[g_start]"), prefix, F.lit(" "), F.coalesce("move", F.lit("")), F.lit(" 3.zz 1-0"))
+    told = F.when(F.coalesce("move", F.lit("")) != "", text).otherwise(prefix)
+    told = given.select("model", "position", "sample_idx", told.alias("text"))
+    found = answers_from_text(told, probes)
+    summary = evaluate(found, legal_moves(spark, sf), best_scores(spark, sf), move_scores(spark, sf), ["click", "view"])
+    return rounded(summary, "legality_rate", "mean_cpl", "blunder_rate")
+
+
+@query(
+    "evaluate_puzzles",
+    BASE + "SELECT model, round(top1_acc, 8) AS top1_acc, round(legality_rate, 8) AS legality_rate FROM accuracy",
+)
+def _(spark, sf):
+    expected = F.concat(F.lit("m"), F.col("position") % 9, F.lit("+"))
+    given = answers(spark, sf).withColumn("puzzle_id", F.col("position")).withColumn("expected", expected)
+    return rounded(evaluate_puzzles(given, legal_moves(spark, sf))[1], "top1_acc", "legality_rate")
+
+
 PROBES = f"""
 WITH {OPENINGS_SQL},
 parsed AS (SELECT *, {sql_half_moves('pgn', 'evaluation')} AS moves FROM openings),

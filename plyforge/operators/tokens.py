@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from plyforge.functions.fixed import SPECIAL_TOKENS, UNKNOWN_ID
 from plyforge.functions.notation import TRAINER_PIECES, find_pieces, pretokenize
-from plyforge.scale import lookup_join
+from plyforge.scale import lookup_join, text_list
 from plyforge.session import checkpointed
 
 # First merge id in byte mode, highest move number that may be one token.
@@ -95,13 +95,9 @@ def merge_pairs(symbols: Column, merges) -> Column:
     """Apply (left, right, new) symbol merges one after the other."""
     if not merges:
         return symbols
-    rules = F.array(
-        *[
-            F.struct(F.lit(f"<{left}><{right}>").alias("pair"), F.lit(f"<{new}>").alias("new"))
-            for left, right, new in merges
-        ]
-    )
-    return F.aggregate(rules, symbols, lambda s, rule: F.replace(s, rule["pair"], rule["new"]))
+    pairs = text_list(f"<{left}><{right}>" for left, right, _ in merges)
+    rules = F.arrays_zip(pairs, text_list(f"<{new}>" for _, _, new in merges))
+    return F.aggregate(rules, symbols, lambda s, rule: F.replace(s, rule["0"], rule["1"]))
 
 
 def _settled(rows, complete: bool, known=frozenset()) -> list:
@@ -248,23 +244,25 @@ def symbol_vocabulary(spark: SparkSession, base, merges, specials=SPECIAL_TOKENS
 
 
 def _rules(merges: DataFrame, vocabulary: DataFrame, mode: str) -> tuple:
-    """Base rules (hex, id) and merge rules (left id, right id, new id) in rank order."""
+    """Ids of the characters, and merge rules (left id, right id, new id) in rank order."""
     rows = merges.select("rank", "left", "right", "token").orderBy("rank").limit(MAX_MERGES + 1).collect()
     if len(rows) > MAX_MERGES:
         raise ValueError(f"more than {MAX_MERGES} merges")
     if mode == "byte":
-        return [], [(r["left"], r["right"], r["token"]) for r in rows]
-    known = vocabulary.select("hex", "token_id").limit(2 * MAX_MERGES).collect()
-    ids = {row["hex"]: str(row["token_id"]) for row in known}
-    code = lambda text: ids[text.encode("utf-8").hex().upper()]
-    made = {row["token"] for row in rows}
-    specials = {token.encode("utf-8").hex().upper() for token in SPECIAL_TOKENS}
-    base = [
-        (value, number)
-        for value, number in ids.items()
-        if value not in specials and _text(value) not in made
-    ]
-    return base, [(code(r["left"]), code(r["right"]), code(r["token"])) for r in rows]
+        return {}, [(r["left"], r["right"], r["token"]) for r in rows]
+    known = vocabulary.select("hex", "token_id").limit(MAX_CHARACTERS + MAX_MERGES).collect()
+    ids = {_text(row["hex"]): str(row["token_id"]) for row in known}
+    characters = {ord(text): number for text, number in ids.items() if len(text) == 1}
+    return characters, [(ids[r["left"]], ids[r["right"]], ids[r["token"]]) for r in rows]
+
+
+def _coded_characters(piece: Column, characters: dict) -> Column:
+    """Bracketed ids of the characters, found by code point; unknown ones in a row are one id."""
+    chars = F.regexp_extract_all(piece, F.lit("(?s)(.)"), F.lit(1))
+    table = text_list(characters.get(code, "?") for code in range(max(characters, default=0) + 1))
+    code = lambda c: F.coalesce(F.get(table, F.ascii(c)), F.lit("?"))
+    coded = F.array_join(F.transform(chars, lambda c: F.concat(F.lit("<"), code(c), F.lit(">"))), "")
+    return F.regexp_replace(coded, r"(<\?>)+", f"<{UNKNOWN_ID}>")
 
 
 def ranks_are_ordered(rules) -> bool:
@@ -317,19 +315,11 @@ def encode_pieces(
     pieces: DataFrame, merges: DataFrame, vocabulary: DataFrame, mode="symbol", specials=SPECIAL_TOKENS
 ) -> DataFrame:
     """Add `ids` to distinct pieces. Unknown characters in a row give one unknown id."""
-    base, rules = _rules(merges, vocabulary, mode)
-    symbols = base_symbols(F.col("piece"), mode)
-    if mode == "symbol":
-        marked = F.replace(F.replace(symbols, F.lit("<"), F.lit("{")), F.lit(">"), F.lit("}"))
-        known = F.array(
-            *[F.struct(F.lit("{%s}" % h).alias("hex"), F.lit(f"<{i}>").alias("id")) for h, i in base]
-        )
-        coded = (
-            F.aggregate(known, marked, lambda s, rule: F.replace(s, rule["hex"], rule["id"]))
-            if base
-            else marked
-        )
-        symbols = F.regexp_replace(coded, r"(\{[0-9A-F]+\})+", f"<{UNKNOWN_ID}>")
+    characters, rules = _rules(merges, vocabulary, mode)
+    if mode == "byte":
+        symbols = base_symbols(F.col("piece"), mode)
+    else:
+        symbols = _coded_characters(F.col("piece"), characters)
     if ranks_are_ordered(rules):
         merged = merge_pairs(symbols, rules)
     else:
@@ -366,9 +356,9 @@ def bpe_encode(
 
 def _vocabulary_lookup(vocabulary: DataFrame) -> Column:
     """The token bytes as an array literal indexed by id."""
-    rows = vocabulary.select("token_id", "hex").limit(2 * MAX_MERGES).collect()
+    rows = vocabulary.select("token_id", "hex").limit(MAX_CHARACTERS + MAX_MERGES).collect()
     known = {row["token_id"]: row["hex"] for row in rows}
-    return F.lit([known.get(i, "") for i in range(max(known) + 1)])
+    return text_list(known.get(i, "") for i in range(max(known) + 1))
 
 
 def bpe_decode(encoded: DataFrame, vocabulary: DataFrame, ids="ids") -> DataFrame:

@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 from plyforge.functions.notation import next_move, numbered_text, parse_half_moves
 from plyforge.operators.corpus import SEED, seeded_sample
 from plyforge.operators.evaluation import (
+    accuracy_summary,
     centipawn_loss,
     legal_answers,
+    puzzle_accuracy,
     screen,
     screen_summary,
     tally_answers,
 )
+from plyforge.scale import lookup_join
 
 # Probe positions and their plies.
 PROBE_POSITIONS = 20
@@ -33,8 +36,11 @@ def probe_positions(openings: DataFrame, n=PROBE_POSITIONS, plies=PROBE_PLIES, s
 
 
 def answers_from_text(generations: DataFrame, probes: DataFrame) -> DataFrame:
-    """Add `move` to generations that carry their prompt: the first move beyond `prefix`."""
-    return generations.join(F.broadcast(probes), "position").withColumn(
+    """Add `move` to generated texts: the first move beyond the position's `prefix`.
+
+    generations: (…, position, text); probes: (position, prefix).
+    """
+    return lookup_join(generations, probes.select("position", "prefix"), "position").withColumn(
         "move", next_move(F.col("prefix"), F.col("text"))
     )
 
@@ -53,3 +59,14 @@ def evaluate(
     """
     judged = centipawn_loss(legal_answers(tally_answers(answers), legal_moves), best, move_scores)
     return screen_summary(screen(judged, specialists, n_gens))
+
+
+def evaluate_puzzles(answers: DataFrame, legal_moves: DataFrame, n_gens=None) -> tuple:
+    """(results, summary) of answers (model, puzzle_id, position, move, expected).
+
+    Results have one row per model and puzzle, the summary one per model.
+    """
+    keys = ("model", "puzzle_id", "position", "move", "expected")
+    judged = legal_answers(tally_answers(answers, keys), legal_moves)
+    results = puzzle_accuracy(judged, n_gens)
+    return results, accuracy_summary(results)

@@ -26,6 +26,11 @@ HEX_STEP = 3
 ABOVE_HEX = "g"
 
 
+def text_list(values) -> Column:
+    """A long list of texts without `;` as one literal; Spark splits it while planning."""
+    return F.split(F.lit(";".join(values)), ";")
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A file scan with fewer splits than there are cores, dealt out to all of them.
 
@@ -64,16 +69,16 @@ def _any_null(columns):
 
 
 def _hot_keys(fact: DataFrame, on: list, hot_rows: int, counts=None):
-    """Keys with at least max(hot_rows, total / MAX_HOT_KEYS) rows: never more than MAX_HOT_KEYS."""
+    """The keys with at least `hot_rows` rows, the MAX_HOT_KEYS largest of them.
+
+    Any other key holds either few rows or less than 1 / MAX_HOT_KEYS of all rows.
+    """
     if counts is None:
         counts = fact.where(~_any_null(on)).groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    floor = max(hot_rows, ceil(total / MAX_HOT_KEYS))
-    if total < floor:
-        return None
-    found = counts.where(F.col("n") >= floor).select(*on)
-    rows = found.collect()
-    return fact.sparkSession.createDataFrame(rows, found.schema) if rows else None
+    found = counts.where(F.col("n") >= hot_rows).orderBy(F.desc("n")).limit(MAX_HOT_KEYS)
+    rows = found.select(*on).collect()
+    schema = counts.select(*on).schema
+    return fact.sparkSession.createDataFrame(rows, schema) if rows else None
 
 
 def lookup_join(
@@ -138,7 +143,8 @@ def range_bucket(df: DataFrame, key: str, n_buckets: int) -> Column:
     if not bounds:
         return F.lit(0)
     steps = [1 << bit for bit in reversed(range(len(bounds).bit_length()))]
-    table = F.lit(bounds)
+    kind = dict(df.dtypes)[key]
+    table = text_list(repr(bound) for bound in bounds).cast(f"array<{kind}>")
     return F.aggregate(
         F.lit(steps),
         F.lit(0),

@@ -32,6 +32,7 @@ def test_known_counts_find_the_same_hot_keys(spark):
     counts = fact.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     assert [tuple(r) for r in scale._hot_keys(fact, ["k"], 100, counts).collect()] == [(0,)]
     assert scale._hot_keys(fact, ["k"], 600, counts) is None
+    assert scale._hot_keys(fact, ["k"], 600) is None
 
 
 def test_broadcast_needs_few_and_short_rows(spark):

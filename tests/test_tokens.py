@@ -59,7 +59,7 @@ def random_pieces(seed, alphabet):
     }
 
 
-@pytest.mark.parametrize("alphabet", ["ab", "aab", "abcdef", "aé♞", "<>{}"])
+@pytest.mark.parametrize("alphabet", ["ab", "aab", "abcdef", "aé♞😀", "<>{}"])
 @pytest.mark.parametrize("mode", ["symbol", "byte"])
 def test_learning_equals_one_merge_at_a_time(spark, alphabet, mode):
     pieces = random_pieces(len(alphabet), alphabet)
@@ -91,7 +91,7 @@ GAMES = [
     "1.e4 e5 2.Nf3 Nc6 3.Bb5 a6 4.Ba4+ Nf6 10.O-O",
     "1.e4 c5 2.Nf3 d6 3.d4 cxd4 4.Nxd4 Nf6 5.Nc3",
     "",
-    "é ♞ [g_end][g_start]",
+    "é ♞ 😀😀 [g_end][g_start]",
 ]
 
 
