@@ -9,6 +9,7 @@ from plyforge.plans.evaluation import (
     evaluate,
     evaluate_puzzles,
     probe_positions,
+    resume_run,
 )
 from plyforge.catalog.corpus import OPENINGS_SQL, openings, sql_half_moves, sql_numbered, sql_shuffle_key
 
@@ -235,6 +236,28 @@ def _(spark, sf):
     return ev.remaining_work(grid, done, ["puzzle_id", "model", "n_hits"])
 
 
+@query(
+    "resume_run",
+    """WITH done AS (SELECT user_id AS puzzle_id, event_type AS model, max_by(value, event_id) AS value FROM events
+  WHERE event_id % 5 = 0 AND event_type <> 'error' AND user_id % 4 <> 0 GROUP BY ALL),
+grid AS (SELECT u.puzzle_id, m.model FROM (SELECT DISTINCT user_id AS puzzle_id FROM events WHERE user_id % 4 <> 0) u,
+  (SELECT DISTINCT event_type AS model FROM events WHERE event_type <> 'error') m)
+SELECT puzzle_id, model, value, d.puzzle_id IS NOT NULL AS finished FROM grid LEFT JOIN done d USING (puzzle_id, model)""",
+)
+def _(spark, sf):
+    events = table(spark, sf, "events").select(
+        F.col("user_id").alias("puzzle_id"), F.col("event_type").alias("model"), "value", "event_id"
+    )
+    puzzles = events.where(F.col("puzzle_id") % 4 != 0).select("puzzle_id").distinct()
+    names = [name for name in models(spark, sf) if name != "error"]
+    grid = ev.eval_grid(puzzles, names, 1).drop("sample_idx")
+    registered = spark.createDataFrame([(name,) for name in names], "model string")
+    existing = events.where(F.col("event_id") % 5 == 0)
+    kept, remaining = resume_run(existing, grid, puzzles, registered, ["value"], "event_id")
+    finished = kept.drop("event_id").withColumn("finished", F.lit(True))
+    return finished.unionByName(remaining.withColumns({"value": F.lit(None).cast("double"), "finished": F.lit(False)}))
+
+
 @query(
     "keep_last",
     """SELECT user_id AS puzzle_id, event_type AS model, max_by(value, event_id) AS value, max(event_id) AS event_id

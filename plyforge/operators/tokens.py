@@ -21,6 +21,7 @@ LAST_TURN = 300
 
 TOP_PAIRS = 256
 MAX_MERGES = 20_000
+FOLD_MERGES = 64  # trying every rule on a piece costs more than looking up its own pairs
 MAX_CHARACTERS = 1_200_000  # more than Unicode has
 ROUNDS_PER_CHECKPOINT = 10
 SPECIAL_PATTERN = r"\[g_start\]|\[g_end\]|\[unknown\]|\[pad\]"
@@ -281,7 +282,7 @@ def ranks_are_ordered(rules) -> bool:
 
 
 def _lowest_rank_first(rules):
-    """The general encoder as a vectorised function, for merge lists out of order."""
+    """The general encoder as a vectorised function, for long merge lists and ones out of order."""
     ranks = {}
     for rank, (left, right, new) in enumerate(rules):
         ranks.setdefault((left, right), (rank, new))
@@ -320,7 +321,7 @@ def encode_pieces(
         symbols = base_symbols(F.col("piece"), mode)
     else:
         symbols = _coded_characters(F.col("piece"), characters)
-    if ranks_are_ordered(rules):
+    if len(rules) <= FOLD_MERGES and ranks_are_ordered(rules):
         merged = merge_pairs(symbols, rules)
     else:
         merged = _lowest_rank_first(rules)(symbols)

@@ -8,11 +8,14 @@ from plyforge.operators.corpus import SEED, seeded_sample
 from plyforge.operators.evaluation import (
     accuracy_summary,
     centipawn_loss,
+    keep_last,
     legal_answers,
     puzzle_accuracy,
+    remaining_work,
     screen,
     screen_summary,
     tally_answers,
+    valid_keys,
 )
 from plyforge.scale import lookup_join
 
@@ -70,3 +73,22 @@ def evaluate_puzzles(answers: DataFrame, legal_moves: DataFrame, n_gens=None) ->
     judged = legal_answers(tally_answers(answers, keys), legal_moves)
     results = puzzle_accuracy(judged, n_gens)
     return results, accuracy_summary(results)
+
+
+def resume_run(
+    existing: DataFrame,
+    grid: DataFrame,
+    puzzles: DataFrame,
+    models: DataFrame,
+    required,
+    order: str,
+    keys=("puzzle_id", "model"),
+) -> tuple:
+    """(kept, remaining): finished rows of this run, and the grid rows still to do.
+
+    Of equal keys the last row counts. Without a required column the run starts fresh.
+    """
+    if not set(required) <= set(existing.columns):
+        return existing.limit(0), grid
+    kept = valid_keys(keep_last(existing, list(keys), order), models, puzzles)
+    return kept, remaining_work(grid, kept, required, keys)

@@ -10,14 +10,15 @@ from plyforge.operators.puzzles import (
     RATING_LOW,
     UNWANTED_THEMES,
     WANTED_THEMES,
+    attempt_outcome,
     exclude_themes,
     new_only,
     position_context,
-    attempt_outcome,
     rating_band,
     require_themes,
     uci_to_san,
 )
+from plyforge.session import checkpointed
 
 
 def select_candidates(
@@ -102,7 +103,6 @@ def puzzle_dataset(
     **filters,
 ) -> DataFrame:
     """A random `count` of the new candidates, checked and turned into records."""
-    chosen = seeded_sample(
-        select_candidates(catalogue, existing, **filters), count, "PuzzleId", seed=seed
-    )
+    candidates = select_candidates(catalogue, existing, **filters)
+    chosen = checkpointed(seeded_sample(candidates, count, "PuzzleId", seed=seed))
     return puzzle_records(puzzle_attempts(chosen, legal_moves, game_positions, games))

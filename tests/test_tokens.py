@@ -107,7 +107,9 @@ def test_round_trip(spark, mode):
     assert encoded.where("size(ids) = 0").count() == 1
 
 
-def test_encoding_equals_lowest_rank_first(spark):
+@pytest.mark.parametrize("fold", [64, 0])
+def test_encoding_equals_lowest_rank_first(spark, monkeypatch, fold):
+    monkeypatch.setattr(tk, "FOLD_MERGES", fold)
     pieces = random_pieces(3, "abcd")
     rules = plain_training(pieces, 15, True)
     df = spark.createDataFrame([(p,) for p in pieces], "piece string")
