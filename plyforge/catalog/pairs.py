@@ -45,7 +45,7 @@ valid AS (
 """
 
 
-@query("replay", ROLES + "SELECT * FROM walk")
+@query("replay", ROLES + "SELECT game_id, ply::INTEGER AS ply, state_before, move, state_after FROM walk")
 def _(spark, sf):
     return rp.replay(role_games(spark, sf), role_steps(spark, sf), "start")
 
@@ -112,7 +112,7 @@ firsts AS (SELECT position, min_by({'game_id': game_id, 'ply': ply}, {'game_id':
 
 @query(
     "replay_lookup",
-    SUPPLIER_STEPS + "SELECT game_id, ply, state_before::VARCHAR AS state_before, move, state_after::VARCHAR AS state_after FROM walk",
+    SUPPLIER_STEPS + "SELECT game_id, ply::INTEGER AS ply, state_before::VARCHAR AS state_before, move, state_after::VARCHAR AS state_after FROM walk",
 )
 def replay_lookup(spark, sf):
     return rp.replay(event_games(spark, sf), supplier_steps(spark, sf), 1)
@@ -120,7 +120,7 @@ def replay_lookup(spark, sf):
 
 @query(
     "replay_join",
-    SUPPLIER_STEPS.replace("% 23", "% 3") + "SELECT game_id, ply, state_before::VARCHAR AS state_before, move, state_after::VARCHAR AS state_after FROM walk",
+    SUPPLIER_STEPS.replace("% 23", "% 3") + "SELECT game_id, ply::INTEGER AS ply, state_before::VARCHAR AS state_before, move, state_after::VARCHAR AS state_after FROM walk",
 )
 def replay_join(spark, sf):
     return rp.replay(event_games(spark, sf), supplier_steps(spark, sf, missing=3), 1, method="join")
@@ -128,7 +128,7 @@ def replay_join(spark, sf):
 
 @query(
     "unique_positions",
-    SUPPLIER_STEPS + "SELECT position::VARCHAR AS position, f.game_id AS game_id, f.ply AS ply FROM firsts",
+    SUPPLIER_STEPS + "SELECT position::VARCHAR AS position, f.game_id AS game_id, f.ply::INTEGER AS ply FROM firsts",
 )
 def _(spark, sf):
     reached = rp.reached_positions(event_games(spark, sf), supplier_steps(spark, sf), 1)
@@ -178,7 +178,7 @@ def _(spark, sf):
     return pr.best_candidate(candidates(spark, sf))
 
 
-@query("candidate_losses", f"WITH {CANDIDATES}, {LOSSES} SELECT position, pv_rank, move, cp, best_cp, loss, side FROM losses")
+@query("candidate_losses", f"WITH {CANDIDATES}, {LOSSES} SELECT position, pv_rank::INTEGER AS pv_rank, move, cp, best_cp, loss, side FROM losses")
 def _(spark, sf):
     return pr.candidate_losses(candidates(spark, sf))
 

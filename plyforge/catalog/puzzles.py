@@ -153,7 +153,7 @@ def _(spark, sf):
     return pz.attach_source_game(puzzles, source)
 
 
-@query("position_context", CATALOGUE + f"SELECT PuzzleId AS puzzle_id, ply, {CONTEXT} FROM attempts")
+@query("position_context", CATALOGUE + f"SELECT PuzzleId AS puzzle_id, ply::INTEGER AS ply, {CONTEXT} FROM attempts")
 def _(spark, sf):
     return attempts(spark, sf).select("puzzle_id", "ply", "pgn_context")
 
@@ -161,7 +161,7 @@ def _(spark, sf):
 @query(
     "position_context_after_move",
     CATALOGUE
-    + f"SELECT PuzzleId AS puzzle_id, nullif(ply, 0) AS ply, CASE WHEN ply > 0 THEN {sql_numbered('moves[1:ply]')} END AS pgn_context FROM attempts",
+    + f"SELECT PuzzleId AS puzzle_id, nullif(ply, 0)::INTEGER AS ply, CASE WHEN ply > 0 THEN {sql_numbered('moves[1:ply]')} END AS pgn_context FROM attempts",
 )
 def _(spark, sf):
     found = plan.puzzle_attempts(

@@ -37,7 +37,7 @@ j AS (SELECT *, CASE WHEN exit_code <> 0 THEN 'failed' WHEN pass_rate IS NULL TH
     WHEN pass_rate >= 80 THEN printf('pass rate %.1f%% >= target 80.0%%', pass_rate)
     WHEN delta_pp < 3 THEN printf('improvement %+.1f pp < threshold 3.0 pp', delta_pp) END AS stop_reason FROM d),
 s AS (SELECT *, count(stop_reason) OVER (PARTITION BY chain ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stops FROM j)
-SELECT chain, round, exit_code, pass_rate, val_loss, delta_pp, status, stop_reason FROM s WHERE stops = 0""",
+SELECT chain, round::INTEGER AS round, exit_code, pass_rate, val_loss, delta_pp, status, stop_reason FROM s WHERE stops = 0""",
 )
 def _(spark, sf):
     return runs.round_progress(rounds(spark, sf))

@@ -23,7 +23,7 @@ def sql_byte_symbols(piece):
 
 def sql_pairs(symbols):
     """Adjacent symbols of table `{symbols}(s, freq)` with their weighted counts."""
-    return f"""SELECT l, r, sum(freq) AS n FROM (
+    return f"""SELECT l, r, sum(freq)::BIGINT AS n FROM (
   SELECT unnest(list_zip(a[1:len(a) - 1], a[2:len(a)])) AS p, p[1] AS l, p[2] AS r, freq
   FROM (SELECT string_split(s[2:len(s) - 1], '><') AS a, freq FROM {symbols}) WHERE len(a) > 1) GROUP BY l, r"""
 
@@ -83,7 +83,7 @@ def encoded_words(spark, sf):
 
 @query(
     "byte_tokens",
-    """SELECT doc_id, ('0x' || h)::INTEGER AS token, count(*) AS n, sum(pos) AS places FROM (
+    """SELECT doc_id, ('0x' || h)::INTEGER AS token, count(*) AS n, sum(pos)::BIGINT AS places FROM (
   SELECT doc_id, unnest(a) AS h, generate_subscripts(a, 1) - 1 AS pos FROM (
     SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS a FROM documents)) GROUP BY ALL""",
 )

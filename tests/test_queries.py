@@ -8,6 +8,13 @@ import pytest
 import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
+KINDS = {
+    "int": "INTEGER",
+    "bigint": "BIGINT",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+}
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -39,8 +46,9 @@ def test_query(spark, duck, name):
     rows = sorted_rows([tuple(row) for row in found.collect()], found.columns)
     result = duck.execute(SQL[name])
     columns = [column[0] for column in result.description]
-    assert sorted(found.columns) == sorted(columns)
     assert rows == sorted_rows(result.fetchall(), columns)
+    kinds = {row[0]: row[1] for row in duck.execute("DESCRIBE " + SQL[name]).fetchall()}
+    assert {column: KINDS[kind] for column, kind in found.dtypes} == kinds
 
 
 def test_entry(spark):
