@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from plyforge.catalog.corpus import WORDS, games, sql_numbered, word_list, SQL_RESULTS
+from plyforge.catalog.corpus import WORDS, games, sql_numbered, word_list
 from plyforge.catalog.registry import documents, query, table
 from plyforge.functions import scoring as sc
 from plyforge.functions.notation import TRAINER_PIECES

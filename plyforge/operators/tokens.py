@@ -218,7 +218,7 @@ def train_bpe(
     symbols = counted.select(
         F.explode(symbol_list(base_symbols(F.col("piece")))).alias("s")
     ).distinct()
-    base = sorted(row[0] for row in symbols.limit(MAX_CHARACTERS).collect())
+    base = sorted(row[0] for row in symbols.where(F.col("s") != "").limit(MAX_CHARACTERS).collect())
     merges = learn_merges(counted, n_merges or vocab_size - len(specials) - len(base), mode)
     return merge_table(spark, merges, mode), symbol_vocabulary(spark, base, merges, specials)
 
@@ -325,7 +325,7 @@ def encode_pieces(
         merged = merge_pairs(symbols, rules)
     else:
         merged = _lowest_rank_first(rules)(symbols)
-    ids = F.transform(symbol_list(merged), lambda s: s.cast("int"))
+    ids = F.transform(F.filter(symbol_list(merged), lambda s: s != ""), lambda s: s.cast("int"))
     for number, token in enumerate(specials if mode == "symbol" else ()):
         ids = F.when(F.col("piece") == token, F.array(F.lit(number))).otherwise(ids)
     return pieces.withColumn("ids", ids)

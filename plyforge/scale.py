@@ -41,11 +41,13 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 def _row_bytes(df: DataFrame) -> Column:
-    """Bytes of a row: texts by length, numbers as 8, nested columns as their JSON."""
+    """Bytes of a row: texts by length, numbers as 8 each, other nested columns as their JSON."""
     total = F.lit(0)
     for name, kind in df.dtypes:
         if kind in ("string", "binary"):
             total = total + F.coalesce(F.octet_length(name), F.lit(0))
+        elif kind in ("array<int>", "array<bigint>", "array<float>", "array<double>"):
+            total = total + 8 * F.coalesce(F.size(name), F.lit(0))
         elif kind.startswith(("array", "map", "struct")):
             total = total + F.octet_length(F.to_json(F.struct(name)))
         else:
@@ -144,7 +146,7 @@ def range_bucket(df: DataFrame, key: str, n_buckets: int) -> Column:
         return F.lit(0)
     steps = [1 << bit for bit in reversed(range(len(bounds).bit_length()))]
     kind = dict(df.dtypes)[key]
-    table = text_list(repr(bound) for bound in bounds).cast(f"array<{kind}>")
+    table = text_list(str(bound) for bound in bounds).cast(f"array<{kind}>")
     return F.aggregate(
         F.lit(steps),
         F.lit(0),

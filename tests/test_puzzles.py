@@ -1,8 +1,5 @@
-import io
-
 import pytest
 import zstandard
-from pyspark.sql import functions as F
 
 from plyforge.operators import puzzles as pz
 from plyforge.sources import games as sg

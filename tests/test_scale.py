@@ -41,6 +41,7 @@ def test_broadcast_needs_few_and_short_rows(spark):
     long = spark.range(2).select(F.repeat(F.lit("x"), 1000).alias("t"), F.lit([1, 2]).alias("a"))
     assert not scale.fits_broadcast(long, max_bytes=1500)
     assert scale.fits_broadcast(long, max_bytes=3000)
+    assert not scale.fits_broadcast(spark.range(9).select(F.lit([[1]]).alias("n")), max_bytes=50)
     assert scale.fits_broadcast(spark.range(0))
 
 

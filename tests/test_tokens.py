@@ -138,6 +138,14 @@ def test_unknown_characters_are_fused(spark):
     assert found == {"ab": [6], "xyab": [2, 6], "axyzb": [4, 2, 5], "[pad]": [3]}
 
 
+def test_empty_pieces_have_no_ids(spark):
+    docs = corpus(spark, ["ab  ab", " "])
+    pieces = F.split("text", " ")
+    merges, vocabulary = tk.train_bpe(docs, pieces, n_merges=1)
+    found = {r["doc_id"]: r["ids"] for r in tk.bpe_encode(docs, pieces, merges, vocabulary).collect()}
+    assert found == {0: [6, 6], 1: []}
+
+
 def test_merge_overlap(spark):
     row = spark.createDataFrame([("aaa",)], "p string").select(
         tk.symbol_list(tk.merge_pairs(tk.base_symbols(F.col("p")), [("61", "61", "6161")]))

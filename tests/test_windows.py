@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from plyforge.operators import metrics as mt
 from plyforge.operators import windows as wn
