@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from plyforge.catalog import registry
 
 DATA = "/root/testdata/sf0.001"
 KINDS = {
@@ -15,7 +16,7 @@ KINDS = {
     "string": "VARCHAR",
     "boolean": "BOOLEAN",
 }
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registry.QUERIES, registry.SQL
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
