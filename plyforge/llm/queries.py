@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from plyforge.llm import decontamination
+from plyforge.llm import decontamination, packing
 from plyforge.llm.registry import query, table
 
 
@@ -49,3 +49,18 @@ def op2_decontaminate(spark, folder):
         decontamination.items_digest(F.col("items")).alias("items_sha256"),
         "contaminated",
     )
+
+
+@query("op4_pack")
+def op4_pack(spark, folder):
+    """All documents packed into sequences of at most 2048 tokens."""
+    pieces = packing.pack(table(spark, folder, "documents"))
+    return pieces.select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
