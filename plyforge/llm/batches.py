@@ -104,10 +104,14 @@ def word_starts(data, bounds, table):
     return mapped, np.flatnonzero(first)
 
 
-def word_hashes(column, table=WORD_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the rows in order, and the bounds of each row's words."""
+def word_hashes(column, table=WORD_BYTES, heads=()):
+    """Hashes of all words of the rows in order, and the bounds of each row's words.
+
+    With `heads` also, for each of these ascending lengths, the hashes of the words' first bytes.
+    """
     data, bounds = raw(column)
     hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    cut = [[np.zeros(0, np.uint64)] for _ in heads]
     for start, end in _cuts(data, bounds, table):
         part = data[start:end]
         mapped, at = word_starts(part, bounds - start, table)
@@ -115,10 +119,19 @@ def word_hashes(column, table=WORD_BYTES) -> tuple[np.ndarray, np.ndarray]:
             continue
         lengths = np.diff(np.append(at, len(part)))
         inner = np.arange(at[0], len(part)) - np.repeat(at, lengths)
-        weighted = mapped[at[0] :].astype(np.uint64) * _powers(int(lengths.max()))[inner]
+        powers = _powers(int(lengths.max()))
+        weighted = mapped[at[0] :].astype(np.uint64) * powers[inner]
         hashes.append(mixed(np.add.reduceat(weighted, at - at[0]) + FACTOR))
         places.append(at + start)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(places), bounds)
+        total, done = np.zeros(len(at), np.uint64), 0
+        for size, out in zip(heads, cut):
+            for j in range(done, min(size, len(powers))):
+                own = mapped[np.minimum(at + j, len(part) - 1)].astype(np.uint64) * powers[j]
+                total += np.where(lengths > j, own, np.uint64(0))
+            done = size
+            out.append(mixed(total + FACTOR))
+    words, rows = np.concatenate(hashes), np.searchsorted(np.concatenate(places), bounds)
+    return (words, rows, [np.concatenate(out) for out in cut]) if heads else (words, rows)
 
 
 def word_counts(column, table=WORD_BYTES) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from plyforge.llm import decontamination, packing
+from plyforge.llm import decontamination, packing, toxicity
 from plyforge.llm.registry import query, table
 
 
@@ -64,3 +64,16 @@ def op4_pack(spark, folder):
         "sequence_id",
         "offset",
     )
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark, folder):
+    """A toxicity score of every document, learned outside the held-out fold."""
+    scored = toxicity.score(
+        table(spark, folder, "documents"),
+        table(spark, folder, "labels"),
+        keep=lambda doc_id: ~toxicity.held_out(doc_id),
+    )
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"
+    )
