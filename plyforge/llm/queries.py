@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from plyforge.llm import decontamination, packing, toxicity
+from plyforge.llm import decontamination, licenses, packing, toxicity
 from plyforge.llm.registry import query, table
 
 
@@ -77,3 +77,9 @@ def op6_toxicity(spark, folder):
     return scored.select(
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"
     )
+
+
+@query("op10_licenses")
+def op10_licenses(spark, folder):
+    """Licence phrases and labels of every document."""
+    return licenses.summary(licenses.scan(table(spark, folder, "documents")))
