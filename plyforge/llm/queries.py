@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from plyforge.llm import decontamination, licenses, packing, toxicity
+from plyforge.llm import decontamination, html, licenses, packing, toxicity
 from plyforge.llm.registry import query, table
 
 
@@ -83,3 +83,10 @@ def op6_toxicity(spark, folder):
 def op10_licenses(spark, folder):
     """Licence phrases and labels of every document."""
     return licenses.summary(licenses.scan(table(spark, folder, "documents")))
+
+
+@query("op7_main_text")
+def op7_main_text(spark, folder):
+    """The main text of every page."""
+    found = html.main_text(table(spark, folder, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
