@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from plyforge.llm import decontamination, html, licenses, packing, toxicity
+from plyforge.llm import decontamination, html, licenses, packing, toolcalls, toxicity
 from plyforge.llm.registry import query, table
 
 
@@ -90,3 +90,33 @@ def op7_main_text(spark, folder):
     """The main text of every page."""
     found = html.main_text(table(spark, folder, "pages"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query(
+    "op8_tool_calls",
+    r"""
+    WITH calls AS (
+        SELECT conv_id, turn, conv_id || ':' || turn AS call_id, coalesce(text, '') AS prompt,
+            CASE role WHEN 'user' THEN 'answer' ELSE 'configure' END AS name
+        FROM conversations WHERE role IN ('user', 'system')),
+    results AS (
+        SELECT conv_id, turn AS result_turn, conv_id || ':' || (turn - 1) AS call_id, text
+        FROM conversations WHERE role = 'assistant')
+    SELECT conv_id, call_id, c.turn, name, CASE WHEN c.turn IS NOT NULL THEN 0 END AS level,
+        result_turn, (c.turn IS NOT NULL)::BIGINT AS n_calls,
+        (result_turn IS NOT NULL)::BIGINT AS n_results, status,
+        '{"arguments":' || coalesce('{"chars":' || length(prompt) || ',"prompt":' || to_json(prompt)
+            || ',"turn":' || c.turn || '}', 'null') || ',"id":' || to_json(call_id) || ',"name":'
+            || coalesce(to_json(name), 'null') || ',"result":' || coalesce(to_json(text), 'null')
+            || ',"status":"' || status || '"}' AS line
+    FROM calls c FULL JOIN results r USING (conv_id, call_id),
+    LATERAL (SELECT CASE WHEN c.turn IS NULL THEN 'orphan' WHEN result_turn IS NULL
+        THEN 'unanswered' ELSE 'linked' END AS status) s
+    """,
+)
+def op8_tool_calls(spark, folder):
+    """Each turn as a tool call, linked to its answer."""
+    turns = table(spark, folder, "conversations")
+    return toolcalls.link(
+        toolcalls.calls_of(turns), toolcalls.results_of(turns), toolcalls.turn_schemas(spark)
+    )
