@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from plyforge.llm import decontamination, html, licenses, packing, toolcalls, toxicity
+from plyforge.llm import decontamination, embeddings, html, licenses, packing, toolcalls, toxicity
 from plyforge.llm.registry import query, table
 
 
@@ -120,3 +120,29 @@ def op8_tool_calls(spark, folder):
     return toolcalls.link(
         toolcalls.calls_of(turns), toolcalls.results_of(turns), toolcalls.turn_schemas(spark)
     )
+
+
+@query(
+    "op5_embeddings",
+    r"""
+    WITH RECURSIVE v AS (
+        SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+        WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x:
+            x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x != 0)) > 0),
+    links AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+        ON a.vec_id != b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+    reach AS (
+        SELECT a AS node, a AS seen FROM links UNION
+        SELECT r.node, l.b FROM reach r JOIN links l ON r.seen = l.a),
+    smallest AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node),
+    counts AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+    SELECT e.vec_id, coalesce(n_links, 0)::BIGINT AS n_links,
+        coalesce(component_id, e.vec_id) AS component_id,
+        coalesce(component_id, e.vec_id) = e.vec_id AS kept
+    FROM embeddings e LEFT JOIN counts ON a = vec_id LEFT JOIN smallest ON node = vec_id
+    """,
+)
+def op5_embeddings(spark, folder):
+    """Links and components of all vectors by cosine."""
+    return embeddings.near_duplicates(table(spark, folder, "embeddings"))
