@@ -33,5 +33,6 @@ def components(links: DataFrame, a="a", b="b") -> DataFrame:
         edges = checkpointed(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
         now = _mark(edges)
         if now == mark:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
         mark = now

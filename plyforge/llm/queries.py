@@ -2,7 +2,16 @@
 
 from pyspark.sql import functions as F
 
-from plyforge.llm import decontamination, embeddings, html, licenses, packing, toolcalls, toxicity
+from plyforge.llm import (
+    decontamination,
+    embeddings,
+    html,
+    licenses,
+    minhash,
+    packing,
+    toolcalls,
+    toxicity,
+)
 from plyforge.llm.registry import query, table
 
 
@@ -146,3 +155,9 @@ def op8_tool_calls(spark, folder):
 def op5_embeddings(spark, folder):
     """Links and components of all vectors by cosine."""
     return embeddings.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query("op3_minhash")
+def op3_minhash(spark, folder):
+    """Components of documents whose shingle sets are alike by 85 in 100 or more."""
+    return minhash.near_duplicates(table(spark, folder, "documents"), percent=85)
