@@ -9,6 +9,7 @@ from plyforge.llm import (
     licenses,
     minhash,
     packing,
+    suffixes,
     toolcalls,
     toxicity,
 )
@@ -161,3 +162,9 @@ def op5_embeddings(spark, folder):
 def op3_minhash(spark, folder):
     """Components of documents whose shingle sets are alike by 85 in 100 or more."""
     return minhash.near_duplicates(table(spark, folder, "documents"), percent=85)
+
+
+@query("op9_suffix_dedup")
+def op9_suffix_dedup(spark, folder):
+    """Bytes of each document covered by 50-byte strings of earlier documents."""
+    return suffixes.summary(suffixes.repeated_bytes(table(spark, folder, "documents")))
