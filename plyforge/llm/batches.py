@@ -134,6 +134,15 @@ def word_hashes(column, table=WORD_BYTES, heads=()):
     return (words, rows, [np.concatenate(out) for out in cut]) if heads else (words, rows)
 
 
+def word_places(column, table=WORD_BYTES) -> np.ndarray:
+    """The byte at which each word starts, counted over all rows."""
+    data, bounds = raw(column)
+    places = [np.zeros(0, np.int64)]
+    for start, end in _cuts(data, bounds, table):
+        places.append(word_starts(data[start:end], bounds - start, table)[1] + start)
+    return np.concatenate(places)
+
+
 def word_counts(column, table=WORD_BYTES) -> np.ndarray:
     """The number of words of each row."""
     data, bounds = raw(column)

@@ -9,6 +9,7 @@ from plyforge.llm import (
     licenses,
     minhash,
     packing,
+    passages,
     suffixes,
     toolcalls,
     toxicity,
@@ -168,3 +169,9 @@ def op3_minhash(spark, folder):
 def op9_suffix_dedup(spark, folder):
     """Bytes of each document covered by 50-byte strings of earlier documents."""
     return suffixes.summary(suffixes.repeated_bytes(table(spark, folder, "documents")))
+
+
+@query("op1_passages")
+def op1_passages(spark, folder):
+    """Passages of 50 words and more that an earlier document holds too, or nearly."""
+    return passages.repeated_passages(table(spark, folder, "documents"))

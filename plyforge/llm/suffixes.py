@@ -147,6 +147,27 @@ def _opened(batch, row):
     return np.frombuffer(data, np.uint8), bounds, ids
 
 
+def key_rows(key, doc, chunk, buckets) -> pa.RecordBatch:
+    """A chunk's sorted distinct keys by bucket, and which of them several documents have."""
+    order = np.argsort(key, kind="stable")
+    key, doc = key[order], doc[order]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))[: len(key)]
+    several = np.zeros(0, bool)
+    if len(key):
+        several = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
+    key = key[start]
+    cut = np.searchsorted(_bucket(key, buckets), np.arange(buckets + 1, dtype=np.uint64))
+    used = np.flatnonzero(np.diff(cut))
+    return pa.RecordBatch.from_pydict(
+        {
+            "bucket": pa.array(used, pa.int64()),
+            "chunk": pa.array([chunk] * len(used), pa.int64()),
+            "keys": pa.array([key[cut[b] : cut[b + 1]].tobytes() for b in used], pa.binary()),
+            "several": pa.array([several[cut[b] : cut[b + 1]].tobytes() for b in used], pa.binary()),
+        }
+    )
+
+
 def _keys(batches, buckets):
     """Per chunk and bucket the sorted sample keys, and which of them several documents have."""
     for batch in batches:
@@ -154,21 +175,7 @@ def _keys(batches, buckets):
             data, bounds, ids = _opened(batch, row)
             place, _, _, key = _all_samples(data, bounds)
             doc = ids[np.searchsorted(bounds, place, "right") - 1]
-            order = np.argsort(key, kind="stable")
-            key, doc = key[order], doc[order]
-            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))[: len(key)]
-            several = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start) if len(key) else np.zeros(0, bool)
-            key = key[start]
-            cut = np.searchsorted(_bucket(key, buckets), np.arange(buckets + 1, dtype=np.uint64))
-            used = np.flatnonzero(np.diff(cut))
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "bucket": pa.array(used, pa.int64()),
-                    "chunk": pa.array(np.repeat(batch.column("chunk")[row].as_py(), len(used)), pa.int64()),
-                    "keys": pa.array([key[cut[b] : cut[b + 1]].tobytes() for b in used], pa.binary()),
-                    "several": pa.array([several[cut[b] : cut[b + 1]].tobytes() for b in used], pa.binary()),
-                }
-            )
+            yield key_rows(key, doc, batch.column("chunk")[row].as_py(), buckets)
 
 
 def _groups(batches, name):
