@@ -305,7 +305,7 @@ def near_duplicates(
     )
     once = narrow.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "rep")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laden = tasks.join(once, "rep").repartition(partitions, *_UNIT).sortWithinPartitions(*_UNIT, "rep")
+    laden = tasks.hint("merge").join(once, "rep").repartition(partitions, *_UNIT).sortWithinPartitions(*_UNIT, "rep")
     links = written(
         laden.mapInArrow(lambda batches: _linked(batches, n, percent), "a long, b long"), "links"
     )
