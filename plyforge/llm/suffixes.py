@@ -453,7 +453,7 @@ def repeated_bytes(
     once = docs.select(
         F.col(doc_id).cast("long").alias("rep"), F.col(text).cast("string").alias("text")
     ).where(f"octet_length(text) >= {LENGTH}")
-    chunks = once.join(reps.select("rep").distinct(), "rep", "left_semi").mapInArrow(
+    chunks = once.join(reps.select("rep").distinct().hint("merge"), "rep", "left_semi").mapInArrow(
         _chunked, "chunk long, ids array<long>, bounds array<long>, data binary"
     )
     chunks = written(chunks, "chunks")
