@@ -126,7 +126,7 @@ TEXTS = (
     ("open-source", "open source licen", 3, r"\bopen[- ]source licen[cs]e\b"),
     ("terms-of-use", "terms of", 2, r"\bterms of (?:use|service)\b"),
 )
-GRANT = r"(?:licen[cs]ed|released|distributed|available|published|provided|covered)(?: to you)? (?:under|by) (?:the )?(?:terms of )?(?:the )?(?:{})"
+GRANT = r"\b(?:licen[cs]ed|released|distributed|available|published|provided|covered)(?: to you)? (?:under|by) (?:the )?(?:terms of )?(?:the )?\b(?:{})"
 CONFIDENCE = ((40, 0.99), (30, 0.95), (20, 0.8), (10, 0.5), (0, 0.3))
 BASE_CONFIDENCE = 0.8
 
@@ -144,7 +144,7 @@ def rules() -> tuple[Rule, ...]:
     out = [Rule(label, key, priority, pattern) for label, key, priority, pattern in TEXTS]
     for label, key, names, ids, address in FAMILIES:
         for name in names:
-            out.append(Rule(label, key, 20, name))
+            out.append(Rule(label, key, 20, rf"(?<!\w)(?:{name})"))
             out.append(Rule(label, key, 30, GRANT.format(name)))
         out.append(Rule(label, address.split("/")[0].split("\\")[0], 25, address))
         for code in ids:
