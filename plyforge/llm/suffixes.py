@@ -21,6 +21,7 @@ repeated rows come back as often; an empty table gives no rows; other columns ar
 `repeated_bytes` and kept by `deduplicate`; long texts are worked through in blocks.
 """
 
+import hashlib
 from math import ceil
 
 import numpy as np
@@ -123,23 +124,56 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
+CHUNKS = "chunk long, ids array<long>, digests array<string>, bounds array<long>, data binary"
+
+
 def _chunked(batches):
-    """Texts as compressed chunks with their ids; the chunk's number holds the task's."""
+    """Texts as compressed chunks with their ids and digests; the chunk's number holds the task's."""
     number = TaskContext.get().partitionId() << 32
     pack = zstandard.ZstdCompressor(3).compress
     for batch in B.slices(batches, "text", CHUNK_BYTES):
         data, bounds = B.raw(batch.column("text"))
+        whole = data.tobytes()
+        edges = bounds.tolist()
+        digests = [hashlib.md5(whole[a:b]).hexdigest() for a, b in zip(edges[:-1], edges[1:])]
         yield pa.RecordBatch.from_pydict(
             {
                 "chunk": pa.array([number], pa.int64()),
-                "ids": pa.array([batch.column("rep").to_pylist()], pa.list_(pa.int64())),
-                "bounds": pa.array([bounds.tolist()], pa.list_(pa.int64())),
-                "data": pa.array([pack(data.tobytes())], pa.binary()),
+                "ids": pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
+                "digests": pa.array([digests], pa.list_(pa.string())),
+                "bounds": pa.array([edges], pa.list_(pa.int64())),
+                "data": pa.array([pack(whole)], pa.binary()),
             }
         )
         number += 1
 
 
+def chunked(docs: DataFrame, least: int) -> DataFrame:
+    """Written chunks of the rows of doc_id and text with an id and at least `least` bytes."""
+    rows = docs.where(f"doc_id IS NOT NULL AND octet_length(text) >= {least}")
+    return written(rows.mapInArrow(_chunked, CHUNKS), "chunks")
+
+
+def representatives(chunks: DataFrame) -> DataFrame:
+    """The smallest document of each text, by digest."""
+    rows = chunks.select(F.explode(F.arrays_zip("ids", "digests")).alias("x"))
+    return rows.groupBy(F.col("x.digests").alias("digest")).agg(F.min("x.ids").alias("rep"))
+
+
+def copies_in(chunks: DataFrame, reps: DataFrame) -> DataFrame:
+    """Per chunk the rows whose text an earlier document has as a whole."""
+    rows = chunks.select("chunk", F.posexplode(F.arrays_zip("ids", "digests")).alias("at", "x"))
+    rows = rows.select("chunk", "at", "x.ids", F.col("x.digests").alias("digest")).join(reps, "digest")
+    return rows.where("ids > rep").groupBy("chunk").agg(F.collect_list("at").alias("copies"))
+
+
+def with_repeated(chunks: DataFrame, repeated: DataFrame, copies: DataFrame) -> DataFrame:
+    """Chunks with their repeated keys and the rows to leave out; one shuffle of compressed chunks."""
+    keys = repeated.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "keys")).alias("keys"))
+    joined = chunks.hint("merge").join(keys, "chunk")
+    return joined.join(copies.hint("merge"), "chunk", "left")
+
+
 def _opened(batch, row):
     data = zstandard.ZstdDecompressor().decompress(batch.column("data")[row].as_py())
     bounds = np.array(batch.column("bounds")[row].as_py(), np.int64)
@@ -148,26 +182,50 @@ def _opened(batch, row):
 
 
 def key_rows(key, doc, chunk, buckets) -> pa.RecordBatch:
-    """A chunk's sorted distinct keys by bucket, and which of them several documents have."""
-    order = np.argsort(key, kind="stable")
-    key, doc = key[order], doc[order]
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))[: len(key)]
+    """A chunk's distinct keys by bucket, cut to 32 bits, and which of them several documents have.
+
+    Two keys with equal bits only let a unique sample pass to the next step.
+    """
+    code = _code(key, buckets)
+    order = np.argsort(code, kind="stable")
+    code, doc = code[order], doc[order]
+    start = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))[: len(code)]
     several = np.zeros(0, bool)
-    if len(key):
+    if len(code):
         several = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
-    key = key[start]
-    cut = np.searchsorted(_bucket(key, buckets), np.arange(buckets + 1, dtype=np.uint64))
-    used = np.flatnonzero(np.diff(cut))
+    code = code[start]
+    edges = np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32)
+    cut = np.searchsorted(code, edges).tolist()
+    used = [b for b in range(buckets) if cut[b] < cut[b + 1]]
+    short = code.astype(np.uint32)
     return pa.RecordBatch.from_pydict(
         {
             "bucket": pa.array(used, pa.int64()),
             "chunk": pa.array([chunk] * len(used), pa.int64()),
-            "keys": pa.array([key[cut[b] : cut[b + 1]].tobytes() for b in used], pa.binary()),
-            "several": pa.array([several[cut[b] : cut[b + 1]].tobytes() for b in used], pa.binary()),
+            "keys": pa.array([short[cut[b] : cut[b + 1]].tobytes() for b in used], pa.binary()),
+            "several": pa.array(
+                [np.packbits(several[cut[b] : cut[b + 1]]).tobytes() for b in used], pa.binary()
+            ),
         }
     )
 
 
+def _code(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """A key's bucket and its lower half."""
+    return _bucket(keys, buckets) << np.uint64(32) | keys & np.uint64(0xFFFFFFFF)
+
+
+def wanted(keys: np.ndarray, replies: list, buckets: int) -> np.ndarray:
+    """Which keys are among a chunk's repeated ones."""
+    codes = [
+        np.frombuffer(x["keys"], np.uint32).astype(np.uint64) | np.uint64(x["bucket"] << 32)
+        for x in replies
+    ]
+    codes = np.sort(np.concatenate(codes))
+    code = _code(keys, buckets)
+    return codes[np.minimum(np.searchsorted(codes, code), len(codes) - 1)] == code
+
+
 def _keys(batches, buckets):
     """Per chunk and bucket the sorted sample keys, and which of them several documents have."""
     for batch in batches:
@@ -197,30 +255,41 @@ def _groups(batches, name):
 
 
 def _repeated(batches):
-    """Per chunk the keys that several documents have, from rows sorted by bucket."""
+    """Per chunk and bucket the keys that several documents have, from rows sorted by bucket."""
     for rows in _groups(batches, "bucket"):
         blobs = rows.column("keys").to_pylist()
-        sizes = np.array([len(blob) // 8 for blob in blobs])
-        key = np.frombuffer(b"".join(blobs), np.uint64)
-        several = np.frombuffer(b"".join(rows.column("several").to_pylist()), bool)
+        sizes = np.array([len(blob) // 4 for blob in blobs])
+        key = np.frombuffer(b"".join(blobs), np.uint32)
+        several = [
+            np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+            for bits, n in zip(rows.column("several").to_pylist(), sizes.tolist())
+        ]
         order = np.argsort(key, kind="stable")
         ordered = key[order]
         equal = ordered[1:] == ordered[:-1]
         hit = np.zeros(len(key), bool)
         hit[order[1:][equal]] = True
         hit[order[:-1][equal]] = True
-        hit |= several
+        hit |= np.concatenate(several)
         ends = np.cumsum(sizes)
         found = [key[e - n : e][hit[e - n : e]].tobytes() for e, n in zip(ends, sizes)]
         batch = pa.RecordBatch.from_arrays(
-            [rows.column("chunk").combine_chunks(), pa.array(found, pa.binary())], ["chunk", "keys"]
+            [
+                rows.column("chunk").combine_chunks(),
+                rows.column("bucket").combine_chunks(),
+                pa.array(found, pa.binary()),
+            ],
+            ["chunk", "bucket", "keys"],
         )
         yield batch.filter(pa.array([bool(x) for x in found]))
 
 
+REPEATED = "chunk long, bucket long, keys binary"
+
+
 _STRINGS = (
-    "chunk long, bucket long, strings binary, docs binary, ids array<long>, bounds array<long>,"
-    " data binary, occurrences binary"
+    "chunk long, bucket long, strings binary, docs binary, ids array<long>, digests array<string>,"
+    " bounds array<long>, data binary, occurrences binary"
 )
 _STRING_FIELDS = pa.schema(
     [
@@ -229,6 +298,7 @@ _STRING_FIELDS = pa.schema(
         ("strings", pa.binary()),
         ("docs", pa.binary()),
         ("ids", pa.list_(pa.int64())),
+        ("digests", pa.list_(pa.string())),
         ("bounds", pa.list_(pa.int64())),
         ("data", pa.binary()),
         ("occurrences", pa.binary()),
@@ -245,17 +315,16 @@ def _strings(batches, buckets):
     pack = zstandard.ZstdCompressor(1).compress
     for batch in batches:
         for at in range(batch.num_rows):
-            wanted = batch.column("keys")[at].as_py()
-            wanted = np.sort(np.frombuffer(b"".join(wanted), np.uint64))
             chunk = batch.column("chunk")[at].as_py()
             data, bounds, ids = _opened(batch, at)
+            digests = batch.column("digests")[at].as_py()
             place, first, last, key = _all_samples(data, bounds)
-            near = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
-            keep = wanted[near] == key
-            place, first, last, key = place[keep], first[keep], last[keep], key[keep]
+            row = np.searchsorted(bounds, place, "right") - 1
+            keep = wanted(key, batch.column("keys")[at].as_py(), buckets)
+            keep &= ~np.isin(row, batch.column("copies")[at].as_py() or [])
+            place, first, last, key, row = place[keep], first[keep], last[keep], key[keep], row[keep]
             if not len(place):
                 continue
-            row = np.searchsorted(bounds, place, "right") - 1
             found = np.zeros(len(place), _ROW)
             column = np.arange(COLUMNS)
             for start in range(0, len(place), 1 << 15):
@@ -287,9 +356,10 @@ def _strings(batches, buckets):
                 [
                     pa.array([chunk] * n, pa.int64()),
                     pa.array([*used.tolist(), None], pa.int64()),
-                    pa.array([*(order[cut[b] : cut[b + 1]].tobytes() for b in used), None], pa.binary()),
+                    pa.array([*(pack(order[cut[b] : cut[b + 1]].tobytes()) for b in used), None], pa.binary()),
                     pa.array([*(least[cut[b] : cut[b + 1]].tobytes() for b in used), least.tobytes()], pa.binary()),
                     pa.array([*none, ids[full].tolist()], pa.list_(pa.int64())),
+                    pa.array([*none, [digests[r] for r in full.tolist()]], pa.list_(pa.string())),
                     pa.array([*none, new.tolist()], pa.list_(pa.int64())),
                     pa.array([*none, pack(parts)], pa.binary()),
                     pa.array([*none, pack(spots.tobytes() + found["count"].tobytes())], pa.binary()),
@@ -348,8 +418,9 @@ def classes(rows: np.ndarray, docs: np.ndarray) -> np.ndarray:
 
 def _masks(batches):
     """Per chunk and string a bit for each start whose bytes an earlier document holds."""
+    unpack = zstandard.ZstdDecompressor().decompress
     for rows in _groups(batches, "bucket"):
-        blobs = rows.column("strings").to_pylist()
+        blobs = [unpack(blob) for blob in rows.column("strings").to_pylist()]
         sizes = [len(blob) // _ROW.itemsize for blob in blobs]
         raw = np.frombuffer(b"".join(blobs), f"V{_ROW.itemsize}")
         docs = np.frombuffer(b"".join(rows.column("docs").to_pylist()), np.int64)
@@ -403,24 +474,30 @@ def _removed(batches):
                 np.add.at(change, first[hit] + s, 1)
                 np.add.at(change, first[hit] + s + LENGTH, -1)
             covered = np.cumsum(change[:-1]) > 0
-            out = {"rep": [], "starts": [], "ends": [], "kept": []}
+            digests = batch.column("digests")[at].as_py()
+            out = {"rep": [], "digest": [], "starts": [], "ends": [], "sha256": [], "left": []}
             for r, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
                 own = covered[a:b]
                 if not own.any():
                     continue
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]])))
                 out["rep"].append(int(ids[r]))
+                out["digest"].append(digests[r])
                 out["starts"].append(edges[::2].tolist())
                 out["ends"].append(edges[1::2].tolist())
-                out["kept"].append(data[a:b][~own].tobytes())
+                kept = data[a:b][~own].tobytes()
+                out["sha256"].append(hashlib.sha256(kept).hexdigest())
+                out["left"].append(kept.decode(errors="ignore"))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(out["rep"], pa.int64()),
+                    pa.array(out["digest"], pa.string()),
                     pa.array(out["starts"], pa.list_(pa.int64())),
                     pa.array(out["ends"], pa.list_(pa.int64())),
-                    pa.array(out["kept"], pa.binary()),
+                    pa.array(out["sha256"], pa.string()),
+                    pa.array(out["left"], pa.string()),
                 ],
-                ["rep", "starts", "ends", "kept"],
+                ["rep", "digest", "starts", "ends", "left_sha256", "left_text"],
             )
 
 
@@ -439,36 +516,32 @@ def repeated_bytes(
 ) -> DataFrame:
     """Per row of `docs`: doc_id, digest, n_bytes, removed byte runs (starts, ends) and what is left.
 
-    `kept` is null where nothing is removed, and then `sha256` is that of the whole text.
+    `kept_sha256` is that of the remaining bytes, `left_text` what is left without the bytes of
+    characters that a cut went through; it is null where nothing is removed.
     """
     spark = docs.sparkSession
     rows = written(_digests(docs, doc_id, text), "digests")
-    long_rows = rows.where(f"n_bytes >= {LENGTH} AND doc_id IS NOT NULL")
-    reps = long_rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_bytes").alias("size"))
-    reps = written(reps, "reps")
-    total = reps.agg(F.sum("size")).first()[0] or 0
+    narrow = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")
+    )
+    chunks = chunked(narrow, LENGTH)
+    reps = written(representatives(chunks), "reps")
+    total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(1, ceil(total / bucket_bytes))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    once = docs.select(
-        F.col(doc_id).cast("long").alias("rep"), F.col(text).cast("string").alias("text")
-    ).where(f"octet_length(text) >= {LENGTH}")
-    chunks = once.join(reps.select("rep").distinct().hint("merge"), "rep", "left_semi").mapInArrow(
-        _chunked, "chunk long, ids array<long>, bounds array<long>, data binary"
-    )
-    chunks = written(chunks, "chunks")
-
-    keys = chunks.mapInArrow(
+    keys = chunks.select("chunk", "ids", "bounds", "data").mapInArrow(
         lambda batches: _keys(batches, buckets), "bucket long, chunk long, keys binary, several binary"
     )
     repeated = (
         keys.repartition(partitions, "bucket")
         .sortWithinPartitions("bucket", "chunk")
-        .mapInArrow(_repeated, "chunk long, keys binary")
+        .mapInArrow(_repeated, REPEATED)
     )
-    repeated = written(repeated, "repeated").groupBy("chunk").agg(F.collect_list("keys").alias("keys"))
     strings = written(
-        chunks.join(repeated, "chunk").mapInArrow(lambda batches: _strings(batches, buckets), _STRINGS),
+        with_repeated(chunks, written(repeated, "repeated"), copies_in(chunks, reps)).mapInArrow(
+            lambda batches: _strings(batches, buckets), _STRINGS
+        ),
         "strings",
     )
     masks = (
@@ -479,27 +552,31 @@ def repeated_bytes(
         .mapInArrow(_masks, "chunk long, bucket long, masks binary")
     )
     replies = masks.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "masks")).alias("replies"))
-    spots = strings.where("bucket IS NULL").select("chunk", "ids", "bounds", "data", "docs", "occurrences")
+    spots = strings.where("bucket IS NULL").select(
+        "chunk", "ids", "digests", "bounds", "data", "docs", "occurrences"
+    )
     found = written(
-        spots.join(replies, "chunk").mapInArrow(
-            _removed, "rep long, starts array<long>, ends array<long>, kept binary"
+        spots.hint("merge").join(replies, "chunk").mapInArrow(
+            _removed, "rep long, digest string, starts array<long>, ends array<long>, left_sha256 string, left_text string"
         ),
         "removed",
     )
-    found = found.dropDuplicates(["rep"]).withColumnRenamed("rep", "doc_id")
-
-    own = rows.join(reps.select("digest", "rep"), "digest", "left").withColumn(
+    # Rows are told apart by id and text; equal rows give one result each.
+    found = found.dropDuplicates(["rep", "digest"])
+    own = rows.join(reps, "digest", "left").withColumn(
         "copy", F.coalesce((F.col("doc_id") > F.col("rep")) & (F.col("n_bytes") >= LENGTH), F.lit(False))
     )
-    whole = F.col("copy")
-    return own.join(found, "doc_id", "left").select(
+    found = found.withColumnRenamed("rep", "doc_id")
+    whole, none = F.col("copy"), F.array().cast("array<long>")
+    sha256 = F.when(whole, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("left_sha256", "sha256"))
+    return own.join(found, ["doc_id", "digest"], "left").select(
         "doc_id",
         "digest",
         "n_bytes",
-        "sha256",
-        F.when(whole, F.array(F.lit(0).cast("long"))).otherwise(F.coalesce("starts", F.array().cast("array<long>"))).alias("starts"),
-        F.when(whole, F.array("n_bytes")).otherwise(F.coalesce("ends", F.array().cast("array<long>"))).alias("ends"),
-        F.when(whole, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
+        F.when(whole, F.array(F.lit(0).cast("long"))).otherwise(F.coalesce("starts", none)).alias("starts"),
+        F.when(whole, F.array("n_bytes")).otherwise(F.coalesce("ends", none)).alias("ends"),
+        sha256.alias("kept_sha256"),
+        F.when(whole, F.lit("")).otherwise(F.col("left_text")).alias("left_text"),
     )
 
 
@@ -511,5 +588,28 @@ def summary(found: DataFrame) -> DataFrame:
         "n_bytes",
         F.aggregate(lengths, F.lit(0).cast("long"), lambda total, n: total + n).alias("n_removed"),
         F.size("starts").cast("long").alias("n_spans"),
-        F.when(F.col("kept").isNotNull(), F.sha2("kept", 256)).otherwise(F.col("sha256")).alias("kept_sha256"),
+        "kept_sha256",
     )
+
+
+def deduplicate(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFrame:
+    """`docs` with the repeated bytes cut out of their texts; all rows and columns stay."""
+    found = repeated_bytes(docs, doc_id=doc_id, text=text).where("left_text IS NOT NULL")
+    key, new = "_digest", "_left"
+    while {key, new} & set(docs.columns):
+        key, new = key + "_", new + "_"
+    changed = found.select(
+        F.col("doc_id").alias("_changed"), F.col("digest").alias(key), F.col("left_text").alias(new)
+    ).dropDuplicates(["_changed", key])
+    body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
+    rows = docs.withColumn(key, F.md5(body)).alias("d")
+    changed = changed.hint("merge").alias("c")
+    same = (F.col(f"d.`{doc_id}`").cast("long") == F.col("c._changed")) & (
+        F.col(f"d.`{key}`") == F.col(f"c.`{key}`")
+    )
+    joined = rows.join(changed, same, "left")
+    columns = [
+        F.coalesce(F.col(f"c.`{new}`"), F.col(f"d.`{name}`")).alias(name) if name == text else F.col(f"d.`{name}`")
+        for name in docs.columns
+    ]
+    return joined.select(*columns)
