@@ -115,7 +115,7 @@ def likely(more, less, same, n1, n2, grid=64) -> np.ndarray:
     return at
 
 
-_SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"
+_SKETCH = "doc_id long, text_key long, n_shingles long, k1 long, k2 long, bands array<long>"
 
 
 def _sketched(batches, n):
@@ -134,12 +134,13 @@ def _sketched(batches, n):
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
+                batch.column("text_key"),
                 pa.array(sizes, pa.int64()),
                 pa.array(digests[:, 0]),
                 pa.array(digests[:, 1]),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[full].ravel())),
             ],
-            ["doc_id", "n_shingles", "k1", "k2", "bands"],
+            ["doc_id", "text_key", "n_shingles", "k1", "k2", "bands"],
         )
 
 
@@ -245,9 +246,10 @@ def near_duplicates(
     docs: DataFrame, *, doc_id="doc_id", text="text", n=SHINGLE, percent=PERCENT,
     block_rows=BLOCK_ROWS, block_words=BLOCK_WORDS,
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of `docs`."""
+    """doc_id, text_key (a hash), n_shingles, component_id and kept of every row of `docs`."""
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sketch = written(narrow.mapInArrow(lambda batches: _sketched(batches, n), _SKETCH), "sketch")
+    keyed_text = narrow.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    sketch = written(keyed_text.mapInArrow(lambda batches: _sketched(batches, n), _SKETCH), "sketch")
     keyed = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(
         keyed.groupBy("k1", "k2").agg(
@@ -317,6 +319,7 @@ def near_duplicates(
     component = F.coalesce("component_id", "doc_id")
     return rows.join(found, ["k1", "k2", "full"], "left").select(
         "doc_id",
+        "text_key",
         "n_shingles",
         component.alias("component_id"),
         F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
@@ -326,7 +329,10 @@ def near_duplicates(
 def deduplicate(
     docs: DataFrame, *, doc_id="doc_id", text="text", n=SHINGLE, percent=PERCENT
 ) -> DataFrame:
-    """`docs` with one document of each group: the smallest id. Of repeated ids all rows stay."""
+    """`docs` with one document of each group: the smallest id. Repeated rows of it all stay."""
     found = near_duplicates(docs, doc_id=doc_id, text=text, n=n, percent=percent)
-    gone = found.where("NOT kept").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti")
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("_id"), "text_key").distinct()
+    same = (F.col(f"d.`{doc_id}`").cast("long") == F.col("g._id")) & (
+        F.xxhash64(F.col(f"d.`{text}`").cast("string")) == F.col("g.text_key")
+    )
+    return docs.alias("d").join(gone.hint("merge").alias("g"), same, "left_anti")

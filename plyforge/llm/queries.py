@@ -162,7 +162,7 @@ def op5_embeddings(spark, folder):
 @query("op3_minhash")
 def op3_minhash(spark, folder):
     """Components of documents whose shingle sets are alike by 85 in 100 or more."""
-    return minhash.near_duplicates(table(spark, folder, "documents"), percent=85)
+    return minhash.near_duplicates(table(spark, folder, "documents"), percent=85).drop("text_key")
 
 
 @query("op9_suffix_dedup")
