@@ -48,9 +48,8 @@ def best_scores(spark, sf):
 
 
 def models(spark, sf):
-    """The registered models, a short list."""
-    rows = table(spark, sf, "events").select("event_type").distinct().orderBy("event_type").limit(1000).collect()
-    return [row[0] for row in rows]
+    """The registered models."""
+    return table(spark, sf, "events").select(F.col("event_type").alias("model")).distinct()
 
 
 def judged(spark, sf):
@@ -249,7 +248,7 @@ def _(spark, sf):
         F.col("user_id").alias("puzzle_id"), F.col("event_type").alias("model"), "value", "event_id"
     )
     puzzles = events.where(F.col("puzzle_id") % 4 != 0).select("puzzle_id").distinct()
-    names = [name for name in models(spark, sf) if name != "error"]
+    names = models(spark, sf).where("model != 'error'")
     grid = ev.eval_grid(puzzles, names, 1).drop("sample_idx")
     registered = spark.createDataFrame([(name,) for name in names], "model string")
     existing = events.where(F.col("event_id") % 5 == 0)
@@ -315,19 +314,12 @@ def _(spark, sf):
 @query(
     "puzzle_results",
     BASE
-    + f"""SELECT {RESULT}, sample_moves FROM results JOIN (
-SELECT model, puzzle_id, string_agg(coalesce(move, 'None'), '|' ORDER BY sample_idx) AS sample_moves
-FROM (SELECT *, row_number() OVER (PARTITION BY model, puzzle_id ORDER BY sample_idx) AS r FROM puzzle_answers) GROUP BY ALL)
-USING (model, puzzle_id)""",
+    + f"""SELECT {RESULT}, chunk_no, sample_moves FROM results JOIN (
+SELECT model, puzzle_id, sample_idx // 50 AS chunk_no, string_agg(coalesce(move, 'None'), '|' ORDER BY sample_idx) AS sample_moves
+FROM puzzle_answers GROUP BY ALL) USING (model, puzzle_id)""",
 )
 def _(spark, sf):
-    from pyspark.sql import Window
-
-    place = Window.partitionBy("model", "puzzle_id").orderBy("sample_idx")
-    numbered = puzzle_answers(spark, sf).withColumn("sample_idx", F.row_number().over(place) - 1)
-    found = ev.puzzle_accuracy(numbered).join(
-        ev.sample_moves(numbered).drop("chunk_no"), ["model", "puzzle_id"]
-    )
+    found = ev.puzzle_results(puzzle_answers(spark, sf), chunk=50)
     return rounded(found, "legality_rate", "top1_acc").withColumn(
         "sample_moves", F.array_join("sample_moves", "|", "None")
     )

@@ -28,21 +28,31 @@ rounds AS (
     CASE WHEN last % 17 <> 0 THEN (round * 9 + (hits * 10 // n) / 2)::DOUBLE END AS pass_rate, val_loss FROM made)"""
 
 
-@query(
-    "round_progress",
-    ROUNDS
-    + """, d AS (SELECT *, pass_rate - lag(pass_rate) OVER (PARTITION BY chain ORDER BY round) AS delta_pp FROM rounds WHERE round <= 10),
+def progress_sql(start):
+    """The rounds from `start` on, each compared with the last completed one before it."""
+    return (
+        ROUNDS
+        + f""", d AS (SELECT *, pass_rate - last_value(CASE WHEN exit_code = 0 THEN pass_rate END IGNORE NULLS)
+    OVER (PARTITION BY chain ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS delta_pp FROM rounds),
 j AS (SELECT *, CASE WHEN exit_code <> 0 THEN 'failed' WHEN pass_rate IS NULL THEN 'parse_error' ELSE 'completed' END AS status,
-  CASE WHEN exit_code <> 0 THEN 'exited with code ' || exit_code WHEN pass_rate IS NULL THEN 'could not parse pass rate from output'
-    WHEN pass_rate >= 80 THEN printf('pass rate %.1f%% >= target 80.0%%', pass_rate)
-    WHEN delta_pp < 3 THEN printf('improvement %+.1f pp < threshold 3.0 pp', delta_pp) END AS stop_reason FROM d),
+  CASE WHEN exit_code <> 0 THEN 'exit_code' WHEN pass_rate IS NULL THEN 'no_pass_rate'
+    WHEN pass_rate >= 80 THEN 'target_reached' WHEN delta_pp < 3 THEN 'small_gain' END AS stop_reason
+  FROM d WHERE round BETWEEN {start} AND {start + 9}),
 s AS (SELECT *, count(stop_reason) OVER (PARTITION BY chain ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stops FROM j)
-SELECT chain, round::INTEGER AS round, exit_code, pass_rate, val_loss, delta_pp, status, stop_reason FROM s WHERE stops = 0""",
-)
+SELECT chain, round::INTEGER AS round, exit_code, pass_rate, val_loss, delta_pp, status, stop_reason FROM s WHERE stops = 0"""
+    )
+
+
+@query("round_progress", progress_sql(1))
 def _(spark, sf):
     return runs.round_progress(rounds(spark, sf))
 
 
+@query("round_progress_resumed", progress_sql(4))
+def _(spark, sf):
+    return runs.round_progress(rounds(spark, sf), start_round=4)
+
+
 def log_lines(spark, sf):
     """(run, line_no, line): logs with metric lines among others."""
     n = F.col("event_id")

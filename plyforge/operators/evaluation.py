@@ -8,16 +8,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plyforge.functions.notation import normalise_san, san_key
-from plyforge.scale import keep_keys, lookup_join
+from plyforge.scale import fits_broadcast, keep_keys, lookup_join
 
 # Fixed value: score loss from which a move counts as a blunder.
 BLUNDER_LOSS = 200
 SAMPLE_CHUNK = 1000
 
 
-def eval_grid(positions: DataFrame, models: list, n_gens: int) -> DataFrame:
-    """Every position × model × generation, made row by row without a join."""
-    return positions.withColumn("model", F.explode(F.lit(list(models)))).withColumn(
+def eval_grid(positions: DataFrame, models: DataFrame, n_gens: int) -> DataFrame:
+    """Every position × model × generation; `models` has a column `model`, one row per model.
+
+    The grid is all of these rows by its meaning; a short list of models goes to the positions.
+    """
+    names = models.select("model").distinct()
+    if fits_broadcast(names):
+        names = F.broadcast(names)
+    return positions.crossJoin(names).withColumn(
         "sample_idx", F.explode(F.sequence(F.lit(0), F.lit(n_gens - 1)))
     )
 
@@ -148,13 +154,17 @@ def sample_moves(answers: DataFrame, keys=("model", "puzzle_id"), chunk=SAMPLE_C
     )
 
 
-def puzzle_results(answers: DataFrame, n_gens: int, keys=("model", "puzzle_id")) -> DataFrame:
-    """Accuracy rows together with their one list of moves."""
-    if n_gens > SAMPLE_CHUNK:
-        raise ValueError(f"more than {SAMPLE_CHUNK} generations: use sample_moves for the lists")
-    first = answers.where(F.col("sample_idx") < n_gens)
-    lists = sample_moves(first, keys).drop("chunk_no")
-    return puzzle_accuracy(answers, n_gens, keys).join(lists, list(keys), "left")
+def puzzle_results(
+    answers: DataFrame, n_gens=None, keys=("model", "puzzle_id"), chunk=SAMPLE_CHUNK
+) -> DataFrame:
+    """Accuracy rows with their moves, one row per list of at most `chunk` moves (`chunk_no`).
+
+    Counts and lists come from the same answers: those before `n_gens`, or all of them.
+    """
+    if n_gens is not None:
+        answers = answers.where(F.col("sample_idx") < n_gens)
+    lists = sample_moves(answers, keys, chunk)
+    return puzzle_accuracy(answers, n_gens, keys).join(lists, list(keys))
 
 
 def accuracy_summary(results: DataFrame) -> DataFrame:

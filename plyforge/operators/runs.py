@@ -34,28 +34,25 @@ def round_progress(
 ) -> DataFrame:
     """Add delta_pp, status and stop_reason to rounds (keys, round, exit_code, pass_rate, …).
 
-    Rounds after the first stop are dropped. A chain has at most `max_rounds` rounds, so its
-    window is short.
+    The gain of a round is taken over the last completed round before it, also over one before
+    `start_round`, from which a resumed chain goes on. Rounds after the first stop are dropped.
+    The reason of a stop is a code; its numbers are in exit_code, pass_rate and delta_pp.
     """
     rate = F.col("pass_rate")
-    kept = rounds.where(F.col("round").between(start_round, start_round + max_rounds - 1))
     chain = Window.partitionBy(*keys).orderBy("round")
-    delta = kept.withColumn("delta_pp", rate - F.lag(rate).over(chain))
     failed, unread = F.col("exit_code") != 0, rate.isNull()
+    finished = F.when(~failed, rate)
+    last = F.last(finished, ignorenulls=True).over(chain.rowsBetween(Window.unboundedPreceding, -1))
+    delta = rounds.where(F.col("round") < start_round + max_rounds).withColumn(
+        "delta_pp", rate - last
+    )
+    delta = delta.where(F.col("round") >= start_round)
     status = F.when(failed, "failed").when(unread, "parse_error").otherwise("completed")
     reason = (
-        F.when(failed, F.format_string("exited with code %d", "exit_code"))
-        .when(unread, "could not parse pass rate from output")
-        .when(
-            rate >= target,
-            F.format_string("pass rate %.1f%% >= target %.1f%%", rate, F.lit(float(target))),
-        )
-        .when(
-            F.col("delta_pp") < min_gain,
-            F.format_string(
-                "improvement %+.1f pp < threshold %.1f pp", "delta_pp", F.lit(float(min_gain))
-            ),
-        )
+        F.when(failed, "exit_code")
+        .when(unread, "no_pass_rate")
+        .when(rate >= target, "target_reached")
+        .when(F.col("delta_pp") < min_gain, "small_gain")
     )
     judged = delta.withColumn("status", status).withColumn("stop_reason", reason)
     stops = F.count("stop_reason").over(chain.rowsBetween(Window.unboundedPreceding, -1))

@@ -162,10 +162,12 @@ def prefix_sum(
 
     Two levels: weights are summed per key range, the short list of range totals is scanned,
     and a window inside each range adds the rest. Only (order, weight) goes through this; the
-    sums are then joined to the rows.
+    sums are then joined to the rows. A null or repeated `order` is an error.
     """
-    narrow = df.select(order, weight.cast("long").alias("_weight"))
-    rows = narrow.count()
+    narrow = checkpointed(df.select(order, weight.cast("long").alias("_weight")))
+    rows, distinct = narrow.agg(F.count(F.lit(1)), F.count_distinct(order)).first()
+    if rows != distinct:
+        raise ValueError(f"{order} is not unique")
     n_buckets = max(1, min(MAX_BUCKETS, ceil(rows / rows_per_bucket)))
     placed = narrow.withColumn("_bucket", range_bucket(narrow, order, n_buckets))
     before = F.coalesce(
@@ -174,6 +176,10 @@ def prefix_sum(
         ),
         F.lit(0),
     )
+    if n_buckets == 1:
+        sums = narrow.select(order, F.coalesce(F.sum("_weight").over(
+            Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(out))
+        return df.join(F.broadcast(sums), order)
     totals = placed.groupBy("_bucket").agg(F.sum("_weight").alias("_total"))
     scan = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(  # at most MAX_BUCKETS rows

@@ -1,11 +1,13 @@
 """Session settings and the shared checkpoint folder."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+
+
 def local_session(cpus="*", app="plyforge", partitions=8, **conf) -> SparkSession:
     """A session for tests and benchmarks; on a cluster the submitter brings its own."""
     builder = (
@@ -28,8 +30,8 @@ def local_session(cpus="*", app="plyforge", partitions=8, **conf) -> SparkSessio
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder for written intermediate rows.
 
-    It is the cluster's `spark.checkpoint.dir`. Only a local run without that setting gets a
-    temporary one.
+    It is the cluster's `spark.checkpoint.dir`. Only a local run without that setting, where the
+    driver's disk is all there is, gets a folder named after the application.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
@@ -37,7 +39,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
         if folder is None:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-            folder = tempfile.mkdtemp(prefix="plyforge-checkpoint-")
+            folder = f"{LOCAL_CHECKPOINTS}/{context.applicationId}"
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
@@ -56,5 +58,5 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as a table in the checkpoint folder and read it back by column."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -59,8 +59,10 @@ def test_hits(spark):
     assert row["sample_moves"] == ["Qh5#", "Qh5", None, "a3"]
     chunks = ev.sample_moves(df, chunk=3).orderBy("chunk_no").collect()
     assert [len(c["sample_moves"]) for c in chunks] == [3, 1]
-    with pytest.raises(ValueError):
-        ev.puzzle_results(df, 5000)
+    parts = ev.puzzle_results(df, chunk=3).orderBy("chunk_no").collect()
+    assert [(r["n_gens"], r["n_hits"], len(r["sample_moves"])) for r in parts] == [(4, 1, 3), (4, 1, 1)]
+    cut = ev.puzzle_results(df, 2).first()
+    assert (cut["n_gens"], cut["n_legal"], cut["sample_moves"]) == (2, 1, ["Qh5#", "Qh5"])
 
 
 def test_promote_needs_a_baseline(spark):
@@ -96,13 +98,24 @@ def test_stop_rule(spark):
     for r in runs.round_progress(df).orderBy("chain", "round").collect():
         kept.setdefault(r["chain"], []).append((r["status"], r["stop_reason"]))
     assert [len(kept[c]) for c in "cdefgh"] == [3, 1, 1, 1, 1, 10]
-    assert kept["c"][-1][1] == "improvement +2.0 pp < threshold 3.0 pp"
-    assert kept["d"][-1][1] == "pass rate 85.0% >= target 80.0%"
-    assert kept["e"][-1] == ("parse_error", "could not parse pass rate from output")
-    assert kept["f"][-1] == ("failed", "exited with code 2")
+    assert kept["c"][-1][1] == "small_gain"
+    assert kept["d"][-1][1] == "target_reached"
+    assert kept["e"][-1] == ("parse_error", "no_pass_rate")
+    assert kept["f"][-1] == ("failed", "exit_code")
     assert kept["h"][-1][1] is None
 
 
+def test_a_resumed_chain_goes_on_from_its_last_completed_round(spark):
+    rows = [("c", 1, 0, 50.0), ("c", 2, 0, 60.0), ("c", 3, 0, 61.0), ("c", 4, 0, 70.0)]
+    rows += [("d", 1, 0, 50.0), ("d", 2, 1, 70.0), ("d", 3, 0, 56.0)]
+    df = spark.createDataFrame(rows, "chain string, round int, exit_code int, pass_rate double")
+    kept = runs.round_progress(df, start_round=3).orderBy("chain", "round").collect()
+    assert [(r["chain"], r["round"], r["delta_pp"], r["stop_reason"]) for r in kept] == [
+        ("c", 3, 1.0, "small_gain"),
+        ("d", 3, 6.0, None),
+    ]
+
+
 def test_corpus_guards(spark):
     games = spark.range(50).select(F.col("id").alias("game_id"), F.lit("1.e4").alias("pgn"))
     openings = spark.createDataFrame([(1, "x", "1.e4")], "opening_id long, name string, pgn string")
