@@ -250,9 +250,8 @@ def _(spark, sf):
     puzzles = events.where(F.col("puzzle_id") % 4 != 0).select("puzzle_id").distinct()
     names = models(spark, sf).where("model != 'error'")
     grid = ev.eval_grid(puzzles, names, 1).drop("sample_idx")
-    registered = spark.createDataFrame([(name,) for name in names], "model string")
     existing = events.where(F.col("event_id") % 5 == 0)
-    kept, remaining = resume_run(existing, grid, puzzles, registered, ["value"], "event_id")
+    kept, remaining = resume_run(existing, grid, puzzles, names, ["value"], "event_id")
     finished = kept.drop("event_id").withColumn("finished", F.lit(True))
     return finished.unionByName(remaining.withColumns({"value": F.lit(None).cast("double"), "finished": F.lit(False)}))
 

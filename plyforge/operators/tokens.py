@@ -6,9 +6,11 @@ with the brackets. Merging a pair is then `replace('<a><b>', '<c>')`, which work
 right without overlaps.
 """
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plyforge.functions.fixed import SPECIAL_TOKENS, UNKNOWN_ID
 from plyforge.functions.notation import TRAINER_PIECES, find_pieces, pretokenize
@@ -20,9 +22,6 @@ FIRST_BYTE_MERGE = 256
 LAST_TURN = 300
 
 TOP_PAIRS = 256
-MAX_MERGES = 20_000
-FOLD_MERGES = 64  # trying every rule on a piece costs more than looking up its own pairs
-MAX_CHARACTERS = 1_200_000  # more than Unicode has
 ROUNDS_PER_CHECKPOINT = 10
 SPECIAL_PATTERN = r"\[g_start\]|\[g_end\]|\[unknown\]|\[pad\]"
 
@@ -218,7 +217,7 @@ def train_bpe(
     symbols = counted.select(
         F.explode(symbol_list(base_symbols(F.col("piece")))).alias("s")
     ).distinct()
-    base = sorted(row[0] for row in symbols.where(F.col("s") != "").limit(MAX_CHARACTERS).collect())
+    base = sorted(row[0] for row in symbols.where(F.col("s") != "").collect())
     merges = learn_merges(counted, n_merges or vocab_size - len(specials) - len(base), mode)
     return merge_table(spark, merges, mode), symbol_vocabulary(spark, base, merges, specials)
 
@@ -245,71 +244,85 @@ def symbol_vocabulary(spark: SparkSession, base, merges, specials=SPECIAL_TOKENS
 
 
 def _rules(merges: DataFrame, vocabulary: DataFrame, mode: str) -> tuple:
-    """Ids of the characters, and merge rules (left id, right id, new id) in rank order."""
-    rows = merges.select("rank", "left", "right", "token").orderBy("rank").limit(MAX_MERGES + 1).collect()
-    if len(rows) > MAX_MERGES:
-        raise ValueError(f"more than {MAX_MERGES} merges")
+    """Ids of the characters by code point, and merge rules (left id, right id, new id) by rank."""
+    rows = merges.select("rank", "left", "right", "token").orderBy("rank").collect()
     if mode == "byte":
-        return {}, [(r["left"], r["right"], r["token"]) for r in rows]
-    known = vocabulary.select("hex", "token_id").limit(MAX_CHARACTERS + MAX_MERGES).collect()
-    ids = {_text(row["hex"]): str(row["token_id"]) for row in known}
+        return {}, [(int(r["left"]), int(r["right"]), int(r["token"])) for r in rows]
+    ids = {_text(r["hex"]): r["token_id"] for r in vocabulary.select("hex", "token_id").collect()}
     characters = {ord(text): number for text, number in ids.items() if len(text) == 1}
     return characters, [(ids[r["left"]], ids[r["right"]], ids[r["token"]]) for r in rows]
 
 
+def _dictionary(entries: dict, code) -> Callable:
+    """A lookup of long keys as a column: buckets in one literal, so its size costs no time.
+
+    `entries` maps keys (tuples of numbers) to tuples of numbers; `code` combines a key's parts.
+    The column is null for an unknown key, else a struct with fields v0, v1, ….
+    """
+    size = max(1, len(entries))
+    buckets = [[] for _ in range(size)]
+    for key, values in entries.items():
+        fields = {f"k{i}": part for i, part in enumerate(key)}
+        fields |= {f"v{i}": value for i, value in enumerate(values)}
+        buckets[code(*key) % size].append(fields)
+    names = sorted({name for bucket in buckets for fields in bucket for name in fields})
+    kind = "array<array<struct<" + ", ".join(f"{name}: bigint" for name in names or ["k0"]) + ">>>"
+    table = F.from_json(F.lit(json.dumps(buckets)), kind)
+
+    def find(*key):
+        def fits(entry):
+            test = F.lit(bool(entries))
+            for i, part in enumerate(key):
+                test = test & (entry[f"k{i}"] == part) if entries else test
+            return test
+
+        return F.get(F.filter(F.get(table, F.pmod(code(*key), F.lit(size)).cast("int")), fits), F.lit(0))
+
+    return find
+
+
 def _coded_characters(piece: Column, characters: dict) -> Column:
     """Bracketed ids of the characters, found by code point; unknown ones in a row are one id."""
     chars = F.regexp_extract_all(piece, F.lit("(?s)(.)"), F.lit(1))
-    table = text_list(characters.get(code, "?") for code in range(max(characters, default=0) + 1))
-    code = lambda c: F.coalesce(F.get(table, F.ascii(c)), F.lit("?"))
+    find = _dictionary({(point,): (number,) for point, number in characters.items()}, lambda c: c)
+    if not characters:
+        code = lambda c: F.lit("?")
+    else:
+        code = lambda c: F.coalesce(find(F.ascii(c).cast("long"))["v0"].cast("string"), F.lit("?"))
     coded = F.array_join(F.transform(chars, lambda c: F.concat(F.lit("<"), code(c), F.lit(">"))), "")
     return F.regexp_replace(coded, r"(<\?>)+", f"<{UNKNOWN_ID}>")
 
 
-def ranks_are_ordered(rules) -> bool:
-    """Whether applying each merge once in rank order equals always taking the lowest rank.
+def merge_by_rank(symbols: Column, rules) -> Column:
+    """Merge the pair of the lowest rank, in all its places, until no pair has a rule.
 
-    True when every symbol has one producing merge, ranked before each merge that uses it.
+    Each step looks up the pairs that a piece holds, so the cost follows the length of the piece
+    and not the number of rules.
     """
-    made = {}
-    for rank, (_, _, new) in enumerate(rules):
-        if new in made:
-            return False
-        made[new] = rank
-    return all(
-        made.get(side, -1) < rank for rank, rule in enumerate(rules) for side in rule[:2]
-    )
-
-
-def _lowest_rank_first(rules):
-    """The general encoder as a vectorised function, for long merge lists and ones out of order."""
     ranks = {}
     for rank, (left, right, new) in enumerate(rules):
         ranks.setdefault((left, right), (rank, new))
+    if not ranks:
+        return symbols
+    find = _dictionary(ranks, lambda left, right: left * 31 + right)
 
-    @F.pandas_udf(T.StringType())
-    def encode(column):
-        def one(text):
-            symbols = text[1:-1].split("><")
-            while len(symbols) > 1:
-                known = [ranks[pair] for pair in zip(symbols, symbols[1:]) if pair in ranks]
-                if not known:
-                    break
-                _, new = best = min(known)
-                merged, i = [], 0
-                while i < len(symbols):
-                    if ranks.get(tuple(symbols[i : i + 2])) == best:
-                        merged.append(new)
-                        i += 2
-                    else:
-                        merged.append(symbols[i])
-                        i += 1
-                symbols = merged
-            return "<" + "><".join(symbols) + ">"
-
-        return column.map(one)
-
-    return encode
+    def step(text, _):
+        ids = F.transform(symbol_list(text), lambda s: s.try_cast("long"))
+
+        def ruled(right, i):
+            left = F.get(ids, i)
+            rule = find(left, right)
+            return F.when(rule.isNotNull(), F.struct(rule["v0"], left, right, rule["v1"]))
+
+        found = F.transform(F.slice(ids, F.lit(2), F.greatest(F.size(ids) - 1, F.lit(0))), ruled)
+        best = F.array_min(F.filter(found, lambda rule: rule.isNotNull()))
+        part = lambda i: best.cast("struct<rank: string, left: string, right: string, new: string>")[i]
+        pair = F.concat(F.lit("<"), part("left"), F.lit("><"), part("right"), F.lit(">"))
+        merged = F.replace(text, pair, F.concat(F.lit("<"), part("new"), F.lit(">")))
+        return F.coalesce(merged, text)
+
+    rounds = F.sequence(F.lit(1), F.greatest(F.size(symbol_list(symbols)), F.lit(1)))
+    return F.aggregate(rounds, symbols, step)
 
 
 def encode_pieces(
@@ -321,10 +334,7 @@ def encode_pieces(
         symbols = base_symbols(F.col("piece"), mode)
     else:
         symbols = _coded_characters(F.col("piece"), characters)
-    if len(rules) <= FOLD_MERGES and ranks_are_ordered(rules):
-        merged = merge_pairs(symbols, rules)
-    else:
-        merged = _lowest_rank_first(rules)(symbols)
+    merged = merge_by_rank(symbols, rules)
     ids = F.transform(F.filter(symbol_list(merged), lambda s: s != ""), lambda s: s.cast("int"))
     for number, token in enumerate(specials if mode == "symbol" else ()):
         ids = F.when(F.col("piece") == token, F.array(F.lit(number))).otherwise(ids)
@@ -357,7 +367,7 @@ def bpe_encode(
 
 def _vocabulary_lookup(vocabulary: DataFrame) -> Column:
     """The token bytes as an array literal indexed by id."""
-    rows = vocabulary.select("token_id", "hex").limit(MAX_CHARACTERS + MAX_MERGES).collect()
+    rows = vocabulary.select("token_id", "hex").collect()
     known = {row["token_id"]: row["hex"] for row in rows}
     return text_list(known.get(i, "") for i in range(max(known) + 1))
 
