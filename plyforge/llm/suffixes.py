@@ -21,6 +21,7 @@ repeated rows come back as often; an empty table gives no rows; other columns ar
 `repeated_bytes` and kept by `deduplicate`; long texts are worked through in blocks.
 """
 
+import gc
 import hashlib
 from math import ceil
 
@@ -236,6 +237,12 @@ def _keys(batches, buckets):
             yield key_rows(key, doc, batch.column("chunk")[row].as_py(), buckets)
 
 
+def release(spark) -> None:
+    """Let the driver drop its references to finished steps, so that their shuffle files go."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _groups(batches, name):
     """Rows with equal values of a sorted column."""
     held, key = [], None
@@ -287,84 +294,56 @@ def _repeated(batches):
 REPEATED = "chunk long, bucket long, keys binary"
 
 
-_STRINGS = (
-    "chunk long, bucket long, strings binary, docs binary, ids array<long>, digests array<string>,"
-    " bounds array<long>, data binary, occurrences binary"
-)
-_STRING_FIELDS = pa.schema(
-    [
-        ("chunk", pa.int64()),
-        ("bucket", pa.int64()),
-        ("strings", pa.binary()),
-        ("docs", pa.binary()),
-        ("ids", pa.list_(pa.int64())),
-        ("digests", pa.list_(pa.string())),
-        ("bounds", pa.list_(pa.int64())),
-        ("data", pa.binary()),
-        ("occurrences", pa.binary()),
-    ]
-)
+_STRINGS = "chunk long, bucket long, strings binary, docs binary"
 #: A string of the array: bytes around its sample (the sample starts at WINDOW - 1), how many bytes
 #: before the sample belong to it, and how many strings of LENGTH bytes start in it.
 _ROW = np.dtype([("text", np.uint8, COLUMNS), ("left", np.uint8), ("count", np.uint8)])
-_SPOT = np.dtype([("string", "<i8"), ("row", "<i8"), ("first", "<i8")])
+
+
+class _Strings:
+    """The strings of a chunk whose samples repeat: once each by bucket, and where they occur."""
+
+    def __init__(self, batch, at, buckets):
+        self.data, self.bounds, self.ids = _opened(batch, at)
+        place, first, last, key = _all_samples(self.data, self.bounds)
+        row = np.searchsorted(self.bounds, place, "right") - 1
+        keep = wanted(key, batch.column("keys")[at].as_py(), buckets)
+        keep &= ~np.isin(row, batch.column("copies")[at].as_py() or [])
+        place, first, last, key = place[keep], first[keep], last[keep], key[keep]
+        self.row, self.first, self.count = row[keep], first, last - first + 1
+        rows = np.zeros(len(place), _ROW)
+        column = np.arange(COLUMNS) - (WINDOW - 1)
+        for start in range(0, len(place), 1 << 15):
+            part = slice(start, start + (1 << 15))
+            spots = place[part, None] + column
+            inside = (spots >= first[part, None]) & (spots < last[part, None] + LENGTH)
+            rows["text"][part] = np.where(inside, self.data[np.where(inside, spots, 0)], 0)
+        rows["left"], rows["count"] = place - first, self.count
+        bucket = _bucket(key, buckets)
+        raw = rows.view(f"V{_ROW.itemsize}").ravel()
+        distinct, self.string = _unique(raw, bucket)
+        self.distinct, self.bucket = raw[distinct], bucket[distinct]
+        self.least = np.full(len(distinct), np.iinfo(np.int64).max)
+        np.minimum.at(self.least, self.string, self.ids[self.row])
 
 
 def _strings(batches, buckets):
-    """The strings of each chunk whose samples repeat, by bucket, and where they occur."""
+    """Per chunk and bucket the strings and the smallest document of each."""
     pack = zstandard.ZstdCompressor(1).compress
     for batch in batches:
         for at in range(batch.num_rows):
+            found = _Strings(batch, at, buckets)
+            cut = np.searchsorted(found.bucket, np.arange(buckets + 1, dtype=np.uint64)).tolist()
+            used = [b for b in range(buckets) if cut[b] < cut[b + 1]]
             chunk = batch.column("chunk")[at].as_py()
-            data, bounds, ids = _opened(batch, at)
-            digests = batch.column("digests")[at].as_py()
-            place, first, last, key = _all_samples(data, bounds)
-            row = np.searchsorted(bounds, place, "right") - 1
-            keep = wanted(key, batch.column("keys")[at].as_py(), buckets)
-            keep &= ~np.isin(row, batch.column("copies")[at].as_py() or [])
-            place, first, last, key, row = place[keep], first[keep], last[keep], key[keep], row[keep]
-            if not len(place):
-                continue
-            found = np.zeros(len(place), _ROW)
-            column = np.arange(COLUMNS)
-            for start in range(0, len(place), 1 << 15):
-                part = slice(start, start + (1 << 15))
-                spots = place[part, None] + (column - (WINDOW - 1))
-                inside = (spots >= first[part, None]) & (spots < last[part, None] + LENGTH)
-                found["text"][part] = np.where(inside, data[np.where(inside, spots, 0)], 0)
-            found["left"] = place - first
-            found["count"] = last - first + 1
-            # Equal strings once, with their smallest document.
-            raw = found.view(f"V{_ROW.itemsize}").ravel()
-            distinct, inverse = _unique(raw, _bucket(key, buckets))
-            least = np.full(len(distinct), np.iinfo(np.int64).max)
-            np.minimum.at(least, inverse, ids[row])
-            own = _bucket(key, buckets)[distinct]
-            cut = np.searchsorted(own, np.arange(buckets + 1, dtype=np.uint64))
-            used = np.flatnonzero(np.diff(cut))
-            spots = np.empty(len(place), _SPOT)
-            spots["string"], spots["row"], spots["first"] = inverse, row, first - bounds[row]
-            full = np.unique(row)
-            sizes = np.diff(bounds)[full]
-            new = np.concatenate([[0], np.cumsum(sizes)])
-            spots["row"] = np.searchsorted(full, row)
-            parts = b"".join(data[bounds[r] : bounds[r + 1]].tobytes() for r in full.tolist())
-            none = [None] * len(used)
-            n = len(used) + 1
-            order = raw[distinct]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([chunk] * n, pa.int64()),
-                    pa.array([*used.tolist(), None], pa.int64()),
-                    pa.array([*(pack(order[cut[b] : cut[b + 1]].tobytes()) for b in used), None], pa.binary()),
-                    pa.array([*(least[cut[b] : cut[b + 1]].tobytes() for b in used), least.tobytes()], pa.binary()),
-                    pa.array([*none, ids[full].tolist()], pa.list_(pa.int64())),
-                    pa.array([*none, [digests[r] for r in full.tolist()]], pa.list_(pa.string())),
-                    pa.array([*none, new.tolist()], pa.list_(pa.int64())),
-                    pa.array([*none, pack(parts)], pa.binary()),
-                    pa.array([*none, pack(spots.tobytes() + found["count"].tobytes())], pa.binary()),
+                    pa.array([chunk] * len(used), pa.int64()),
+                    pa.array(used, pa.int64()),
+                    pa.array([pack(found.distinct[cut[b] : cut[b + 1]].tobytes()) for b in used], pa.binary()),
+                    pa.array([pack(found.least[cut[b] : cut[b + 1]].tobytes()) for b in used], pa.binary()),
                 ],
-                schema=_STRING_FIELDS,
+                ["chunk", "bucket", "strings", "docs"],
             )
 
 
@@ -418,12 +397,12 @@ def classes(rows: np.ndarray, docs: np.ndarray) -> np.ndarray:
 
 def _masks(batches):
     """Per chunk and string a bit for each start whose bytes an earlier document holds."""
-    unpack = zstandard.ZstdDecompressor().decompress
+    pack, unpack = zstandard.ZstdCompressor(1).compress, zstandard.ZstdDecompressor().decompress
     for rows in _groups(batches, "bucket"):
         blobs = [unpack(blob) for blob in rows.column("strings").to_pylist()]
         sizes = [len(blob) // _ROW.itemsize for blob in blobs]
         raw = np.frombuffer(b"".join(blobs), f"V{_ROW.itemsize}")
-        docs = np.frombuffer(b"".join(rows.column("docs").to_pylist()), np.int64)
+        docs = np.frombuffer(b"".join(unpack(x) for x in rows.column("docs").to_pylist()), np.int64)
         distinct, inverse = _unique(raw, np.zeros(len(raw), np.uint8))
         least = np.full(len(distinct), np.iinfo(np.int64).max)
         np.minimum.at(least, inverse, docs)
@@ -443,31 +422,26 @@ def _masks(batches):
             [
                 rows.column("chunk").combine_chunks(),
                 rows.column("bucket").combine_chunks(),
-                pa.array([masks[e - n : e].tobytes() for e, n in zip(ends, sizes)], pa.binary()),
+                pa.array([pack(masks[e - n : e].tobytes()) for e, n in zip(ends, sizes)], pa.binary()),
             ],
             ["chunk", "bucket", "masks"],
         )
 
 
-def _removed(batches):
-    """Per document its removed byte runs and what is left, from a chunk's strings and their masks."""
+def _removed(batches, buckets):
+    """Per document its removed byte runs and what is left, from a chunk and its strings' masks.
+
+    The strings are worked out from the chunk again, in the same order, so they need not be kept.
+    """
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         for at in range(batch.num_rows):
-            ids = np.array(batch.column("ids")[at].as_py(), np.int64)
-            bounds = np.array(batch.column("bounds")[at].as_py(), np.int64)
-            data = np.frombuffer(unpack(batch.column("data")[at].as_py()), np.uint8)
-            raw = unpack(batch.column("occurrences")[at].as_py())
-            n = len(raw) // (_SPOT.itemsize + 1)
-            spots = np.frombuffer(raw[: n * _SPOT.itemsize], _SPOT)
-            count = np.frombuffer(raw[n * _SPOT.itemsize :], np.uint8).astype(np.int64)
-            least = np.frombuffer(batch.column("docs")[at].as_py(), np.int64)
+            found = _Strings(batch, at, buckets)
+            data, bounds, ids = found.data, found.bounds, found.ids
             replies = sorted(batch.column("replies")[at].as_py(), key=lambda x: x["bucket"])
-            masks = np.frombuffer(b"".join(x["masks"] for x in replies), np.uint64)
-            string, row = spots["string"], spots["row"]
-            mask = masks[string]
-            mask = np.where(ids[row] > least[string], ~np.uint64(0), mask)
-            first = spots["first"] + bounds[row]
+            masks = np.frombuffer(b"".join(unpack(x["masks"]) for x in replies), np.uint64)
+            mask, count, first = masks[found.string], found.count, found.first
+            mask = np.where(ids[found.row] > found.least[found.string], ~np.uint64(0), mask)
             change = np.zeros(len(data) + 1, np.int64)  # covered bytes, as starts and ends of runs
             for s in range(WINDOW):
                 hit = (s < count) & ((mask >> np.uint64(s)) & np.uint64(1)).astype(bool)
@@ -538,28 +512,23 @@ def repeated_bytes(
         .sortWithinPartitions("bucket", "chunk")
         .mapInArrow(_repeated, REPEATED)
     )
-    strings = written(
-        with_repeated(chunks, written(repeated, "repeated"), copies_in(chunks, reps)).mapInArrow(
-            lambda batches: _strings(batches, buckets), _STRINGS
-        ),
-        "strings",
-    )
+    repeated, copies = written(repeated, "repeated"), written(copies_in(chunks, reps), "copies")
+    release(spark)
+    marked = with_repeated(chunks, repeated, copies)
     masks = (
-        strings.where("bucket IS NOT NULL")
-        .select("chunk", "bucket", "strings", "docs")
+        marked.mapInArrow(lambda batches: _strings(batches, buckets), _STRINGS)
         .repartition(partitions, "bucket")
         .sortWithinPartitions("bucket", "chunk")
         .mapInArrow(_masks, "chunk long, bucket long, masks binary")
     )
+    masks = written(masks, "masks")
+    del marked
+    release(spark)
     replies = masks.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "masks")).alias("replies"))
-    spots = strings.where("bucket IS NULL").select(
-        "chunk", "ids", "digests", "bounds", "data", "docs", "occurrences"
-    )
-    found = written(
-        spots.hint("merge").join(replies, "chunk").mapInArrow(
-            _removed, "rep long, digest string, starts array<long>, ends array<long>, left_sha256 string, left_text string"
-        ),
-        "removed",
+    laden = with_repeated(chunks, repeated, copies).join(replies.hint("merge"), "chunk")
+    found = laden.mapInArrow(
+        lambda batches: _removed(batches, buckets),
+        "rep long, digest string, starts array<long>, ends array<long>, left_sha256 string, left_text string",
     )
     # Rows are told apart by id and text; equal rows give one result each.
     found = found.dropDuplicates(["rep", "digest"])
