@@ -156,31 +156,36 @@ def round_log_stream(spark, sf):
 # Plug-ins
 
 
-def _echo(prompt, sample):
-    if sample == 2:
-        raise RuntimeError("model error")
-    return f"{sample}:{prompt[::-1]}"
+def _echo(prompts, samples):
+    return [
+        RuntimeError("model error") if sample == 2 else f"{sample}:{prompt[::-1]}"
+        for prompt, sample in zip(prompts, samples)
+    ]
 
 
 @query(
     "batch_generate",
-    "SELECT item_id AS prompt_id, t.s::INTEGER AS sample_idx, CASE WHEN t.s <> 2 THEN t.s || ':' || reverse(text) END AS text FROM benchmark, range(0, 4) t(s)",
+    "SELECT item_id AS prompt_id, t.s::INTEGER AS sample_idx, CASE WHEN t.s <> 2 THEN t.s || ':' || reverse(text) END AS text, CASE WHEN t.s = 2 THEN 'RuntimeError: model error' END AS error FROM benchmark, range(0, 4) t(s)",
 )
 def _(spark, sf):
     prompts = table(spark, sf, "benchmark").select(F.col("item_id").alias("prompt_id"), F.col("text").alias("prompt"))
     return plugins.batch_generate(prompts, 4, _echo)
 
 
-def _lines(position, k):
-    if position % 7 == 0:
-        raise RuntimeError("engine error")
-    return [(f"m{(position + i) % 50}", 100 - 10 * i) for i in range(k + 2)]
+def _lines(positions, k):
+    return [
+        RuntimeError("engine error")
+        if position % 7 == 0
+        else [(f"m{(position + i) % 50}", 100 - 10 * i) for i in range(k + 2)]
+        for position in positions
+    ]
 
 
 @query(
     "batch_candidates",
-    """SELECT position, t.i::INTEGER AS pv_rank, 'm' || ((position + t.i - 1) % 50) AS move, (110 - 10 * t.i)::INTEGER AS cp
-FROM (SELECT DISTINCT user_id AS position FROM events WHERE user_id % 7 <> 0), range(1, 6) t(i)""",
+    """SELECT position, t.i::INTEGER AS pv_rank, 'm' || ((position + t.i - 1) % 50) AS move, (110 - 10 * t.i)::INTEGER AS cp, NULL::VARCHAR AS error
+FROM (SELECT DISTINCT user_id AS position FROM events WHERE user_id % 7 <> 0), range(1, 6) t(i)
+UNION ALL SELECT DISTINCT user_id, NULL, NULL, NULL, 'RuntimeError: engine error' FROM events WHERE user_id % 7 = 0""",
 )
 def _(spark, sf):
     positions = table(spark, sf, "events").select(F.col("user_id").alias("position")).distinct()

@@ -1,5 +1,7 @@
 """Oversampling, shuffling, sampling, splitting and prompt building."""
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -7,8 +9,9 @@ from plyforge.functions.notation import GAME_START, numbered_text, parse_half_mo
 from plyforge.functions.scoring import shuffle_key
 from plyforge.scale import hash_cut
 
-# Seed, repeat counts, prompt depths.
+# Seed, fewest games without a warning, repeat counts, prompt depths.
 SEED = 1997
+FEW_GAMES = 50
 PRETRAIN_REPEAT = 10
 FINETUNE_REPEAT = 20
 PROMPT_DEPTHS = (2, 4, 6)
@@ -41,17 +44,22 @@ def tail_holdout(games: DataFrame, order: str) -> DataFrame:
 
 
 def pretrain_corpus(
-    games: DataFrame, openings: DataFrame, times=PRETRAIN_REPEAT, seed=SEED
+    games: DataFrame, openings: DataFrame, times=PRETRAIN_REPEAT, seed=SEED, validation=None
 ) -> DataFrame:
-    """(order_key, split, pgn): held-out games, and shuffled oversampled openings put before
+    """(order_key, split, pgn): validation games, and shuffled oversampled openings put before
     the training games.
 
-    games: (game_id >= 0, pgn). `order_key` is unique: negative and random for openings, the
-    game id for games.
+    games: (game_id >= 0, pgn). `validation` has the same columns and other ids; without it the
+    last games are held out. `order_key` is unique: negative and random for openings, the game
+    id for games.
     """
-    split = tail_holdout(games, "game_id").select(
-        F.col("game_id").alias("order_key"), "split", "pgn"
-    )
+    if validation is None:
+        split = tail_holdout(games, "game_id")
+    else:
+        split = games.withColumn("split", F.lit("train")).unionByName(
+            validation.withColumn("split", F.lit("validation")), allowMissingColumns=True
+        )
+    split = split.select(F.col("game_id").alias("order_key"), "split", "pgn")
     if split.where(F.col("split") == "train").isEmpty():
         raise ValueError("the holdout takes every game: no training games are left")
     random = F.conv(F.substring(shuffle_key(seed, "opening_id", "copy"), 1, 15), 16, 10)
@@ -75,12 +83,19 @@ def finetune_corpus(
     and anchor games.
 
     The first max(20, n // 10) legal games in random order are for validation; all else is
-    training data, read in the order of `shuffle_key`. `dedup` keeps one of equal games.
+    training data, read in the order of `shuffle_key`. `dedup` keeps one of equal games. Fewer
+    than FEW_GAMES legal games give a warning, and no training data at all an error.
     """
     if dedup:
         legal = legal.groupBy("pgn").agg(F.min("game_id").alias("game_id"))
     order = shuffle_key(seed, F.lit("validation"), "game_id")
-    cut = hash_cut(legal, order, max(20, legal.count() // 10))
+    n = legal.count()
+    if n < FEW_GAMES:
+        warnings.warn(f"only {n} legal games", stacklevel=2)
+    held = max(20, n // 10)
+    if n <= held and openings.isEmpty() and anchor.isEmpty():
+        raise ValueError("no training games are left")
+    cut = hash_cut(legal, order, held)
     parts = [
         legal.select(
             F.when(order <= cut, "validation").otherwise("train").alias("split"),

@@ -29,6 +29,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
+def has_data(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds files that a reader takes."""
+    if not exists(spark, path):
+        return False
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    entries = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+    return any(not entry.getPath().getName().startswith(("_", ".")) for entry in entries)
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether a finished Spark write is at `path`."""
     return exists(spark, f"{path}/_SUCCESS")

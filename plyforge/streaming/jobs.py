@@ -7,7 +7,7 @@ from plyforge.operators.evaluation import keep_last, remaining_work
 from plyforge.operators.puzzles import new_only
 from plyforge.operators.runs import PASS_RATE, VAL_LOSS, logged_number
 from plyforge.sources.puzzles import read_puzzles_jsonl
-from plyforge.sources.tables import exists
+from plyforge.sources.tables import has_data
 
 LOG_SCHEMA = (
     "run string, line_no struct<file: string, block: bigint, line: bigint>, "
@@ -34,7 +34,7 @@ def sync_puzzles_stream(stream: DataFrame, sink: str, checkpoint: str, build) ->
     def step(batch, _):
         spark = batch.sparkSession
         fresh = batch.dropDuplicates(["PuzzleId"])
-        if exists(spark, sink):
+        if has_data(spark, sink):
             written = read_puzzles_jsonl(spark, sink)
             fresh = new_only(fresh, written.select(F.col("puzzle_id").alias("PuzzleId")), "PuzzleId")
         build(fresh).write.mode("append").json(sink)
@@ -50,7 +50,7 @@ def resume_eval_stream(
     def step(batch, _):
         spark = batch.sparkSession
         rows = keep_last(batch, list(keys), order)
-        if exists(spark, sink):
+        if has_data(spark, sink):
             rows = remaining_work(rows, spark.read.parquet(sink), batch.columns, keys)
         rows.write.mode("append").parquet(sink)
 

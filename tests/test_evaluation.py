@@ -121,6 +121,11 @@ def test_corpus_guards(spark):
     openings = spark.createDataFrame([(1, "x", "1.e4")], "opening_id long, name string, pgn string")
     with pytest.raises(ValueError):
         co.pretrain_corpus(games, openings)
+    own = spark.range(50, 60).select(F.col("id").alias("game_id"), F.lit("1.d4").alias("pgn"))
+    given = co.pretrain_corpus(games, openings, times=2, validation=own).groupBy("split").count()
+    assert dict(map(tuple, given.collect())) == {"train": 52, "validation": 10}
+    with pytest.warns(UserWarning, match="only 15"), pytest.raises(ValueError):
+        co.finetune_corpus(games.limit(15), openings.limit(0), games.limit(0))
     with pytest.raises(ValueError):
         co.pair_split(spark.range(9), "id")
     split = co.pair_split(spark.range(50), "id")
@@ -145,14 +150,22 @@ def test_sample_is_exact_and_repeatable(spark):
 
 
 def test_plugins(spark):
-    def model(prompt, sample):
-        if sample:
-            raise RuntimeError
-        return prompt + "!"
+    def model(prompts, samples):
+        return [RuntimeError("late") if s else p + "!" for p, s in zip(prompts, samples)]
 
     prompts = spark.createDataFrame([("a", "x"), ("b", "y")], "prompt_id string, prompt string")
     rows = plugins.batch_generate(prompts, 2, model).orderBy("prompt_id", "sample_idx").collect()
     assert [r["text"] for r in rows] == ["x!", None, "y!", None]
+    assert [r["error"] for r in rows] == [None, "RuntimeError: late"] * 2
+    broken = plugins.batch_generate(prompts, 1, lambda p, s: 1 / 0).collect()
+    assert all(r["text"] is None and r["error"].startswith("ZeroDivisionError") for r in broken)
+    short = plugins.batch_generate(prompts, 1, lambda p, s: []).collect()
+    assert all("0 results" in r["error"] for r in short)
     positions = spark.createDataFrame([("p",), ("q",)], "position string")
-    lines = plugins.batch_candidates(positions, lambda p, k: [("m", 1), ("n", None)] if p == "p" else 1 / 0)
-    assert [tuple(r) for r in lines.orderBy("pv_rank").collect()] == [("p", 1, "m", 1), ("p", 2, "n", None)]
+    analyse = lambda own, k: [[("m", 1), ("n", None)] if p == "p" else ValueError("q") for p in own]
+    lines = plugins.batch_candidates(positions, analyse).orderBy("position", "pv_rank").collect()
+    assert [tuple(r) for r in lines] == [
+        ("p", 1, "m", 1, None),
+        ("p", 2, "n", None, None),
+        ("q", None, None, None, "ValueError: q"),
+    ]
