@@ -41,7 +41,7 @@ WINDOW = LENGTH - PART + 1  # samples a string can have
 COLUMNS = LENGTH + WINDOW - 1  # bytes that strings with one sample can cover
 CHUNK_BYTES = 4 << 20
 BLOCK_BYTES = 1 << 16
-BUCKET_BYTES = 24 << 20  # text per bucket
+BUCKET_BYTES = 8 << 20  # text per bucket
 
 _C1, _C2, _C3 = B.FACTOR, B.MIX_1, B.MIX_2
 
@@ -313,8 +313,8 @@ class _Strings:
         self.row, self.first, self.count = row[keep], first, last - first + 1
         rows = np.zeros(len(place), _ROW)
         column = np.arange(COLUMNS) - (WINDOW - 1)
-        for start in range(0, len(place), 1 << 15):
-            part = slice(start, start + (1 << 15))
+        for start in range(0, len(place), 1 << 13):
+            part = slice(start, start + (1 << 13))
             spots = place[part, None] + column
             inside = (spots >= first[part, None]) & (spots < last[part, None] + LENGTH)
             rows["text"][part] = np.where(inside, self.data[np.where(inside, spots, 0)], 0)
@@ -358,13 +358,13 @@ def _unique(raw, bucket):
     return order[new], inverse
 
 
-def classes(rows: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """For each string and each start in it: the smallest document that holds the same LENGTH bytes.
+def classes(rows: np.ndarray, docs: np.ndarray):
+    """For each distance between a start and the sample: rows, and the smallest documents there.
 
-    The result has a column per distance between start and sample; unused ones are the largest long.
+    The document is the smallest that holds the LENGTH bytes which start so far before the sample.
+    One distance is one bucket of suffixes; its order follows from the last one's.
     """
     text, left, count = rows["text"], rows["left"].astype(int), rows["count"].astype(int)
-    out = np.full((len(rows), WINDOW), np.iinfo(np.int64).max)
     # Ranks of the sample suffixes: the cover that settles all long ties.
     tails = np.ascontiguousarray(text[:, WINDOW - 1 :]).view(f"V{COLUMNS - WINDOW + 1}").ravel()
     order = np.argsort(tails, kind="stable")
@@ -376,7 +376,7 @@ def classes(rows: np.ndarray, docs: np.ndarray) -> np.ndarray:
         if distance:
             live = live[left[live] >= distance]
             if not len(live):
-                break
+                return
             byte = text[live, WINDOW - 1 - distance].astype(np.int64)
             mixed = byte * (int(rank.max()) + 1) + rank[live]
             order = np.argsort(mixed, kind="stable")
@@ -388,15 +388,17 @@ def classes(rows: np.ndarray, docs: np.ndarray) -> np.ndarray:
             continue
         own = own[np.argsort(rank[own], kind="stable")]
         at = WINDOW - 1 - distance
-        body = text[own, at : at + LENGTH]
-        new = np.concatenate([[True], (body[1:] != body[:-1]).any(axis=1)])
+        body = np.ascontiguousarray(text[own, at : at + LENGTH]).view(f"V{LENGTH}").ravel()
+        new = np.concatenate([[True], body[1:] != body[:-1]])
         least = np.minimum.reduceat(docs[own], np.flatnonzero(new))
-        out[own, distance] = least[np.cumsum(new) - 1]
-    return out
+        yield distance, own, least[np.cumsum(new) - 1]
 
 
 def _masks(batches):
-    """Per chunk and string a bit for each start whose bytes an earlier document holds."""
+    """Per chunk and string a bit for each start whose bytes an earlier document holds.
+
+    Bit s is for start s of the string, which lies `left - s` bytes before its sample.
+    """
     pack, unpack = zstandard.ZstdCompressor(1).compress, zstandard.ZstdDecompressor().decompress
     for rows in _groups(batches, "bucket"):
         blobs = [unpack(blob) for blob in rows.column("strings").to_pylist()]
@@ -407,16 +409,14 @@ def _masks(batches):
         least = np.full(len(distinct), np.iinfo(np.int64).max)
         np.minimum.at(least, inverse, docs)
         found = raw[distinct].view(_ROW)
-        best = classes(found, least)
-        # Bit s: start s of the string, which is `left - s` bytes before its sample.
-        left, count = found["left"].astype(int), found["count"].astype(int)
-        start = np.arange(WINDOW)
-        distance = np.clip(left[:, None] - start, 0, WINDOW - 1)
-        best = np.take_along_axis(best, distance, axis=1)
-        best[start >= count[:, None]] = np.iinfo(np.int64).max
+        left = found["left"].astype(np.int64)
         masks = np.zeros(len(raw), np.uint64)
-        for s in range(WINDOW):
-            masks |= (best[inverse, s] < docs).astype(np.uint64) << np.uint64(s)
+        best = np.empty(len(found), np.int64)
+        for distance, own, smallest in classes(found, least):
+            best.fill(np.iinfo(np.int64).max)
+            best[own] = smallest
+            hit = np.flatnonzero(best[inverse] < docs)
+            masks[hit] |= np.uint64(1) << (left[inverse[hit]] - distance).astype(np.uint64)
         ends = np.cumsum(sizes)
         yield pa.RecordBatch.from_arrays(
             [
