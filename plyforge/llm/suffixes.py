@@ -40,7 +40,7 @@ PART = 20
 WINDOW = LENGTH - PART + 1  # samples a string can have
 COLUMNS = LENGTH + WINDOW - 1  # bytes that strings with one sample can cover
 CHUNK_BYTES = 4 << 20
-BLOCK_BYTES = 1 << 16
+BLOCK_BYTES = 1 << 18
 BUCKET_BYTES = 8 << 20  # text per bucket
 
 _C1, _C2, _C3 = B.FACTOR, B.MIX_1, B.MIX_2
@@ -78,12 +78,13 @@ def _sliding(values: np.ndarray, choose) -> np.ndarray:
 
 def _jump(values: np.ndarray, start: np.ndarray, passes) -> np.ndarray:
     """Follow neighbours while `passes(value there, own value)`; both ends stop a search."""
-    at = start
+    at, left = start, np.arange(len(values))
     while True:
-        move = passes(values[at], values) & (at > 0) & (at < len(values) - 1)
-        if not move.any():
+        there = at[left]
+        left = left[passes(values[there], values[left]) & (there > 0) & (there < len(values) - 1)]
+        if not len(left):
             return at
-        at = np.where(move, at[at], at)
+        at[left] = at[at[left]]
 
 
 def samples(data: np.ndarray, bounds: np.ndarray):
