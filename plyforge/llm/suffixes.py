@@ -39,7 +39,7 @@ LENGTH = 50
 PART = 20
 WINDOW = LENGTH - PART + 1  # samples a string can have
 COLUMNS = LENGTH + WINDOW - 1  # bytes that strings with one sample can cover
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 BLOCK_BYTES = 1 << 18
 BUCKET_BYTES = 8 << 20  # text per bucket
 
