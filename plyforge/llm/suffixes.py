@@ -112,7 +112,8 @@ def samples(data: np.ndarray, bounds: np.ndarray):
         first = np.maximum(first + start, bounds[row])
         last = np.minimum(np.minimum(last, len(least) - 1) + start, bounds[row + 1] - LENGTH)
         keep = first <= last
-        yield place[keep] + start, first[keep], last[keep], key[place[keep]]
+        # Chosen hashes are small ones; mixed again, they are even over the buckets.
+        yield place[keep] + start, first[keep], last[keep], B.mixed(key[place[keep]])
 
 
 def _all_samples(data, bounds):
