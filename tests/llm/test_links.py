@@ -190,6 +190,28 @@ def test_every_exact_passage_is_covered(docs):
     assert expected <= linked
 
 
+def test_passages_of_frequent_lines(spark):
+    """Copies of 50 to 53 words, most of them in lines that earlier documents hold elsewhere."""
+    lines = [words(5000 + i, 10) for i in range(40)]
+    rows = [(i, " ".join(words(6000 + i, 30) + lines[i] + words(7000 + i, 30))) for i in range(40)]
+    draw = np.random.default_rng(9)
+    for n in range(100):
+        a, b, c = (lines[i] for i in draw.choice(40, 3, replace=False))
+        body = a + words(8000 + n, 7) + b + words(9000 + n, 7) + c + words(10000 + n, 6 + n % 4)
+        rows += [(i, " ".join(words(20000 + i, 25) + body + words(30000 + i, 25))) for i in (1000 + n, 2000 + n)]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    linked = {r["doc_id"] for r in found if r["other_doc_id"] == r["doc_id"] - 1000}
+    assert len(linked) >= 98 and all(r["doc_id"] >= 2000 for r in found)
+
+
+def test_all_places_of_the_other_document():
+    passage = np.arange(100, 160, dtype=np.uint64)
+    other = np.concatenate([passage[::7], np.arange(500, 560, dtype=np.uint64), passage])
+    assert [x[:4] for x in passages.shared(passage, other)] == [(0, 60, 69, 129)]
+    one = np.zeros(12000, np.uint64)
+    assert passages.shared(one, one)[0][4] == 1
+
+
 def test_vectors_equal_brute_force(spark):
     draw = np.random.default_rng(4)
     base = draw.normal(size=(60, 32))
