@@ -148,6 +148,23 @@ def test_toxicity_holds_on_unseen_rows(spark):
     assert toxicity.score(docs.where("false"), marks).count() == 0
 
 
+def test_licence_keywords_are_in_every_match(spark):
+    texts = [
+        ("CC BY-SA 4.0", "cc-by-sa"), ("CC-BY-NC", "cc-by-nc"), ("cc by 4.0", "cc-by"), ("cc\n by-nc-nd", "cc-by-nc-nd"),
+        ("the ODbL", "odbl"), ("Do what the fudge you want to public license", "wtfpl"), ("Expat license", "mit"),
+        ("X11 licence", "mit"), ("Berkeley Software Distribution license", "bsd"), ("IBM public license", "cpl"),
+        ("PSF license", "psf"), ("open rail license", "openrail"), ("open-source license", "open-source"),
+    ]
+    rows = [(n, text) for n, (text, _) in enumerate(texts)]
+    got = licenses.summary(licenses.scan(frame(spark, rows, "doc_id long, text string"))).collect()
+    for row in got:
+        assert texts[row["doc_id"]][1] in row["labels"].split(","), texts[row["doc_id"]]
+    gate = licenses.gate()
+    for rule in licenses.rules():
+        assert rule.keywords and all(len(key) > 2 for key in rule.keywords), rule
+        assert all(gate.search(key.encode()) for key in rule.keywords)
+
+
 def test_licences(spark):
     rows = [
         (10, "Released under the MIT License. MIT-license; no mit  licenses"),
