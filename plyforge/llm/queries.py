@@ -4,13 +4,16 @@ from pyspark.sql import functions as F
 
 from plyforge.llm import (
     decontamination,
+    divergence,
     embeddings,
     html,
     licenses,
+    middle,
     minhash,
     packing,
     passages,
     suffixes,
+    tokencounts,
     toolcalls,
     toxicity,
 )
@@ -175,3 +178,89 @@ def op9_suffix_dedup(spark, folder):
 def op1_passages(spark, folder):
     """Passages of 50 words and more that an earlier document holds too, or nearly."""
     return passages.repeated_passages(table(spark, folder, "documents"))
+
+
+@query(
+    "op11_divergence",
+    r"""
+    WITH d AS (
+        SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    tokens AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+    kept AS MATERIALIZED (SELECT lang, term FROM tokens GROUP BY ALL HAVING count(DISTINCT id) >= 10),
+    groups AS (SELECT DISTINCT lang, source FROM d),
+    sizes AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+    counts AS (
+        SELECT t.lang, t.source, t.term, count(*)::HUGEINT AS n
+        FROM tokens t JOIN kept k ON t.lang = k.lang AND t.term = k.term GROUP BY ALL),
+    totals AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM counts GROUP BY ALL),
+    shares AS MATERIALIZED (
+        SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+            1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (coalesce(t.total, 0) + 2 * v) AS p
+        FROM groups g JOIN kept k ON g.lang = k.lang JOIN sizes s ON g.lang = s.lang
+        LEFT JOIN totals t ON g.lang = t.lang AND g.source = t.source
+        LEFT JOIN counts c ON g.lang = c.lang AND g.source = c.source AND k.term = c.term),
+    lang_counts AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM counts GROUP BY ALL),
+    lang_shares AS (
+        SELECT lang, term, 1 + (1000000000 * (n + 2)) // (total + 2 * v) AS q
+        FROM lang_counts JOIN sizes USING (lang)
+        JOIN (SELECT lang, sum(n)::HUGEINT AS total FROM lang_counts GROUP BY lang) USING (lang)),
+    gaps AS (
+        SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+        FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    pairs AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+        FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN gaps g ON g.lang = a.lang AND g.source = a.source AND g.item = b.source),
+    terms AS (
+        SELECT s.lang, source, 'term' AS part, s.term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value
+        FROM shares s JOIN lang_shares l ON s.lang = l.lang AND s.term = l.term WHERE n > 0 AND p > q)
+    SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+    FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 10
+    """,
+)
+def op11_divergence(spark, folder):
+    """How far each source's words are from other sources' and from its language's."""
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+@query("op12_token_counts")
+def op12_token_counts(spark, folder):
+    """Bytes and tokens of every document."""
+    return tokencounts.count_tokens(table(spark, folder, "documents"))
+
+
+@query(
+    "op13_fill_in_middle",
+    r"""
+    WITH hashed AS (
+        SELECT doc_id, coalesce(text, '') AS text,
+            sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+    units AS (
+        SELECT doc_id, text, [('0x' || h[8 * i + 1:8 * i + 8])::BIGINT FOR i IN range(0, 4)] AS h,
+            regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w FROM hashed),
+    cuts AS (
+        SELECT doc_id, text, w, len(w) AS n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a,
+            greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+            CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM units),
+    parts AS (
+        SELECT *, array_to_string(w[1:a], '') AS prefix, array_to_string(w[a + 1:b], '') AS middle,
+            array_to_string(w[b + 1:n], '') AS suffix FROM cuts)
+    SELECT doc_id, n::BIGINT AS n, form,
+        CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+        CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+            ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+        sha256(text) AS restored_sha256 FROM parts
+    """,
+)
+def op13_fill_in_middle(spark, folder):
+    """Documents cut in three and put in another order, and the texts rebuilt from them."""
+    made = middle.fill_in_middle(table(spark, folder, "documents"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
