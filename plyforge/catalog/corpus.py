@@ -9,7 +9,7 @@ from plyforge.operators import corpus as co
 from plyforge.sources import games as src
 
 # SQL spellings of the column functions.
-WORDS = "regexp_extract_all({}, '[A-Za-z]+')"
+WORDS = "list_filter(regexp_split_to_array({}, '\\s+'), lambda x: x <> '')"
 BLANK = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
 
 
@@ -49,7 +49,8 @@ def sql_shuffle_key(seed, *ids):
 
 
 def word_list(column="text"):
-    return F.regexp_extract_all(column, F.lit("([A-Za-z]+)"), F.lit(1))
+    """All of a text but its white space."""
+    return nt.words(F.col(column))
 
 
 RESULTS = ["", " 1-0", " *", " 1/2-1/2", "*", "\n0-1\n"]

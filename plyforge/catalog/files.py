@@ -7,7 +7,7 @@ from plyforge.catalog.corpus import sql_shuffle_key
 from plyforge.catalog.pairs import CANDIDATES, LOSSES, candidates
 from plyforge.catalog.registry import query, table
 from plyforge.catalog.runs import LOG_LINES, log_lines
-from plyforge.catalog.tokens import TRAINED, word_vocabulary
+from plyforge.catalog.tokens import SHOWN_MERGES, TRAINED, text_vocabulary
 from plyforge.operators import pairs as pr
 from plyforge.operators import plugins
 from plyforge.operators.puzzles import split_80_10_10
@@ -91,10 +91,10 @@ def _(spark, sf):
     return tables.read_results(spark, path, "user_id long, event_type string, value double, props string")
 
 
-@query("merge_files", TRAINED + ' SELECT rank, l AS "left", r AS "right", t AS token FROM merges')
+@query("merge_files", f"{TRAINED} {SHOWN_MERGES} FROM merges")
 def _(spark, sf):
     path = scratch_path(spark, "merges")
-    tables.write_merges(word_vocabulary(spark, sf)[0], path)
+    tables.write_merges(text_vocabulary(spark, sf)[0], path)
     return tables.read_merges(spark, path)
 
 

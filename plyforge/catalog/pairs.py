@@ -123,7 +123,7 @@ def replay_lookup(spark, sf):
     SUPPLIER_STEPS.replace("% 23", "% 3") + "SELECT game_id, ply::INTEGER AS ply, state_before::VARCHAR AS state_before, move, state_after::VARCHAR AS state_after FROM walk",
 )
 def replay_join(spark, sf):
-    return rp.replay(event_games(spark, sf), supplier_steps(spark, sf, missing=3), 1, method="join")
+    return rp.replay(event_games(spark, sf), supplier_steps(spark, sf, missing=3), 1)
 
 
 @query(

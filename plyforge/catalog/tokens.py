@@ -13,12 +13,22 @@ from plyforge.plans import preferences, pretraining
 from plyforge.scale import spread
 
 
+def sql_pieces(text):
+    """Pieces of a text with the gaps between them, so that they add up to the text."""
+    marked = f"regexp_replace({text}, '({TRAINER_PIECES})', chr(1) || '\\1' || chr(1), 'g')"
+    return f"list_filter(string_split({marked}, chr(1)), lambda x: x <> '')"
+
+
 def sql_symbols(piece):
-    return f"array_to_string(list_transform(string_split({piece}, ''), lambda c: '<' || c || '>'), '')"
+    return f"array_to_string(list_transform(string_split({piece}, ''), lambda c: '<' || hex(c) || '>'), '')"
 
 
 def sql_byte_symbols(piece):
-    return f"array_to_string(list_transform(string_split({piece}, ''), lambda c: '<' || ascii(c) || '>'), '')"
+    return f"array_to_string(list_transform(regexp_extract_all(hex(encode({piece})), '..'), lambda h: '<' || ('0x' || h)::INTEGER || '>'), '')"
+
+
+def sql_text(symbol):
+    return f"decode(unhex({symbol}))"
 
 
 def sql_pairs(symbols):
@@ -28,57 +38,72 @@ def sql_pairs(symbols):
   FROM (SELECT string_split(s[2:len(s) - 1], '><') AS a, freq FROM {symbols}) WHERE len(a) > 1) GROUP BY l, r"""
 
 
+def sql_merged(symbols, i):
+    return f"replace({symbols}, '<' || m{i}.l || '><' || m{i}.r || '>', '<' || m{i}.t || '>')"
+
+
 def sql_train(pieces, rounds, byte=False):
-    """CTEs that learn `rounds` merges from the table `{pieces}(piece, freq)`, one at a time."""
+    """CTEs that learn `rounds` merges from the table `{pieces}(piece, freq)`, one at a time.
+
+    Table `s{rounds}` has the pieces with all merges applied.
+    """
     start = sql_byte_symbols("piece") if byte else sql_symbols("piece")
     order = "n DESC, l::INTEGER, r::INTEGER" if byte else "n DESC, l, r"
-    steps = [f"s0 AS (SELECT {start} AS s, freq FROM {pieces})"]
+    steps = [f"s0 AS (SELECT piece, {start} AS s, freq FROM {pieces})"]
     for i in range(rounds):
         new = f"'{256 + i}'" if byte else "l || r"
         steps.append(
             f"m{i} AS MATERIALIZED (SELECT {i} AS rank, l, r, {new} AS t, n FROM ({sql_pairs(f's{i}')}) ORDER BY {order} LIMIT 1)"
         )
-        steps.append(
-            f"s{i + 1} AS MATERIALIZED (SELECT replace(s, (SELECT '<' || l || '><' || r || '>' FROM m{i}), (SELECT '<' || t || '>' FROM m{i})) AS s, freq FROM s{i})"
-        )
+        steps.append(f"s{i + 1} AS MATERIALIZED (SELECT piece, {sql_merged('s', i)} AS s, freq FROM s{i}, m{i})")
     steps.append("merges AS (" + " UNION ALL ".join(f"SELECT * FROM m{i}" for i in range(rounds)) + ")")
     return ",\n".join(steps)
 
 
-def sql_encode(symbols, rounds):
-    """Apply the learned merges m0… to a text of symbols in rank order."""
+def sql_encode(symbols, rounds, rows):
+    """A query over `rows` with `s`: the learned merges applied to a text of symbols by rank."""
     for i in range(rounds):
-        symbols = f"replace({symbols}, (SELECT '<' || l || '><' || r || '>' FROM m{i}), (SELECT '<' || t || '>' FROM m{i}))"
-    return symbols
+        symbols = sql_merged(symbols, i)
+    tables = "".join(f", m{i}" for i in range(rounds))
+    return f"SELECT piece, {symbols} AS s FROM {rows}{tables}"
 
 
 SPECIALS = "(VALUES (0, '[g_start]'), (1, '[g_end]'), (2, '[unknown]'), (3, '[pad]')) v(id, token)"
-VOCABULARY = f"""base AS (SELECT DISTINCT unnest(string_split(piece, '')) AS token FROM pieces),
+VOCABULARY = f"""base AS (SELECT DISTINCT hex(unnest(string_split(piece, ''))) AS token FROM pieces),
 vocabulary AS (
-  SELECT id, token FROM {SPECIALS}
+  SELECT id, hex(token) AS token FROM {SPECIALS}
   UNION ALL SELECT 3 + row_number() OVER (ORDER BY token), token FROM base
   UNION ALL SELECT 4 + (SELECT count(*) FROM base) + rank, t FROM merges)"""
 
-WORD_MERGES, BYTE_MERGES, PAIR_MERGES, TURN_MERGES = 12, 8, 10, 16
-WORD_PIECES = f"pieces AS MATERIALIZED (SELECT piece, count(*) AS freq FROM (SELECT unnest({WORDS.format('text')}) AS piece FROM documents) GROUP BY piece)"
-TRAINED = f"WITH {WORD_PIECES}, {sql_train('pieces', WORD_MERGES)}"
-CODED = f"""placed AS (SELECT doc_id, unnest(w) AS piece, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, {WORDS.format('text')} AS w FROM documents)),
-coded AS (SELECT piece, string_split(s[2:len(s) - 1], '><') AS a FROM (SELECT piece, {sql_encode(sql_symbols('piece'), WORD_MERGES)} AS s FROM pieces)),
+WORD_MERGES, BYTE_MERGES, PAIR_MERGES, TURN_MERGES, LONG_MERGES = 12, 8, 10, 16, 300
+TEXT_PIECES = f"pieces AS MATERIALIZED (SELECT piece, count(*) AS freq FROM (SELECT unnest({sql_pieces('text')}) AS piece FROM documents) GROUP BY piece)"
+TRAINED = f"WITH {TEXT_PIECES}, {sql_train('pieces', WORD_MERGES)}"
+SHOWN_MERGES = f'SELECT rank, {sql_text("l")} AS "left", {sql_text("r")} AS "right", {sql_text("t")} AS token'
+
+
+def sql_coded(rounds):
+    """The ids of every document's pieces, all of which the merges were learned from."""
+    return f"""placed AS (SELECT doc_id, unnest(w) AS piece, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, {sql_pieces('text')} AS w FROM documents)),
+coded AS (SELECT piece, string_split(s[2:len(s) - 1], '><') AS a FROM s{rounds}),
 coded_ids AS (SELECT piece, list(v.id ORDER BY k) AS ids FROM (SELECT piece, unnest(a) AS token, generate_subscripts(a, 1) AS k FROM coded) c JOIN vocabulary v USING (token) GROUP BY piece),
 encoded AS (
   SELECT d.doc_id, string_agg(array_to_string(c.ids, ','), ',' ORDER BY p.pos) AS ids, coalesce(sum(len(c.ids)), 0)::BIGINT AS n_tokens
   FROM documents d LEFT JOIN placed p USING (doc_id) LEFT JOIN coded_ids c USING (piece) GROUP BY d.doc_id)"""
 
 
-def word_vocabulary(spark, sf, merges=WORD_MERGES):
-    """(merges, vocabulary) learned from the words of all documents."""
-    return tk.train_bpe(documents(spark, sf, "text"), word_list(), n_merges=merges)
+def text_pieces():
+    return tk.split_pieces(F.col("text"))
+
+
+def text_vocabulary(spark, sf, merges=WORD_MERGES):
+    """(merges, vocabulary) learned from all documents."""
+    return tk.train_bpe(documents(spark, sf, "text"), text_pieces(), n_merges=merges)
 
 
-def encoded_words(spark, sf):
-    merges, vocabulary = word_vocabulary(spark, sf)
+def encoded_texts(spark, sf, merges=WORD_MERGES):
+    learned, vocabulary = text_vocabulary(spark, sf, merges)
     docs = documents(spark, sf, "doc_id", "text")
-    return tk.bpe_encode(docs, word_list(), merges, vocabulary), vocabulary
+    return tk.bpe_encode(docs, text_pieces(), learned, vocabulary), vocabulary
 
 
 @query(
@@ -94,77 +119,98 @@ def _(spark, sf):
     )
 
 
-@query("piece_counts", f"WITH {WORD_PIECES} SELECT piece, freq FROM pieces")
+@query("piece_counts", f"WITH {TEXT_PIECES} SELECT piece, freq FROM pieces")
 def _(spark, sf):
-    return tk.piece_counts(documents(spark, sf), word_list())
+    return tk.piece_counts(documents(spark, sf), text_pieces())
 
 
-@query(
-    "pair_counts",
-    f"WITH {WORD_PIECES}, s AS (SELECT {sql_symbols('piece')} AS s, freq FROM pieces) SELECT l AS \"left\", r AS \"right\", n FROM ({sql_pairs('s')})",
-)
-def _(spark, sf):
-    pieces = tk.piece_counts(documents(spark, sf), word_list())
-    counts = tk.pair_counts(pieces.select(tk.base_symbols(F.col("piece")).alias("symbols"), "freq"))
+def counted_pairs(spark, sf):
+    pieces = tk.piece_counts(documents(spark, sf), text_pieces())
+    return tk.pair_counts(pieces.select(tk.base_symbols(F.col("piece")).alias("symbols"), "freq"))
+
+
+def shown_pairs(counts):
     text = lambda name: F.unhex(name).cast("string").alias(name)
     return counts.select(text("left"), text("right"), "n")
 
 
-@query(
-    "top_pair",
-    f"WITH {WORD_PIECES}, s AS (SELECT {sql_symbols('piece')} AS s, freq FROM pieces) SELECT l AS \"left\", r AS \"right\", n FROM ({sql_pairs('s')}) ORDER BY n DESC, l, r LIMIT 1",
-)
+COUNTED_PAIRS = f"WITH {TEXT_PIECES}, s AS (SELECT {sql_symbols('piece')} AS s, freq FROM pieces) SELECT {sql_text('l')} AS \"left\", {sql_text('r')} AS \"right\", n FROM ({sql_pairs('s')})"
+
+
+@query("pair_counts", COUNTED_PAIRS)
 def _(spark, sf):
-    pieces = tk.piece_counts(documents(spark, sf), word_list())
-    counts = tk.pair_counts(pieces.select(tk.base_symbols(F.col("piece")).alias("symbols"), "freq"))
-    text = lambda name: F.unhex(name).cast("string").alias(name)
-    return tk.top_pairs(counts).select(text("left"), text("right"), "n")
+    return shown_pairs(counted_pairs(spark, sf))
+
+
+@query("top_pair", COUNTED_PAIRS + " ORDER BY n DESC, l, r LIMIT 1")
+def _(spark, sf):
+    return shown_pairs(tk.top_pairs(counted_pairs(spark, sf)))
 
 
 @query(
     "merge_pairs",
-    f"""WITH {WORD_PIECES}, {sql_train('pieces', 3)} SELECT piece, replace(replace({sql_encode(sql_symbols('piece'), 3)}, '<', ''), '>', '|') AS symbols FROM pieces""",
+    f"""WITH {TEXT_PIECES}, {sql_train('pieces', 3)}
+SELECT piece, array_to_string(list_transform(string_split(s[2:len(s) - 1], '><'), lambda h: {sql_text('h')} || '|'), '') AS symbols FROM s3""",
 )
 def _(spark, sf):
-    pieces = tk.piece_counts(documents(spark, sf), word_list())
+    pieces = tk.piece_counts(documents(spark, sf), text_pieces())
     rules = [merge[1:4] for merge in tk.learn_merges(pieces, 3)]
     merged = tk.merge_pairs(tk.base_symbols(F.col("piece")), rules)
     shown = F.transform(tk.symbol_list(merged), lambda s: F.concat(F.unhex(s).cast("string"), F.lit("|")))
     return pieces.select("piece", F.array_join(shown, "").alias("symbols"))
 
 
-@query("train_bpe", TRAINED + ' SELECT rank, l AS "left", r AS "right", t AS token, n FROM merges')
+@query("train_bpe", f"{TRAINED} {SHOWN_MERGES}, n FROM merges")
 def train_bpe(spark, sf):
-    return word_vocabulary(spark, sf)[0]
+    return text_vocabulary(spark, sf)[0]
+
+
+@query(
+    "train_bpe_long",
+    f"WITH {TEXT_PIECES}, {sql_train('pieces', LONG_MERGES)} {SHOWN_MERGES}, n FROM merges",
+)
+def _(spark, sf):
+    return text_vocabulary(spark, sf, LONG_MERGES)[0]
 
 
 @query(
     "train_bpe_bytes",
-    f"WITH {WORD_PIECES}, {sql_train('pieces', BYTE_MERGES, byte=True)} SELECT rank, l AS \"left\", r AS \"right\", t AS token, n FROM merges",
+    f"WITH {TEXT_PIECES}, {sql_train('pieces', BYTE_MERGES, byte=True)} SELECT rank, l AS \"left\", r AS \"right\", t AS token, n FROM merges",
 )
 def _(spark, sf):
     docs = documents(spark, sf)
-    return tk.train_bpe(docs, word_list(), tk.FIRST_BYTE_MERGE + BYTE_MERGES, "byte")[0]
+    return tk.train_bpe(docs, text_pieces(), tk.FIRST_BYTE_MERGE + BYTE_MERGES, "byte")[0]
+
+
+ENCODED = "SELECT doc_id, coalesce(ids, '') AS ids FROM encoded"
 
 
-@query("bpe_encode", f"{TRAINED}, {VOCABULARY}, {CODED} SELECT doc_id, coalesce(ids, '') AS ids FROM encoded")
+@query("bpe_encode", f"{TRAINED}, {VOCABULARY}, {sql_coded(WORD_MERGES)} {ENCODED}")
 def bpe_encode(spark, sf):
-    return encoded_words(spark, sf)[0].withColumn("ids", F.array_join("ids", ","))
+    return encoded_texts(spark, sf)[0].withColumn("ids", F.array_join("ids", ","))
 
 
-@query("bpe_decode", f"SELECT doc_id, array_to_string({WORDS.format('text')}, '') AS text FROM documents")
+@query(
+    "bpe_encode_long",
+    f"WITH {TEXT_PIECES}, {sql_train('pieces', LONG_MERGES)}, {VOCABULARY}, {sql_coded(LONG_MERGES)} {ENCODED}",
+)
+def bpe_encode_long(spark, sf):
+    return encoded_texts(spark, sf, LONG_MERGES)[0].withColumn("ids", F.array_join("ids", ","))
+
+
+@query("bpe_decode", "SELECT doc_id, coalesce(text, '') AS text FROM documents")
 def _(spark, sf):
-    encoded, vocabulary = encoded_words(spark, sf)
+    encoded, vocabulary = encoded_texts(spark, sf)
     return tk.bpe_decode(encoded, vocabulary).select("doc_id", "text")
 
 
 @query(
     "compression",
-    f"""{TRAINED}, {VOCABULARY}, {CODED}, t AS (SELECT array_to_string({WORDS.format('text')}, '') AS x, n_tokens FROM documents JOIN encoded USING (doc_id))
+    f"""{TRAINED}, {VOCABULARY}, {sql_coded(WORD_MERGES)}, t AS (SELECT text AS x, n_tokens FROM documents JOIN encoded USING (doc_id))
 SELECT sum(length(x))::BIGINT AS n_chars, sum(strlen(x))::BIGINT AS n_bytes, sum(n_tokens)::BIGINT AS n_tokens, round(sum(strlen(x)) / sum(n_tokens), 8) AS ratio FROM t""",
 )
 def _(spark, sf):
-    encoded, vocabulary = encoded_words(spark, sf)
+    encoded, vocabulary = encoded_texts(spark, sf)
     measured = tk.compression(tk.bpe_decode(encoded, vocabulary))
     return measured.withColumn("ratio", F.round("ratio", 8))
 
@@ -176,7 +222,7 @@ TURN_PIECES = f"pieces AS MATERIALIZED (SELECT piece, count(*) AS freq FROM (SEL
     "turn_token_ids",
     f"""WITH {TURN_PIECES}, {sql_train('pieces', TURN_MERGES)}, {VOCABULARY},
 grid AS (SELECT p || n || '.' AS piece FROM range(1, 301) t(n), (VALUES (''), (' ')) s(p)),
-coded AS (SELECT {sql_encode(sql_symbols('piece'), TURN_MERGES)} AS s FROM grid)
+coded AS ({sql_encode(sql_symbols('piece'), TURN_MERGES, 'grid')})
 SELECT id::INTEGER AS token_id FROM coded JOIN vocabulary ON s = '<' || token || '>'""",
 )
 def _(spark, sf):
@@ -211,7 +257,7 @@ split AS (SELECT pair_id, part, list_filter(string_split(regexp_replace(text, '(
 placed AS (SELECT pair_id, part, unnest(a) AS piece, generate_subscripts(a, 1) AS pos FROM split),
 pieces AS MATERIALIZED (SELECT piece, count(*) AS freq FROM placed WHERE piece <> '[g_start]' GROUP BY piece),
 {sql_train('pieces', PAIR_MERGES)}, {VOCABULARY},
-coded AS (SELECT piece, string_split(s[2:len(s) - 1], '><') AS a FROM (SELECT piece, {sql_encode(sql_symbols('piece'), PAIR_MERGES)} AS s FROM pieces)),
+coded AS (SELECT piece, string_split(s[2:len(s) - 1], '><') AS a FROM s{PAIR_MERGES}),
 ids AS (
   SELECT piece, list(v.id ORDER BY k) AS ids FROM (SELECT piece, unnest(a) AS token, generate_subscripts(a, 1) AS k FROM coded) c JOIN vocabulary v USING (token) GROUP BY piece
   UNION ALL SELECT '[g_start]', [0]),
@@ -416,15 +462,16 @@ def _(spark, sf):
 # The whole pre-training path
 
 
-WINDOWS = f"""WITH {WORD_PIECES}, {sql_train('pieces', WORD_MERGES)}, {VOCABULARY},
-split AS (SELECT doc_id, list_filter(string_split(regexp_replace('[g_start]' || {sql_numbered(WORDS.format('text'))} || '[g_end]', '(\\[g_start\\]|\\[g_end\\]|{TRAINER_PIECES})', chr(1) || '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS a FROM documents),
+BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
+WRAPPED = f"CASE WHEN starts_with(trim(text, {BLANKS}), '[g_start]') THEN trim(text, {BLANKS}) ELSE '[g_start]' || trim(text, {BLANKS}) || '[g_end]' END"
+WINDOWS = f"""{TRAINED}, {VOCABULARY},
+split AS (SELECT doc_id, list_filter(string_split(regexp_replace({WRAPPED}, '(\\[g_start\\]|\\[g_end\\]|\\[unknown\\]|\\[pad\\]|{TRAINER_PIECES})', chr(1) || '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS a FROM documents),
 placed AS (SELECT doc_id, unnest(a) AS piece, generate_subscripts(a, 1) AS pos FROM split),
-marked AS (SELECT piece, regexp_replace(regexp_replace({sql_symbols('piece')}, '<[^A-Za-z]>', '<?>', 'g'), '(<\\?>)+', '<?>', 'g') AS s FROM (SELECT DISTINCT piece FROM placed)),
-coded AS (SELECT piece, string_split(s[2:len(s) - 1], '><') AS a FROM (SELECT piece, {sql_encode('s', WORD_MERGES)} AS s FROM marked)),
-known AS (SELECT * FROM vocabulary UNION ALL SELECT 2, '?'),
+distinct_pieces AS (SELECT DISTINCT piece FROM placed),
+coded AS (SELECT piece, string_split(s[2:len(s) - 1], '><') AS a FROM ({sql_encode(sql_symbols('piece'), WORD_MERGES, 'distinct_pieces')})),
 ids AS (
-  SELECT piece, list(v.id ORDER BY k) AS ids FROM (SELECT piece, unnest(a) AS token, generate_subscripts(a, 1) AS k FROM coded WHERE piece NOT IN ('[g_start]', '[g_end]')) c JOIN known v USING (token) GROUP BY piece
-  UNION ALL SELECT '[g_start]', [0] UNION ALL SELECT '[g_end]', [1]),
+  SELECT piece, list(v.id ORDER BY k) AS ids FROM (SELECT piece, unnest(a) AS token, generate_subscripts(a, 1) AS k FROM coded WHERE piece NOT IN (SELECT token FROM {SPECIALS})) c JOIN vocabulary v USING (token) GROUP BY piece
+  UNION ALL SELECT token, [id] FROM {SPECIALS}),
 tokens AS (SELECT token, row_number() OVER (ORDER BY doc_id, pos, i) - 1 AS pos FROM (
   SELECT doc_id, pos, unnest(ids) AS token, generate_subscripts(ids, 1) AS i FROM placed JOIN ids USING (piece))),
 starts AS (SELECT pos AS start FROM tokens WHERE pos % 128 = 0 AND pos < (SELECT count(*) FROM tokens) - 128),
@@ -434,11 +481,7 @@ SELECT start, string_agg(token::VARCHAR, ',' ORDER BY k) FILTER (k < 128) AS x,
 
 @query("window_dataset", WINDOWS)
 def window_dataset(spark, sf):
-    from plyforge.functions.notation import numbered_text
-
-    merges, vocabulary = word_vocabulary(spark, sf)
-    corpus = documents(spark, sf).select(
-        F.col("doc_id").alias("order_key"), numbered_text(word_list()).alias("pgn")
-    )
+    merges, vocabulary = text_vocabulary(spark, sf)
+    corpus = documents(spark, sf).select(F.col("doc_id").alias("order_key"), F.col("text").alias("pgn"))
     windows = pretraining.window_dataset(corpus, merges, vocabulary, 128, 128)
     return windows.select("start", F.array_join("x", ",").alias("x"), F.array_join("y", ",").alias("y"))

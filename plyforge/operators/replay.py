@@ -1,132 +1,134 @@
 """Walk move lists through a transition relation (state, move, next_state)."""
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plyforge.functions.notation import parse_half_moves
-from plyforge.scale import fits_broadcast, match_rows
-from plyforge.session import checkpointed, scratch_path
+from plyforge.session import scratch_path, written
 
 # Fixed value: shortest move list that counts as a game.
 MIN_HALF_MOVES = 6
 
-MAP_EDGES = 256
-_BETWEEN = "\u0001"
-
+STRETCH = 8
+EDGES_PER_BUCKET = 4_000_000
 
-def _edge_map(edges) -> Column:
-    entries = []
-    for edge in edges:
-        entries += [F.lit(f"{edge['state']}{_BETWEEN}{edge['move']}"), F.lit(edge["next_state"])]
-    return F.create_map(*entries) if entries else F.lit(None).cast("map<string,string>")
 
+class Relation:
+    """The transitions as a table bucketed by (state, move), while a walk needs it.
 
-def _map_states(games: DataFrame, edges, start) -> DataFrame:
-    """Add `states` by folding each list over a map literal of a few edges."""
-    table = _edge_map(edges)
-    walked = F.aggregate(
-        "moves",
-        F.array(F.lit(start)).cast("array<string>"),
-        lambda seen, move: F.array_append(
-            seen, F.try_element_at(table, F.concat(F.element_at(seen, -1), F.lit(_BETWEEN), move))
-        ),
-    )
-    return games.withColumn("states", F.slice(walked, F.lit(2), F.size("moves")))
+    Spark broadcasts it if its files are small enough; otherwise each step of a walk shuffles its
+    own rows to the buckets and never the relation. Of several next states the smallest counts.
+    """
 
+    def __init__(self, transitions: DataFrame):
+        spark = self.spark = transitions.sparkSession
+        text = lambda name: F.col(name).cast("string").alias(name)
+        edges = transitions.select(text("state"), text("move"), text("next_state"))
+        edges = edges.groupBy("state", "move").agg(F.min("next_state").alias("next_state"))
+        edges = written(edges, "edges")
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() // EDGES_PER_BUCKET))
+        self.name = f"edges_{uuid.uuid4().hex}"
+        dealt = edges.repartition(buckets, "state", "move").write.bucketBy(buckets, "state", "move")
+        dealt.sortBy("state", "move").option("path", scratch_path(spark, "relation")).saveAsTable(self.name)
 
-def _lookup_states(games: DataFrame, edges, start) -> DataFrame:
-    """Add `states` by looking the steps up in a dictionary, in Arrow batches."""
-    steps = {(edge["state"], edge["move"]): edge["next_state"] for edge in edges}
+    def __enter__(self):
+        return self.spark.table(self.name)
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def walk(lists: pd.Series) -> pd.Series:
-        def one(moves):
-            state, states = start, []
-            for move in moves:
-                state = steps.get((state, move))
-                states.append(state)
-            return states
+    def __exit__(self, *_):
+        self.spark.sql(f"DROP TABLE {self.name}")
 
-        return lists.map(one, na_action="ignore")
 
-    return games.withColumn("states", walk("moves"))
+def _trie(games: DataFrame) -> DataFrame:
+    """(row, part, parent, node, moves): each list in stretches of `STRETCH` moves.
 
+    A node is a 128-bit hash of all moves up to the end of a stretch, so equal openings share it.
+    """
+    plain = F.transform("moves", lambda move: F.coalesce(F.concat(F.lit("+"), move), F.lit("-")))
+    part = lambda moves, k: F.slice(moves, k * STRETCH + 1, STRETCH)
+    node = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    root = F.array(node(F.lit(0).cast("long"), F.lit(0).cast("long")))
+    parts = F.sequence(F.lit(0), F.ceil(F.size("moves") / STRETCH).cast("int") - 1)
+
+    def longer(seen, k):
+        last, own = F.element_at(seen, -1), part(plain, k)
+        return F.array_append(seen, node(F.xxhash64(last["a"], own), F.xxhash64(own, last["b"])))
+
+    listed = games.where(F.size("moves") > 0).select("_row", "moves", F.aggregate(parts, root, longer).alias("_nodes"), parts.alias("_parts"))
+    rows = F.transform(
+        "_parts",
+        lambda k: F.struct(
+            k.alias("part"),
+            F.get(F.col("_nodes"), k).alias("parent"),
+            F.get(F.col("_nodes"), k + 1).alias("node"),
+            part(F.col("moves"), k).alias("moves"),
+        ),
+    )
+    return listed.select("_row", F.explode(rows).alias("p")).select("_row", "p.*")
 
-def _join_states(games: DataFrame, edges: DataFrame, start) -> DataFrame:
-    """Add `states` ply by ply, for a relation too large to hold in a task.
 
-    The moves are written once by ply. Each round joins the games still alive, as narrow rows
-    (game_id, state), to their next move and to the relation, which is first cut to the steps
-    some game takes at this ply: early plies have few distinct steps, so that cut fits a
-    broadcast even though all games start alike.
-    """
-    spark = games.sparkSession
-    path = scratch_path(spark, "moves_by_ply")
-    listed = games.select("game_id", F.posexplode("moves").alias("ply", "move"))
-    listed.repartitionByRange("ply", "game_id").write.partitionBy("ply").parquet(path)
-    moves = spark.read.parquet(path)
-    alive = games.select("game_id", F.lit(start).alias("state"))
-    rounds = []
-    for ply in range(games.agg(F.max(F.size("moves"))).first()[0] or 0):
-        here = moves.where(F.col("ply") == ply).select("game_id", "move")
-        at = checkpointed(alive.join(here, "game_id"))
-        made = checkpointed(
-            match_rows(at, edges, ["state", "move"], "inner").select(
-                "game_id", F.lit(ply).alias("ply"), F.col("next_state").alias("state")
-            )
+def _walk(stretches: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, states, state) of (node, moves, state): `STRETCH` steps along the relation."""
+    at = stretches.withColumn("_s0", F.col("state"))
+    for j in range(STRETCH):
+        step = edges.select(
+            F.col("state").alias("_from"), F.col("move").alias("_move"), F.col("next_state").alias(f"_s{j + 1}")
         )
-        if made.isEmpty():
-            break
-        rounds.append(made)
-        alive = made.select("game_id", "state")
-    if not rounds:
-        return games.withColumn("states", F.transform("moves", lambda _: F.lit(None).cast("string")))
-    steps = rounds[0]
-    for made in rounds[1:]:
-        steps = steps.unionByName(made)
-    reached = steps.groupBy("game_id").agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("ply", "state"))), lambda step: step["state"]
-        ).alias("_reached")
-    )
-    filled = F.transform("moves", lambda _, i: F.get(F.col("_reached"), i))
-    return games.join(reached, "game_id", "left").withColumn("states", filled).drop("_reached")
+        fits = (F.col(f"_s{j}") == F.col("_from")) & (F.get("moves", F.lit(j)) == F.col("_move"))
+        at = at.join(step, fits, "left").drop("_from", "_move")
+    states = F.slice(F.array(*(f"_s{j + 1}" for j in range(STRETCH))), F.lit(1), F.size("moves"))
+    return at.select("node", states.alias("states"), F.col(f"_s{STRETCH}").alias("state"))
 
 
-def game_states(games: DataFrame, transitions: DataFrame, start, method="auto") -> DataFrame:
+def game_states(games: DataFrame, transitions: DataFrame, start) -> DataFrame:
     """Add `states` to (game_id, …, moves): the state after each move, null from the first
     missing transition on. States are strings.
 
-    A relation of a few edges becomes a map literal and one of checked size a dictionary; both
-    need no shuffle. A larger one is joined ply by ply. `method` can force `map`, `lookup` or
-    `join`.
+    The lists are put into a trie by hashes of their beginnings, so that moves which games have in
+    common from the start are walked once. A round takes all nodes one stretch further: one job
+    for `STRETCH` plies, on distinct nodes only.
     """
-    edges = transitions.select(
-        F.col("state").cast("string").alias("state"),
-        "move",
-        F.col("next_state").cast("string").alias("next_state"),
+    numbered = games.withColumn("moves", F.coalesce("moves", F.array().cast("array<string>")))
+    games = written(numbered.withColumn("_row", F.monotonically_increasing_id()), "games")
+    spark = games.sparkSession
+    path = scratch_path(spark, "trie")
+    listed = _trie(games)
+    listed.write.partitionBy("part").parquet(path)
+    listed = spark.read.schema(listed.schema).parquet(path)
+    alive, walked = None, None
+    with Relation(transitions) as edges:
+        for part in range(listed.agg(F.max("part")).first()[0] + 1 if not listed.isEmpty() else 0):
+            nodes = listed.where(F.col("part") == part).groupBy("node").agg(
+                F.any_value("parent").alias("parent"), F.any_value("moves").alias("moves")
+            )
+            if alive is None:
+                nodes = nodes.withColumn("state", F.lit(str(start)))
+            else:
+                nodes = nodes.join(alive, "parent")
+            made = written(_walk(nodes.select("node", "moves", "state"), edges), "states")
+            walked = made if walked is None else walked.unionByName(made)
+            alive = made.where(F.col("state").isNotNull()).select(F.col("node").alias("parent"), "state")
+            if alive.isEmpty():
+                break
+    if walked is None:
+        return games.withColumn("states", F.transform("moves", lambda _: F.lit(None).cast("string"))).drop("_row")
+    reached = (
+        listed.select("_row", "part", "node")
+        .join(walked.select("node", "states"), "node")
+        .groupBy("_row")
+        .agg(F.sort_array(F.collect_list(F.struct("part", "states"))).alias("_parts"))
+        .select("_row", F.flatten(F.transform("_parts", lambda part: part["states"])).alias("_reached"))
     )
-    start = str(start)
-    if method == "auto":
-        if not fits_broadcast(edges):
-            method = "join"
-        else:
-            method = "map" if edges.limit(MAP_EDGES + 1).count() <= MAP_EDGES else "lookup"
-    if method == "join":
-        return _join_states(games, edges, start)
-    walk = _map_states if method == "map" else _lookup_states
-    return walk(games, edges.collect(), start)
-
-
-def replay(
-    games: DataFrame, transitions: DataFrame, start, max_ply=None, method="auto"
-) -> DataFrame:
+    filled = F.transform("moves", lambda _, i: F.get(F.col("_reached"), i))
+    return games.join(reached, "_row", "left").withColumn("states", filled).drop("_row", "_reached")
+
+
+def replay(games: DataFrame, transitions: DataFrame, start, max_ply=None) -> DataFrame:
     """(game_id, ply, state_before, move, state_after) up to the first missing transition."""
     if max_ply is not None:
         games = games.withColumn("moves", F.slice("moves", 1, max_ply))
-    walked = game_states(games.select("game_id", "moves"), transitions, start, method)
+    walked = game_states(games.select("game_id", "moves"), transitions, start)
     steps = F.transform(
         "states",
         lambda state, i: F.struct(
@@ -142,13 +144,11 @@ def replay(
     return rows.where(F.col("state_after").isNotNull())
 
 
-def reached_positions(
-    games: DataFrame, transitions: DataFrame, start, max_ply=30, method="auto"
-) -> DataFrame:
+def reached_positions(games: DataFrame, transitions: DataFrame, start, max_ply=30) -> DataFrame:
     """(game_id, ply, position, played): each position a listed move is made from, also where
     that move has no transition."""
     capped = games.select("game_id", F.slice("moves", 1, max_ply).alias("moves"))
-    walked = game_states(capped, transitions, start, method)
+    walked = game_states(capped, transitions, start)
     before = F.transform(
         "moves",
         lambda move, i: F.struct(
@@ -177,20 +177,19 @@ def valid_sequences(
     start,
     min_half_moves=MIN_HALF_MOVES,
     dialect="evaluation",
-    method="auto",
 ) -> DataFrame:
     """(game_id, is_legal) for (game_id, text): long enough, and every move has a transition.
 
     The `finetune` dialect leaves a final ` *` in place, so such games fail.
     """
     parsed = texts.select("game_id", parse_half_moves(F.col("text"), dialect).alias("moves"))
-    return valid_moves(parsed, transitions, start, min_half_moves, method)
+    return valid_moves(parsed, transitions, start, min_half_moves)
 
 
-def valid_moves(games, transitions, start, min_half_moves=MIN_HALF_MOVES, method="auto"):
+def valid_moves(games, transitions, start, min_half_moves=MIN_HALF_MOVES):
     """The same check for (game_id, moves)."""
     checked = F.when(F.size("moves") >= min_half_moves, F.col("moves")).otherwise(F.array())
-    walked = game_states(games.select("game_id", checked.alias("moves")), transitions, start, method)
+    walked = game_states(games.select("game_id", checked.alias("moves")), transitions, start)
     legal = F.coalesce(F.element_at("states", -1).isNotNull(), F.lit(False))
     return walked.select(
         "game_id", F.when(F.size("states") > 0, legal).otherwise(False).alias("is_legal")

@@ -1,28 +1,31 @@
 """Byte-pair vocabulary: counting, learning, encoding and decoding.
 
-While merges are applied, a piece is one string of symbols `<a><b>…`. In byte mode a symbol is
-a token id; in symbol mode it is the hex of the symbol's UTF-8 bytes, so no text can collide
-with the brackets. Merging a pair is then `replace('<a><b>', '<c>')`, which works from left to
-right without overlaps.
+As columns, pieces are strings of symbols `<a><b>…`. In byte mode a symbol is a token id; in symbol
+mode it is the hex of the symbol's UTF-8 bytes, so no text can collide with the brackets. Merging a
+pair is then `replace('<a><b>', '<c>')`, which works from left to right without overlaps. Learning
+and encoding work on ids instead, in Arrow batches.
 """
 
-import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyforge.functions.fixed import SPECIAL_TOKENS, UNKNOWN_ID
 from plyforge.functions.notation import TRAINER_PIECES, find_pieces, pretokenize
-from plyforge.scale import lookup_join, text_list
+from plyforge.operators.learning import FIRST_BYTE_MERGE, learn_merges
+from plyforge.scale import text_list
 from plyforge.session import checkpointed
 
-# First merge id in byte mode, highest move number that may be one token.
-FIRST_BYTE_MERGE = 256
+# Fixed value: highest move number that may be one token.
 LAST_TURN = 300
 
-TOP_PAIRS = 256
-ROUNDS_PER_CHECKPOINT = 10
+CODED_PIECES = 1_000_000
 SPECIAL_PATTERN = r"\[g_start\]|\[g_end\]|\[unknown\]|\[pad\]"
 
 
@@ -100,91 +103,6 @@ def merge_pairs(symbols: Column, merges) -> Column:
     return F.aggregate(rules, symbols, lambda s, rule: F.replace(s, rule["0"], rule["1"]))
 
 
-def _settled(rows, complete: bool, known=frozenset()) -> list:
-    """How many of the ranked pairs can be merged at once with the same result as one by one.
-
-    A later pair is safe while it shares no symbol with the pairs already taken: then its own
-    count cannot change, and any pair made or reduced by them stems from a pair that shares a
-    symbol with them. Those all rank lower; so that none can draw level, every pair with the
-    same count must be free of the taken symbols too, and the last count is left out when the
-    list was cut there. A pair of two equal symbols can give a pair of its own kind, and one
-    that spells a `known` symbol adds to that symbol's pairs, so nothing follows either.
-    """
-    taken, used, spelled = [], set(), set(known)
-    for i, row in enumerate(rows):
-        if i:
-            level = [r for r in rows if r["n"] == row["n"]]
-            if not complete and row["n"] == rows[-1]["n"]:
-                break
-            if any({r["left"], r["right"]} & used for r in level if r not in taken):
-                break
-        taken.append(row)
-        used |= {row["left"], row["right"]}
-        new = row["left"] + row["right"]
-        if row["left"] == row["right"] or new in spelled:
-            break
-        spelled.add(new)
-    return taken
-
-
-def _count_changes(pieces: DataFrame, rules) -> DataFrame:
-    """(left, right, n): how pair counts change in the pieces that `rules` merge."""
-    touched = F.lit(False)
-    for left, right, _ in rules:
-        touched = touched | F.col("symbols").contains(f"<{left}><{right}>")
-    versions = F.array(
-        F.struct(merge_pairs(F.col("symbols"), rules).alias("symbols"), F.col("freq").alias("freq")),
-        F.struct(F.col("symbols"), (-F.col("freq")).alias("freq")),
-    )
-    # A filter would be pushed down and work out `symbols` once more for every rule.
-    changed = pieces.select(F.explode(F.when(touched, versions)).alias("v"))
-    return pair_counts(changed.select("v.*"))
-
-
-def learn_merges(
-    pieces: DataFrame, n_merges: int, mode="symbol", every=ROUNDS_PER_CHECKPOINT, top=TOP_PAIRS
-) -> list:
-    """Merges (rank, left, right, new, n) from distinct pieces (piece, freq).
-
-    All pairs are counted once. Each round brings back the leading pairs, a bounded list,
-    settles as many of them as give the same merges as one at a time, and adds to the counts
-    what changes in the pieces they occur in. Stops early when no pair is left.
-    """
-    cores = pieces.sparkSession.sparkContext.defaultParallelism
-    dealt = pieces.repartition(cores, "piece")  # few bytes, read again in every round
-    state = checkpointed(dealt.select(base_symbols(F.col("piece"), mode).alias("symbols"), "freq"))
-    counts = checkpointed(pair_counts(state))
-    merges, pending, rounds = [], [], 0
-    while len(merges) < n_merges:
-        rows = top_pairs(counts, top, mode).collect()
-        if not rows:
-            break
-        known = set() if mode == "byte" else {merge[3] for merge in merges}
-        rules = []
-        for row in _settled(rows, len(rows) < top, known)[: n_merges - len(merges)]:
-            rank = len(merges)
-            new = str(FIRST_BYTE_MERGE + rank) if mode == "byte" else row["left"] + row["right"]
-            merges.append((rank, row["left"], row["right"], new, row["n"]))
-            rules.append((row["left"], row["right"], new))
-        if len(merges) == n_merges:
-            break
-        current = state.withColumn("symbols", merge_pairs(F.col("symbols"), pending))
-        counts = checkpointed(
-            counts.unionByName(_count_changes(current, rules))
-            .groupBy("left", "right")
-            .agg(F.sum("n").alias("n"))
-            .where(F.col("n") > 0)
-        )
-        pending += rules
-        rounds += 1
-        if rounds % every == 0:
-            state = checkpointed(
-                state.withColumn("symbols", merge_pairs(F.col("symbols"), pending))
-            )
-            pending = []
-    return merges
-
-
 def _text(hex_symbol: str) -> str:
     return bytes.fromhex(hex_symbol).decode("utf-8")
 
@@ -253,92 +171,103 @@ def _rules(merges: DataFrame, vocabulary: DataFrame, mode: str) -> tuple:
     return characters, [(ids[r["left"]], ids[r["right"]], ids[r["token"]]) for r in rows]
 
 
-def _dictionary(entries: dict, code) -> Callable:
-    """A lookup of long keys as a column: buckets in one literal, so its size costs no time.
-
-    `entries` maps keys (tuples of numbers) to tuples of numbers; `code` combines a key's parts.
-    The column is null for an unknown key, else a struct with fields v0, v1, ….
-    """
-    size = max(1, len(entries))
-    buckets = [[] for _ in range(size)]
-    for key, values in entries.items():
-        fields = {f"k{i}": part for i, part in enumerate(key)}
-        fields |= {f"v{i}": value for i, value in enumerate(values)}
-        buckets[code(*key) % size].append(fields)
-    names = sorted({name for bucket in buckets for fields in bucket for name in fields})
-    kind = "array<array<struct<" + ", ".join(f"{name}: bigint" for name in names or ["k0"]) + ">>>"
-    table = F.from_json(F.lit(json.dumps(buckets)), kind)
-
-    def find(*key):
-        def fits(entry):
-            test = F.lit(bool(entries))
-            for i, part in enumerate(key):
-                test = test & (entry[f"k{i}"] == part) if entries else test
-            return test
-
-        return F.get(F.filter(F.get(table, F.pmod(code(*key), F.lit(size)).cast("int")), fits), F.lit(0))
-
-    return find
-
-
-def _coded_characters(piece: Column, characters: dict) -> Column:
-    """Bracketed ids of the characters, found by code point; unknown ones in a row are one id."""
-    chars = F.regexp_extract_all(piece, F.lit("(?s)(.)"), F.lit(1))
-    find = _dictionary({(point,): (number,) for point, number in characters.items()}, lambda c: c)
-    if not characters:
-        code = lambda c: F.lit("?")
-    else:
-        code = lambda c: F.coalesce(find(F.ascii(c).cast("long"))["v0"].cast("string"), F.lit("?"))
-    coded = F.array_join(F.transform(chars, lambda c: F.concat(F.lit("<"), code(c), F.lit(">"))), "")
-    return F.regexp_replace(coded, r"(<\?>)+", f"<{UNKNOWN_ID}>")
-
-
-def merge_by_rank(symbols: Column, rules) -> Column:
-    """Merge the pair of the lowest rank, in all its places, until no pair has a rule.
+def merge_ids(ids: list, ranks: dict) -> list:
+    """Merge the pair of the lowest rank, in all its places from the left, until no pair has a rule.
 
-    Each step looks up the pairs that a piece holds, so the cost follows the length of the piece
-    and not the number of rules.
+    The ids are linked, and a heap holds (rank, place) of the pairs, so a piece of n symbols takes
+    n log n steps. Outdated entries are recognised when they come up.
     """
+    size = len(ids)
+    after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+    heap = [(ranks[pair][0], i) for i, pair in enumerate(zip(ids, ids[1:])) if pair in ranks]
+    heapify(heap)
+    while heap:
+        rank, made = heap[0][0], []
+        while heap and heap[0][0] == rank:
+            _, i = heappop(heap)
+            j = after[i]
+            rule = ranks.get((ids[i], ids[j])) if j < size and ids[i] is not None else None
+            if rule is None or rule[0] != rank:
+                continue
+            ids[i], ids[j], after[i] = rule[1], None, after[j]
+            if after[i] < size:
+                before[after[i]] = i
+            made.append(i)
+        for i in made:
+            for left, right in ((before[i], i), (i, after[i])):
+                if left >= 0 and right < size and (rule := ranks.get((ids[left], ids[right]))):
+                    heappush(heap, (rule[0], left))
+    return [number for number in ids if number is not None]
+
+
+def _piece_coder(characters: dict, rules, mode: str, specials) -> Callable:
+    """A function from a piece to its ids; unknown characters in a row are one id."""
     ranks = {}
     for rank, (left, right, new) in enumerate(rules):
         ranks.setdefault((left, right), (rank, new))
-    if not ranks:
-        return symbols
-    find = _dictionary(ranks, lambda left, right: left * 31 + right)
+    whole = {token: [number] for number, token in enumerate(specials if mode == "symbol" else ())}
+
+    def code(piece: str) -> list:
+        if mode == "byte":
+            return merge_ids(list(piece.encode("utf-8")), ranks)
+        if piece in whole:
+            return whole[piece]
+        ids = []
+        for char in piece:
+            number = characters.get(ord(char), UNKNOWN_ID)
+            if number != UNKNOWN_ID or not ids or ids[-1] != UNKNOWN_ID:
+                ids.append(number)
+        return merge_ids(ids, ranks)
+
+    return code
 
-    def step(text, _):
-        ids = F.transform(symbol_list(text), lambda s: s.try_cast("long"))
 
-        def ruled(right, i):
-            left = F.get(ids, i)
-            rule = find(left, right)
-            return F.when(rule.isNotNull(), F.struct(rule["v0"], left, right, rule["v1"]))
+def piece_encoder(merges: DataFrame, vocabulary: DataFrame, mode="symbol", specials=SPECIAL_TOKENS) -> Callable:
+    """A column function from lists of pieces to their ids, one after the other.
 
-        found = F.transform(F.slice(ids, F.lit(2), F.greatest(F.size(ids) - 1, F.lit(0))), ruled)
-        best = F.array_min(F.filter(found, lambda rule: rule.isNotNull()))
-        part = lambda i: best.cast("struct<rank: string, left: string, right: string, new: string>")[i]
-        pair = F.concat(F.lit("<"), part("left"), F.lit("><"), part("right"), F.lit(">"))
-        merged = F.replace(text, pair, F.concat(F.lit("<"), part("new"), F.lit(">")))
-        return F.coalesce(merged, text)
+    It works on Arrow batches: the distinct pieces of a batch are coded once, and a task keeps the
+    codes of pieces it has seen, up to a bound. No row leaves its task.
+    """
+    characters, rules = _rules(merges, vocabulary, mode)
 
-    rounds = F.sequence(F.lit(1), F.greatest(F.size(symbol_list(symbols)), F.lit(1)))
-    return F.aggregate(rounds, symbols, step)
+    @F.arrow_udf("array<int>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        code, seen = _piece_coder(characters, rules, mode, specials), {}
+        for lists in batches:
+            pieces = lists.flatten().dictionary_encode()
+            if len(seen) > CODED_PIECES:
+                seen = {}
+            coded = []
+            for piece in pieces.dictionary.to_pylist():
+                ids = seen.get(piece)
+                if ids is None:
+                    ids = seen[piece] = code(piece)
+                coded.append(ids)
+            yield _joined(lists, pieces.indices, coded)
+
+    return encode
+
+
+def _joined(lists: pa.Array, pieces: pa.Array, coded: list) -> pa.Array:
+    """For lists of piece numbers the lists of the pieces' ids; null pieces and lists have none."""
+    sizes = np.array([len(ids) for ids in coded] + [0], np.int64)
+    flat = np.fromiter(chain.from_iterable(coded), np.int32, int(sizes.sum()))
+    starts = np.cumsum(sizes) - sizes
+    number = pieces.fill_null(len(coded)).to_numpy(zero_copy_only=False).astype(np.int64)
+    length = sizes[number]
+    ends = np.cumsum(length)
+    places = np.repeat(starts[number] - (ends - length), length) + np.arange(length.sum())
+    per_row = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_row)])]
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat[places]))
 
 
 def encode_pieces(
     pieces: DataFrame, merges: DataFrame, vocabulary: DataFrame, mode="symbol", specials=SPECIAL_TOKENS
 ) -> DataFrame:
-    """Add `ids` to distinct pieces. Unknown characters in a row give one unknown id."""
-    characters, rules = _rules(merges, vocabulary, mode)
-    if mode == "byte":
-        symbols = base_symbols(F.col("piece"), mode)
-    else:
-        symbols = _coded_characters(F.col("piece"), characters)
-    merged = merge_by_rank(symbols, rules)
-    ids = F.transform(F.filter(symbol_list(merged), lambda s: s != ""), lambda s: s.cast("int"))
-    for number, token in enumerate(specials if mode == "symbol" else ()):
-        ids = F.when(F.col("piece") == token, F.array(F.lit(number))).otherwise(ids)
-    return pieces.withColumn("ids", ids)
+    """Add `ids` to pieces. Unknown characters in a row give one unknown id."""
+    encode = piece_encoder(merges, vocabulary, mode, specials)
+    return pieces.withColumn("ids", encode(F.array("piece")))
 
 
 def bpe_encode(
@@ -349,20 +278,9 @@ def bpe_encode(
     keys=("doc_id",),
     mode="symbol",
 ) -> DataFrame:
-    """(keys, ids): each distinct piece is encoded once, then its ids are put back in place."""
-    keys = list(keys)
-    placed = corpus.select(*keys, F.posexplode_outer(pieces).alias("pos", "piece"))
-    counted = placed.where(F.col("piece").isNotNull()).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-    cores = corpus.sparkSession.sparkContext.defaultParallelism
-    dealt = counted.repartition(cores, "piece")  # many rules are tried on each piece
-    dictionary = checkpointed(encode_pieces(dealt, merges, vocabulary, mode))
-    coded = lookup_join(
-        placed, dictionary.select("piece", "ids"), "piece", "left", counts=dictionary.select("piece", "n")
-    )
-    parts = F.sort_array(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids"))))
-    return coded.groupBy(*keys).agg(
-        F.flatten(F.transform(parts, lambda part: part["ids"])).alias("ids")
-    )
+    """(keys, ids): the ids of each row's pieces, in order; none for a null text. No shuffle."""
+    encode = piece_encoder(merges, vocabulary, mode)
+    return corpus.select(*keys, encode(pieces).alias("ids"))
 
 
 def _vocabulary_lookup(vocabulary: DataFrame) -> Column:

@@ -7,7 +7,7 @@ from plyforge.functions.notation import GAME_START, numbered_text, parse_half_mo
 from plyforge.functions.scoring import truncate_left
 from plyforge.operators.pairs import BAD_LOSS, GOOD_LOSS, PAIRS_PER_POSITION, SEED, pair_candidates
 from plyforge.operators.replay import reached_positions, unique_positions
-from plyforge.operators.tokens import bpe_encode, split_pieces
+from plyforge.operators.tokens import piece_encoder, split_pieces
 from plyforge.scale import keep_keys, lookup_join
 from plyforge.session import written
 
@@ -60,25 +60,18 @@ def tokenize_pairs(
 ) -> DataFrame:
     """(key, chosen_ids, chosen_move_len, rejected_ids, rejected_move_len).
 
-    The three texts of a pair are encoded in one pass. A move's ids are what follows the
+    The three texts of a pair are encoded where the pair is. A move's ids are what follows the
     context's; pairs without such ids, or whose move is longer than `block`, are dropped.
     """
     context = F.concat(F.lit(GAME_START), F.coalesce("context", F.lit("")))
     gap = F.when(F.coalesce("context", F.lit("")) != "", F.lit(" ")).otherwise(F.lit(""))
-    texts = F.array(
-        F.struct(F.lit("context").alias("part"), context.alias("text")),
-        F.struct(F.lit("chosen").alias("part"), F.concat(context, gap, "chosen").alias("text")),
-        F.struct(F.lit("rejected").alias("part"), F.concat(context, gap, "rejected").alias("text")),
-    )
-    # Placed by pair once, so that neither regrouping below shuffles again.
-    placed = pairs.select(key, "context", "chosen", "rejected").repartition(key)
-    listed = placed.select(key, F.explode(texts).alias("t")).select(key, "t.*")
-    coded = bpe_encode(
-        listed, split_pieces(F.col("text"), specials=True), merges, vocabulary, keys=[key, "part"]
-    )
-    ids = lambda part: F.any_value(F.when(F.col("part") == part, F.col("ids")), ignoreNulls=True)
-    rows = coded.groupBy(key).agg(
-        ids("context").alias("_context"), ids("chosen").alias("_chosen"), ids("rejected").alias("_rejected")
+    encode = piece_encoder(merges, vocabulary)
+    ids = lambda text: encode(split_pieces(text, specials=True))
+    rows = pairs.select(
+        key,
+        ids(context).alias("_context"),
+        ids(F.concat(context, gap, "chosen")).alias("_chosen"),
+        ids(F.concat(context, gap, "rejected")).alias("_rejected"),
     )
     length = lambda side: F.size(side) - F.size("_context")
     cut = lambda side: truncate_left(F.col(side), block, length(side))
