@@ -1,11 +1,13 @@
 """Session settings and the shared checkpoint folder."""
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+_NOTES = []
 
 
 def local_session(cpus="*", app="plyforge", partitions=8, **conf) -> SparkSession:
@@ -52,7 +54,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new place for a table in the checkpoint folder."""
-    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    for notes in _NOTES:
+        notes.append(path)
+    return path
+
+
+@contextmanager
+def noted_scratch():
+    """The list of all places taken inside, so that they can be given back later."""
+    notes = []
+    _NOTES.append(notes)
+    try:
+        yield notes
+    finally:
+        _NOTES.remove(notes)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
