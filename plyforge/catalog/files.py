@@ -143,13 +143,29 @@ def resume_eval_stream(spark, sf):
     return spark.read.parquet(f"{folder}/out")
 
 
+def _put_logs(spark, made, place):
+    """Move the one file of each run to `run=…/log`, in place of an earlier, shorter one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(made).getFileSystem(spark._jsc.hadoopConfiguration())
+    for run in tables.children(spark, made):
+        (file,) = tables.children(spark, f"{made}/{run}")
+        target = path(f"{place}/{run}/log")
+        system.mkdirs(target.getParent())
+        system.delete(target, False)
+        system.rename(path(f"{made}/{run}/{file}"), target)
+
+
 @query("round_log_stream", LOG_LINES.replace("SELECT run, min_by", "SELECT run::VARCHAR AS run, min_by"))
 def round_log_stream(spark, sf):
-    """Log lines written by run, one file each, and read as a stream."""
+    """Logs by run, one file each, that have grown when the stream runs for the second time."""
     folder = scratch_path(spark, "logs")
     lines = log_lines(spark, sf).repartition("run").sortWithinPartitions("run", "line_no")
-    lines.select("run", F.col("line").alias("value")).write.partitionBy("run").text(f"{folder}/in")
-    jobs.round_log_stream(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint")
+    shown = lines.select("run", F.col("line").alias("value"), "line_no")
+    half = (shown.agg(F.max("line_no")).first()[0] or 0) // 2
+    for name, part in (("early", shown.where(F.col("line_no") < half)), ("late", shown)):
+        part.select("run", "value").write.partitionBy("run").text(f"{folder}/{name}")
+        _put_logs(spark, f"{folder}/{name}", f"{folder}/in")
+        jobs.round_log_stream(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint")
     return jobs.round_summary(spark, f"{folder}/out")
 
 

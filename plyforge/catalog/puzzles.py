@@ -7,7 +7,8 @@ from plyforge.catalog.corpus import sql_numbered, sql_shuffle_key
 from plyforge.catalog.registry import query, table
 from plyforge.operators import puzzles as pz
 from plyforge.plans import puzzle_dataset as plan
-from plyforge.sources.puzzles import parse_fen_puzzles
+from plyforge.session import scratch_path
+from plyforge.sources.puzzles import parse_fen_lines, parse_fen_puzzles, read_fen_lines
 
 KINDS = ["click", "error", "purchase", "signup", "view"]
 
@@ -267,9 +268,7 @@ def fen_texts(spark, sf):
     return table(spark, sf, "part").select(p.alias("source"), text.alias("text"))
 
 
-@query(
-    "parse_fen_puzzles",
-    """WITH texts AS (SELECT p_partkey AS source,
+FEN_PUZZLES = """WITH texts AS (SELECT p_partkey AS source,
   CASE WHEN p_partkey % 4 <> 0 THEN 'Cite ' || p_name || chr(10) ELSE '' END || 'a/b/c/d/e/f/g/h w - - 0 ' || p_partkey || chr(10)
   || CASE WHEN p_partkey % 2 = 0 THEN chr(10) || '  ' || chr(10) ELSE '' END || '1. ' || p_type || 'x 2. y' || chr(10)
   || CASE WHEN p_partkey % 3 = 0 THEN 'x/b/c/d/e/f/g/h b - - 1 2' || chr(10) || chr(10) || 'no answer' || chr(10)
@@ -283,7 +282,24 @@ lines AS (SELECT source, t.i, trim(l[t.i], ' ' || chr(13) || chr(9)) AS line,
 next AS (SELECT source, i, line AS fen, citation, lead(line) OVER (PARTITION BY source ORDER BY i) AS solution FROM lines WHERE line <> '')
 SELECT source, citation, fen, solution, regexp_extract(solution, '\\d+\\.\\s+(\\S+)', 1) AS best_move FROM next
 WHERE length(fen) - length(replace(fen, '/', '')) = 7 AND (contains(fen, ' w ') OR contains(fen, ' b '))
-AND regexp_extract(solution, '\\d+\\.\\s+(\\S+)', 1) <> '' AND citation <> ''""",
-)
+AND regexp_extract(solution, '\\d+\\.\\s+(\\S+)', 1) <> '' AND citation <> ''"""
+
+
+@query("parse_fen_puzzles", FEN_PUZZLES)
 def _(spark, sf):
     return parse_fen_puzzles(fen_texts(spark, sf))
+
+
+@query(
+    "read_fen_puzzles",
+    FEN_PUZZLES.replace("AS source,\n  CASE", "AS source,\n  '--- ' || p_partkey || chr(10) || CASE").replace(
+        "SELECT source, citation", "SELECT citation"
+    ),
+)
+def _(spark, sf):
+    """The same texts one after the other in files, each under a line of its own."""
+    path = scratch_path(spark, "fens")
+    marked = F.concat(F.lit("--- "), "source", F.lit("\n"), "text")
+    texts = fen_texts(spark, sf).select("source", marked.alias("text"))
+    texts.repartitionByRange(2, "source").sortWithinPartitions("source").select("text").write.text(path)
+    return parse_fen_lines(read_fen_lines(spark, path)).drop("source")

@@ -1,10 +1,11 @@
 """Puzzle catalogue, puzzle records and FEN puzzle texts."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plyforge.functions.notation import strip_blanks
 
+# Column names of the catalogue and of the records.
 CATALOGUE_SCHEMA = (
     "PuzzleId string, FEN string, Moves string, Rating int, RatingDeviation int, "
     "Popularity int, NbPlays int, Themes string, GameUrl string, OpeningTags string"
@@ -32,8 +33,9 @@ def read_puzzle_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_puzzles_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Puzzle records, one JSON object per line; blank lines give no row."""
-    rows = spark.read.schema(RECORD_SCHEMA).json(path)
-    return rows.where(F.col("puzzle_id").isNotNull())
+    reader = spark.read.schema(RECORD_SCHEMA)
+    names = [field.split()[0] for field in RECORD_SCHEMA.split(", ")]
+    return reader.json(path).select(*names).where(F.col("puzzle_id").isNotNull())
 
 
 def write_puzzles_jsonl(records: DataFrame, path: str) -> None:
@@ -46,13 +48,61 @@ def write_splits(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
-def read_fen_texts(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files as (source, text)."""
-    return spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("source"), F.col("value").alias("text")
+def _is_fen(line: Column) -> Column:
+    slashes = F.length(line) - F.length(F.replace(line, F.lit("/"), F.lit("")))
+    return (slashes == 7) & (line.contains(" w ") | line.contains(" b "))
+
+
+def _with_best_move(puzzles: DataFrame) -> DataFrame:
+    """Complete puzzles with the first numbered move of their solution."""
+    best = F.regexp_extract("solution", r"\d+\.\s+(\S+)", 1)
+    found = puzzles.withColumn("best_move", best)
+    return found.where((F.col("best_move") != "") & (F.col("citation") != ""))
+
+
+def read_fen_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(source, split, place, line): the lines of text files of any size, by split of the scan."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.select(
+        F.col("_metadata.file_path").alias("source"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("place"),
+        strip_blanks(F.col("value")).alias("line"),
     )
 
 
+def parse_fen_lines(lines: DataFrame) -> DataFrame:
+    """The puzzles of `parse_fen_puzzles` in (source, split, place, line).
+
+    A split is worked through alone, and a short row per split stitches the borders: its last line
+    may be the citation of the next split's first line, and its first line that is not blank the
+    solution of a position that the splits before left open.
+    """
+    own = Window.partitionBy("source", "split").orderBy("place")
+    filled = F.when(F.col("line") != "", F.col("line"))
+    following = F.first(filled, ignorenulls=True).over(own.rowsBetween(1, Window.unboundedFollowing))
+    placed = lines.select("*", F.lag("line").over(own).alias("_before"), following.alias("_after"))
+    fens = placed.where(_is_fen(F.col("line")))
+    by_place = lambda name, pick: pick(name, F.when(F.col(name).isNotNull(), F.col("place")))
+    ends = lines.withColumn("_filled", filled).groupBy("source", "split").agg(
+        F.max_by("line", "place").alias("_last"), by_place("_filled", F.min_by).alias("_first")
+    )
+    splits = Window.partitionBy("source").orderBy("split")
+    borders = ends.select(
+        "source",
+        "split",
+        F.lag("_last").over(splits).alias("_cited"),
+        F.first("_first", ignorenulls=True).over(splits.rowsBetween(1, Window.unboundedFollowing)).alias("_solved"),
+    )
+    rows = fens.join(borders, ["source", "split"]).select(
+        "source",
+        F.coalesce("_before", "_cited", F.lit("")).alias("citation"),
+        F.col("line").alias("fen"),
+        F.coalesce("_after", "_solved", F.lit("")).alias("solution"),
+    )
+    return _with_best_move(rows)
+
+
 def parse_fen_puzzles(texts: DataFrame) -> DataFrame:
     """Puzzles in (source, text): a FEN line, its citation before it, its solution after it.
 
@@ -72,7 +122,6 @@ def parse_fen_puzzles(texts: DataFrame) -> DataFrame:
         ),
     )
     filled = cited.withColumn("_filled", F.filter("_cited", lambda entry: entry["line"] != ""))
-    slashes = lambda line: F.length(line) - F.length(F.replace(line, F.lit("/"), F.lit("")))
     found = filled.withColumn(
         "_found",
         F.transform(
@@ -84,13 +133,5 @@ def parse_fen_puzzles(texts: DataFrame) -> DataFrame:
             ),
         ),
     )
-    is_fen = lambda p: (slashes(p["fen"]) == 7) & (
-        p["fen"].contains(" w ") | p["fen"].contains(" b ")
-    )
-    rows = found.select("source", F.explode(F.filter("_found", is_fen)).alias("p"))
-    best = F.regexp_extract("solution", r"\d+\.\s+(\S+)", 1)
-    return (
-        rows.select("source", "p.*")
-        .withColumn("best_move", best)
-        .where((F.col("best_move") != "") & (F.col("citation") != ""))
-    )
+    puzzles = F.filter("_found", lambda p: _is_fen(p["fen"]))
+    return _with_best_move(found.select("source", F.explode(puzzles).alias("p")).select("source", "p.*"))

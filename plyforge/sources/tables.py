@@ -29,13 +29,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
-def has_data(spark: SparkSession, path: str) -> bool:
-    """Whether a folder holds files that a reader takes."""
+def children(spark: SparkSession, path: str) -> list:
+    """Names in a folder that a reader takes, in order; none if there is no such folder."""
     if not exists(spark, path):
-        return False
+        return []
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     entries = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
-    return any(not entry.getPath().getName().startswith(("_", ".")) for entry in entries)
+    names = [entry.getPath().getName() for entry in entries]
+    return sorted(name for name in names if not name.startswith(("_", ".")))
+
+
+def has_data(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds files that a reader takes."""
+    return bool(children(spark, path))
 
 
 def is_complete(spark: SparkSession, path: str) -> bool:

@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 from plyforge.operators.evaluation import keep_last, remaining_work
 from plyforge.operators.puzzles import new_only
 from plyforge.operators.runs import PASS_RATE, VAL_LOSS, logged_number
-from plyforge.sources.puzzles import read_puzzles_jsonl
-from plyforge.sources.tables import has_data
+from plyforge.session import removed, written
+from plyforge.sources.tables import children, has_data
+from plyforge.streaming.logs import GrowingLogs
+
+LEDGER_BUCKETS = 64
 
 LOG_SCHEMA = (
-    "run string, line_no struct<file: string, block: bigint, line: bigint>, "
-    "pass_rate double, val_loss double"
+    "run string, line_no struct<file: string, place: bigint>, pass_rate double, val_loss double"
 )
 
 
@@ -25,21 +27,52 @@ def _run(stream: DataFrame, step, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def _ledger_bucket(name: str):
+    return F.pmod(F.xxhash64(name), F.lit(LEDGER_BUCKETS)).cast("int").alias("bucket")
+
+
 def sync_puzzles_stream(stream: DataFrame, sink: str, checkpoint: str, build) -> None:
     """Append the records of new catalogue rows; an id is written once, also after a restart.
 
-    `build(candidates)` turns new rows (PuzzleId, …) into puzzle records.
-    """
-
-    def step(batch, _):
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["PuzzleId"])
-        if has_data(spark, sink):
-            written = read_puzzles_jsonl(spark, sink)
-            fresh = new_only(fresh, written.select(F.col("puzzle_id").alias("PuzzleId")), "PuzzleId")
-        build(fresh).write.mode("append").json(sink)
+    `build(candidates)` turns rows (PuzzleId, …) into puzzle records (puzzle_id, …). Beside the sink
+    stand a ledger of the ids written, in folders by hash of the id, and the rows that gave no record.
+    A batch reads the ledger folders of its own ids and no records. The failed rows are tried again
+    when a run starts and with every batch, so a row whose game arrives later is written then.
 
-    _run(stream, step, checkpoint)
+    Every step has its own folders under a step number, and writes the failed rows last. A step that
+    broke off is done again from the same rows and overwrites what it left.
+    """
+    spark = stream.sparkSession
+    ledger, failed = f"{sink}_ids", f"{sink}_failed"
+
+    def work(rows: DataFrame | None, step: str) -> None:
+        past = [name for name in children(spark, failed) if name < f"step={step}"]
+        if past:
+            waiting = spark.read.parquet(f"{failed}/{past[-1]}")
+            rows = waiting if rows is None else rows.unionByName(waiting)
+        fresh = rows.dropDuplicates(["PuzzleId"]).withColumn("_id", F.col("PuzzleId").cast("string"))
+        if has_data(spark, ledger):
+            buckets = [row[0] for row in fresh.select(_ledger_bucket("_id")).distinct().collect()]
+            ids = spark.read.schema("_id string, step string, bucket int").parquet(ledger)
+            # Ids of this very step stem from an attempt that broke off.
+            known = ids.where(F.col("bucket").isin(buckets) & (F.col("step") != step))
+            fresh = new_only(fresh, known.select("_id").distinct(), "_id")
+        fresh = written(fresh, "fresh")
+        records = written(build(fresh.drop("_id")), "records")
+        done = records.select(F.col("puzzle_id").cast("string").alias("_id")).distinct()
+        records.write.mode("overwrite").json(f"{sink}/step={step}")
+        listed = done.withColumn("step", F.lit(step)).withColumn("bucket", _ledger_bucket("_id"))
+        listed.write.mode("append").partitionBy("bucket").parquet(ledger)
+        rest = fresh.join(done, "_id", "left_anti").drop("_id")
+        rest.write.mode("overwrite").parquet(f"{failed}/step={step}")
+        for name in past[:-1]:
+            removed(spark, f"{failed}/{name}")
+
+    past = children(spark, failed)
+    if past and not spark.read.parquet(f"{failed}/{past[-1]}").isEmpty():
+        batch, again = past[-1].removeprefix("step=").split("-")
+        work(None, f"{batch}-{int(again) + 1:06d}")
+    _run(stream, lambda batch, number: work(batch, f"{number:010d}-{0:06d}"), checkpoint)
 
 
 def resume_eval_stream(
@@ -58,27 +91,19 @@ def resume_eval_stream(
 
 
 def round_log_stream(spark: SparkSession, logs: str, sink: str, checkpoint: str) -> None:
-    """Append the metric lines of new round logs, in one folder `run=…` per run."""
-    lines = (
-        spark.readStream.schema("value string, run string")
-        .text(logs)
-        .select(
-            F.col("value").alias("line"),
-            "run",
-            F.col("_metadata.file_name").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-        )
-    )
+    """Append the metric lines that were added to the logs, in one folder `run=…` per run."""
+    spark.dataSource.register(GrowingLogs)
+    lines = spark.readStream.format("growing_logs").load(logs)
 
-    def step(batch, _):
+    def step(batch, number):
         placed = batch.select(
             "run",
-            F.struct("file", "block", F.monotonically_increasing_id().alias("line")).alias("line_no"),
+            F.struct("file", "place").alias("line_no"),
             logged_number(F.col("line"), PASS_RATE).alias("pass_rate"),
             logged_number(F.col("line"), VAL_LOSS).alias("val_loss"),
         )
         found = placed.where(F.col("pass_rate").isNotNull() | F.col("val_loss").isNotNull())
-        found.write.mode("append").parquet(sink)
+        found.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     _run(lines, step, checkpoint)
 
