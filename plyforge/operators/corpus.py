@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plyforge.functions.notation import GAME_START, numbered_text, parse_half_moves
 from plyforge.functions.scoring import shuffle_key
-from plyforge.scale import hash_cut
+from plyforge.scale import hash_cut, hash_cuts
 
 # Seed, fewest games without a warning, repeat counts, prompt depths.
 SEED = 1997
@@ -89,13 +89,12 @@ def finetune_corpus(
     if dedup:
         legal = legal.groupBy("pgn").agg(F.min("game_id").alias("game_id"))
     order = shuffle_key(seed, F.lit("validation"), "game_id")
-    n = legal.count()
+    share = lambda n: max(20, n // 10)
+    n, (cut,) = hash_cuts(legal, order, lambda n: [share(n)])
     if n < FEW_GAMES:
         warnings.warn(f"only {n} legal games", stacklevel=2)
-    held = max(20, n // 10)
-    if n <= held and openings.isEmpty() and anchor.isEmpty():
+    if n <= share(n) and openings.isEmpty() and anchor.isEmpty():
         raise ValueError("no training games are left")
-    cut = hash_cut(legal, order, held)
     parts = [
         legal.select(
             F.when(order <= cut, "validation").otherwise("train").alias("split"),
@@ -125,11 +124,10 @@ def finetune_corpus(
 
 def pair_split(pairs: DataFrame, *ids, share=0.1, seed=SEED) -> DataFrame:
     """Add `split`: the first max(10, share of n) pairs in random order are for validation."""
-    total = pairs.count()
+    order = shuffle_key(seed, *ids)
+    total, (cut,) = hash_cuts(pairs, order, lambda n: [max(10, int(n * share))])
     if total < 10:
         raise ValueError(f"too few pairs: {total}")
-    order = shuffle_key(seed, *ids)
-    cut = hash_cut(pairs, order, max(10, int(total * share)))
     return pairs.withColumn("split", F.when(order <= cut, "validation").otherwise("train"))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from plyforge.functions.scoring import shuffle_key
 from plyforge.scale import lookup_join
+from plyforge.session import written
 
 # Largest loss of a good move, smallest loss of a bad one, pairs kept.
 GOOD_LOSS = 30
@@ -20,7 +21,10 @@ def best_candidate(candidates: DataFrame) -> DataFrame:
 
 def candidate_losses(candidates: DataFrame, good=GOOD_LOSS, bad=BAD_LOSS) -> DataFrame:
     """Add `loss` to the best line and `side`: good, bad, or null between the two bands."""
-    scored = lookup_join(candidates.where(F.col("cp").isNotNull()), best_candidate(candidates), "position")
+    best = F.min_by("cp", "pv_rank").alias("best_cp")
+    known = written(candidates.groupBy("position").agg(best, F.count(F.lit(1)).alias("n")), "best")
+    rows = candidates.where(F.col("cp").isNotNull())
+    scored = lookup_join(rows, known.drop("n"), "position", counts=known.select("position", "n"))
     loss = F.col("best_cp") - F.col("cp")
     return scored.withColumn("loss", loss).withColumn(
         "side", F.when(F.col("loss") <= good, "good").when(F.col("loss") >= bad, "bad")
@@ -39,6 +43,7 @@ def pair_candidates(
     very many candidates is cut before the shuffle and its pairs are never listed.
     """
     sides = candidate_losses(candidates, good, bad).where(F.col("side").isNotNull())
+    sides = written(sides.select("position", "side", "pv_rank", "move", "cp"), "sides")
     totals = sides.groupBy("position").agg(
         F.count_if(F.col("side") == "good").alias("n_good"),
         F.count_if(F.col("side") == "bad").alias("n_bad"),

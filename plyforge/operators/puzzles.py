@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from plyforge.functions.notation import numbered_text, words
 from plyforge.functions.scoring import shuffle_key
-from plyforge.scale import hash_cut, lookup_join, match_rows, prefix_sum
-from plyforge.session import checkpointed
+from plyforge.scale import hash_cuts, lookup_join, match_rows
 
 # Default rating band, themes wanted and left out, split seed.
 RATING_LOW, RATING_HIGH = 1200, 1900
@@ -16,6 +15,8 @@ WANTED_THEMES = ("middlegame",)
 UNWANTED_THEMES = ("opening", "endgame")
 SPLIT_SEED = 1997
 
+QUANTILE_BINS = 256
+
 
 def rating_band(df: DataFrame, low=RATING_LOW, high=RATING_HIGH, rating="Rating") -> DataFrame:
     """Ratings inside the inclusive band; a rating that is not a number drops the row."""
@@ -99,15 +100,12 @@ def skip_reasons(attempts: DataFrame) -> DataFrame:
 def split_80_10_10(df: DataFrame, key="puzzle_id", seed=SPLIT_SEED) -> DataFrame:
     """Add `split`: one fifth, rounded up, is held out; half of it, rounded up, is the test set."""
     order = shuffle_key(seed, key)
-    held = -(-df.count() // 5)
-    test = -(-held // 2)
-    if held == 0:
+    held = lambda n: -(-n // 5)
+    total, (test, validation) = hash_cuts(df, order, lambda n: [-(-held(n) // 2), held(n)])
+    if total == 0:
         return df.withColumn("split", F.lit("train"))
     return df.withColumn(
-        "split",
-        F.when(order <= hash_cut(df, order, test), "test")
-        .when(order <= hash_cut(df, order, held), "validation")
-        .otherwise("train"),
+        "split", F.when(order <= test, "test").when(order <= validation, "validation").otherwise("train")
     )
 
 
@@ -122,50 +120,96 @@ def theme_histogram(df: DataFrame, themes="themes", k=20) -> DataFrame:
     )
 
 
-def exact_quantiles(df: DataFrame, column: str, shares) -> list:
-    """Linear-interpolation quantiles from value counts and their running totals."""
-    counts = checkpointed(
-        df.where(F.col(column).isNotNull())
-        .groupBy(F.col(column).cast("double").alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    total = counts.agg(F.sum("n")).first()[0]
-    if not total:
-        return [None] * len(shares)
-    places = [(total - 1) * share for share in shares]
-    ranks = sorted({rank for place in places for rank in (floor(place), min(floor(place) + 1, total - 1))})
-    placed = prefix_sum(counts, "value", F.col("n"), "start")
-    holds = lambda rank: (F.col("start") <= rank) & (rank < F.col("start") + F.col("n"))
-    row = placed.agg(*[F.max(F.when(holds(rank), F.col("value"))) for rank in ranks]).first()
-    at = dict(zip(ranks, row))
-    low = lambda place: at[floor(place)]
-    high = lambda place: at[min(floor(place) + 1, total - 1)]
-    return [low(p) + (high(p) - low(p)) * (p - floor(p)) for p in places]
+def values_at(df: DataFrame, ranks: dict, ends: dict) -> dict:
+    """{(column, rank): value} for ranks counted from 0 among the finite values of each column.
+
+    `ends` holds the smallest and largest of them. Every pass counts the values of all open ranges
+    in `QUANTILE_BINS` parts and goes on with the part that holds a rank, between the smallest and
+    largest value found in it, until these are equal. The number of passes depends on the values
+    and not on the number of columns.
+    """
+    finite = lambda name: F.col(name).cast("double")
+    cells = F.array(*(F.struct(F.lit(name).alias("column"), finite(name).alias("value")) for name in ends))
+    values = df.select(F.explode(cells).alias("c")).select("c.*").where("abs(value) < double('infinity')")
+    open_ranks = {(name, rank): (*ends[name], rank) for name, own in ranks.items() for rank in own}
+    found = {}
+    while True:
+        for target in [target for target, (low, high, _) in open_ranks.items() if low == high]:
+            found[target] = open_ranks.pop(target)[0]
+        if not open_ranks:
+            return found
+        parts = sorted({(name, low, high) for (name, _), (low, high, _) in open_ranks.items()})
+        spans = df.sparkSession.createDataFrame(parts, "column string, low double, high double")
+        inside = values.join(F.broadcast(spans), "column").where("value BETWEEN low AND high")
+        share = (F.col("value") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)
+        part = F.least(F.floor(share * QUANTILE_BINS), F.lit(QUANTILE_BINS - 1)).alias("part")
+        counted = inside.groupBy("column", "low", "high", part).agg(
+            F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most")
+        )
+        bins = {}
+        for row in counted.collect():
+            bins.setdefault((row["column"], row["low"], row["high"]), []).append(row)
+        for (name, rank), (low, high, left) in list(open_ranks.items()):
+            for row in sorted(bins[name, low, high], key=lambda row: row["part"]):
+                if left < row["n"]:
+                    open_ranks[name, rank] = (row["least"], row["most"], left)
+                    break
+                left -= row["n"]
 
 
 def describe_numeric(df: DataFrame, columns) -> DataFrame:
-    """Count, mean, sample deviation, extremes and exact quartiles, one row per column."""
-    quartiles = {name: exact_quantiles(df, name, (0.25, 0.5, 0.75)) for name in columns}
-    stats = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("column"),
-                    F.count(name).alias("count"),
-                    F.avg(name).alias("mean"),
-                    F.stddev_samp(name).alias("std"),
-                    F.min(name).cast("double").alias("min"),
-                    *[
-                        F.lit(value).cast("double").alias(label)
-                        for label, value in zip(("q25", "q50", "q75"), quartiles[name])
-                    ],
-                    F.max(name).cast("double").alias("max"),
-                )
-                for name in columns
-            ]
-        )
-    )
-    return df.agg(stats.alias("s")).select("s.*")
+    """Count, mean, sample deviation, extremes and exact quartiles, one row per column.
+
+    Quartiles are interpolated linearly; infinite values and NaN count at the ends of the order.
+    """
+    shares = (0.25, 0.5, 0.75)
+    value = lambda name: F.col(name).cast("double")
+    is_finite = lambda name: F.abs(value(name)) < float("inf")
+    row = df.agg(
+        *[
+            F.struct(
+                F.count(name).alias("count"),
+                F.avg(name).alias("mean"),
+                F.stddev_samp(name).alias("std"),
+                F.min(name).cast("double").alias("min"),
+                F.max(name).cast("double").alias("max"),
+                F.count_if(value(name) == float("-inf")).alias("below"),
+                F.count_if(is_finite(name)).alias("finite"),
+                F.count_if(value(name) == float("inf")).alias("above"),
+                F.min(F.when(is_finite(name), value(name))).alias("low"),
+                F.max(F.when(is_finite(name), value(name))).alias("high"),
+            ).alias(name)
+            for name in columns
+        ]
+    ).first()
+    places = {name: [(row[name]["count"] - 1) * share for share in shares] for name in columns if row[name]["count"]}
+    around = lambda name, place: (floor(place), min(floor(place) + 1, row[name]["count"] - 1))
+    ranks = {
+        name: {r - row[name]["below"] for place in own for r in around(name, place)} for name, own in places.items()
+    }
+    ranks = {name: {r for r in own if 0 <= r < row[name]["finite"]} for name, own in ranks.items()}
+    ends = {name: (row[name]["low"], row[name]["high"]) for name, own in ranks.items() if own}
+    found = values_at(df, ranks, ends) if ends else {}
+
+    def at(name, rank):
+        rank -= row[name]["below"]
+        if rank < 0:
+            return float("-inf")
+        if rank < row[name]["finite"]:
+            return found[name, rank]
+        return float("inf") if rank < row[name]["finite"] + row[name]["above"] else float("nan")
+
+    def quartile(name, place):
+        low, high = (at(name, rank) for rank in around(name, place))
+        return low if low == high or place == floor(place) else low + (high - low) * (place - floor(place))
+
+    rows = []
+    for name in columns:
+        own = row[name]
+        quartiles = [quartile(name, place) for place in places.get(name, [])] or [None] * 3
+        rows.append((name, own["count"], own["mean"], own["std"], own["min"], *quartiles, own["max"]))
+    kinds = "column string, count long, mean double, std double, min double, q25 double, q50 double, q75 double, max double"
+    return df.sparkSession.createDataFrame(rows, kinds)
 
 
 def dataset_card_stats(df: DataFrame, rating="rating", themes="themes", k=8) -> DataFrame:

@@ -163,12 +163,15 @@ def reached_positions(games: DataFrame, transitions: DataFrame, start, max_ply=3
 
 def unique_positions(positions: DataFrame, key="position", order=("game_id", "ply")) -> DataFrame:
     """One row per position, the first in order; a partial aggregate, since all games share
-    their first position."""
-    others = [name for name in positions.columns if name != key]
-    first = positions.groupBy(key).agg(
-        F.min_by(F.struct(*others), F.struct(*order)).alias("_first")
+    their first position. `order` is a whole number and one below 2^31, which make one number."""
+    game, ply = order
+    place = F.col(game).cast("decimal(20, 0)") * F.lit(1 << 31).cast("decimal(10, 0)") + F.col(ply).cast("decimal(10, 0)")
+    first = positions.groupBy(key).agg(F.min(place).alias("_place"))
+    span = f"CAST({1 << 31} AS DECIMAL(10, 0))"
+    part = lambda text, name: F.expr(text).cast(dict(positions.dtypes)[name]).alias(name)
+    return first.select(
+        key, part(f"(_place - pmod(_place, {span})) DIV {span}", game), part(f"pmod(_place, {span})", ply)
     )
-    return first.select(key, "_first.*").select(*positions.columns)
 
 
 def valid_sequences(

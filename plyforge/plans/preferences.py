@@ -29,15 +29,15 @@ def opening_positions(
 def branching_positions(games: DataFrame, transitions: DataFrame, start, max_half_moves) -> DataFrame:
     """The same for (game_id, moves)."""
     reached = reached_positions(games, transitions, start, max_half_moves)
-    first = unique_positions(reached)
+    first = unique_positions(reached.select("position", "game_id", "ply"))
     open_ended = (
         transitions.groupBy(F.col("state").cast("string").alias("position"))
         .agg(F.count(F.lit(1)).alias("n_moves"))
         .where(F.col("n_moves") >= 2)
     )
-    kept = keep_keys(first, open_ended, "position").select(
-        "position", "game_id", "ply", numbered_text(F.col("played")).alias("context")
-    )
+    kept = lookup_join(keep_keys(first, open_ended, "position"), games.select("game_id", "moves"), "game_id")
+    played = F.expr("slice(moves, 1, ply)")
+    kept = kept.select("position", "game_id", "ply", numbered_text(played).alias("context"))
     return written(kept, "positions")
 
 

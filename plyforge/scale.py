@@ -9,10 +9,10 @@ Three rules are kept here so the operators need not repeat them:
 
 from math import ceil
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from plyforge.session import checkpointed
+from plyforge.session import checkpointed, written
 
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
@@ -63,6 +63,26 @@ def fits_broadcast(df: DataFrame, max_rows=BROADCAST_ROWS, max_bytes=BROADCAST_B
     return row["rows"] <= max_rows and (row["bytes"] or 0) <= max_bytes
 
 
+def _is_derived(df: DataFrame) -> bool:
+    """Whether the rows come out of more than a filtered scan, so that a second run costs much."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return any(step in plan for step in ("Join", "Aggregate", "Window", "Generate", "MapIn", "Sort", "Repartition"))
+
+
+def sized(df: DataFrame, max_rows=BROADCAST_ROWS, max_bytes=BROADCAST_BYTES) -> tuple:
+    """(rows, whether they are few and short enough to broadcast).
+
+    Derived rows are written once and measured on the way, so that the check does not run their
+    lineage a second time. A scan is only counted.
+    """
+    if not _is_derived(df):
+        return df, fits_broadcast(df, max_rows, max_bytes)
+    seen = Observation()
+    size = F.sum(_row_bytes(df).cast("long")).alias("bytes")
+    table = written(df.observe(seen, F.count(F.lit(1)).alias("rows"), size), "side")
+    return table, seen.get["rows"] <= max_rows and (seen.get["bytes"] or 0) <= max_bytes
+
+
 def _any_null(columns):
     test = F.lit(False)
     for name in columns:
@@ -102,7 +122,9 @@ def lookup_join(
     rows per key passes them as `counts` with a column `n`.
     """
     on = [on] if isinstance(on, str) else list(on)
-    if fits_broadcast(dim, max_rows) if small is None else small:
+    if small is None:
+        dim, small = sized(dim, max_rows)
+    if small:
         return fact.join(F.broadcast(dim), on, how)
 
     keyed = fact.where(~_any_null(on))
@@ -225,33 +247,52 @@ def order_cut(df: DataFrame, key: str, n: int, collect_rows=COLLECT_ROWS):
             left -= count
 
 
-def hash_cut(df: DataFrame, key: Column, n: int, collect_rows=COLLECT_ROWS):
-    """The hex string h for which exactly `n` rows have the unique hash `key` <= h.
+def hash_cuts(df: DataFrame, key: Column, ranks, collect_rows=COLLECT_ROWS) -> tuple:
+    """(number of rows, cuts): for each rank n the hex string h for which exactly `n` rows have the
+    unique hash `key` <= h.
 
-    Returns None for n <= 0. With fewer than `n` rows it is ABOVE_HEX, which lets every row pass. Counting by ever longer prefixes finds the cut without sorting the rows, so an exact
-    split or sample costs a few narrow counting passes and a map-only filter.
+    `ranks` is a list, or a function from the number of rows to one. A cut is None for n <= 0, and
+    ABOVE_HEX, which lets every row pass, for more than there are. All ranks are narrowed together
+    by counting ever longer prefixes, so an exact split or sample costs a few narrow passes, most
+    often two, and a map-only filter, however many parts it has.
     """
-    if n <= 0:
-        return None
-    keys, prefix, left = df.select(key.alias("_key")), "", n
-    while True:
-        width = len(prefix) + HEX_STEP
-        inside = keys.where(F.col("_key").startswith(prefix)) if prefix else keys
-        counts = inside.groupBy(F.substring("_key", 1, width).alias("_prefix")).count().collect()
-        if left > sum(row["count"] for row in counts):
-            return ABOVE_HEX
-        for found, count in sorted((row["_prefix"], row["count"]) for row in counts):
-            if left <= count:
-                prefix = found
-                break
-            left -= count
-        if count <= collect_rows:
-            rows = sorted(row[0] for row in keys.where(F.col("_key").startswith(prefix)).collect())
-            if left < count and rows[left - 1] == rows[left]:
-                raise ValueError("the ordering key is not unique")
-            return rows[left - 1]
+    keys = df.select(key.alias("_key")).where(F.col("_key").isNotNull())
+    total, open_ranks, cuts, width = None, {}, [], 0
+    while total is None or open_ranks:
+        prefixes = sorted({prefix for prefix, _, _ in open_ranks.values()})
+        inside = keys.where(F.substring("_key", 1, width).isin(prefixes)) if width else keys
+        if width and max(size for _, _, size in open_ranks.values()) <= collect_rows:
+            rows = sorted(row[0] for row in inside.collect())
+            for i, (prefix, left, size) in open_ranks.items():
+                own = [value for value in rows if value.startswith(prefix)]
+                if left < size and own[left - 1] == own[left]:
+                    raise ValueError("the ordering key is not unique")
+                cuts[i] = own[left - 1]
+            return total, cuts
         if width >= 30:
             raise ValueError("the ordering key is not unique")
+        counts = inside.groupBy(F.substring("_key", 1, width + HEX_STEP).alias("_prefix")).count().collect()
+        counts = sorted((row["_prefix"], row["count"]) for row in counts)
+        if total is None:
+            total = sum(count for _, count in counts)
+            ranks = ranks(total) if callable(ranks) else ranks
+            cuts = [None if n <= 0 else ABOVE_HEX for n in ranks]
+            open_ranks = {i: ("", n, total) for i, n in enumerate(ranks) if 0 < n <= total}
+        for i, (prefix, left, _) in open_ranks.items():
+            for found, count in counts:
+                if not found.startswith(prefix):
+                    continue
+                if left <= count:
+                    open_ranks[i] = (found, left, count)
+                    break
+                left -= count
+        width += HEX_STEP
+    return total, cuts
+
+
+def hash_cut(df: DataFrame, key: Column, n: int, collect_rows=COLLECT_ROWS):
+    """The cut of `hash_cuts` for one rank."""
+    return None if n <= 0 else hash_cuts(df, key, [n], collect_rows)[1][0]
 
 
 def keep_keys(big: DataFrame, wanted: DataFrame, on) -> DataFrame:
@@ -267,8 +308,7 @@ def match_rows(wanted: DataFrame, big: DataFrame, on, how="left", shrink=None) -
     that checking its size and joining it do not read `big` again.
     """
     on = [on] if isinstance(on, str) else list(on)
-    keys = wanted.select(*on).distinct()
-    few = fits_broadcast(keys)
+    keys, few = sized(wanted.select(*on).distinct())
     cut = lookup_join(big, keys, on, "left_semi", small=few)
     cut = cut if shrink is None else shrink(cut)
     if few:

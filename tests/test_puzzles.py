@@ -1,3 +1,5 @@
+import random
+
 import pytest
 import zstandard
 
@@ -128,3 +130,21 @@ def test_first_failing_check_decides(spark):
     assert {r["outcome"]: r["n"] for r in pz.skip_reasons(df).collect()} == {
         "no move": 1, "move not legal": 1, "no source game": 1, "position not found": 1, "written": 1
     }
+
+
+def test_quartiles_of_several_columns(spark):
+    draw = random.Random(12)
+    inf, nan = float("inf"), float("nan")
+    rows = [(draw.randint(0, 9), draw.gauss(0, 1e6), draw.choice([1.5, -2.5, None]), None) for _ in range(700)]
+    df = spark.createDataFrame(rows, "a int, b double, c double, d double")
+    found = {row["column"]: row for row in pz.describe_numeric(df, ["a", "b", "c", "d"]).collect()}
+    for i, name in enumerate("abc"):
+        values = sorted(row[i] for row in rows if row[i] is not None)
+        for share, label in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75")):
+            place = (len(values) - 1) * share
+            low, high = values[int(place)], values[min(int(place) + 1, len(values) - 1)]
+            assert found[name][label] == pytest.approx(low + (high - low) * (place - int(place)))
+    assert found["d"]["count"] == 0 and found["d"]["q50"] is None
+    edge = spark.createDataFrame([(-inf,), (-1e308,), (1e308,), (inf,), (nan,)], "x double")
+    row = pz.describe_numeric(edge, ["x"]).first()
+    assert (row["q25"], row["q50"], row["q75"]) == (-1e308, 1e308, inf)

@@ -100,3 +100,23 @@ def test_match_rows(spark, monkeypatch, few):
     shrink = lambda rows: rows.groupBy("k").agg(F.min("id").alias("first"))
     found = scale.match_rows(wanted, big, "k", shrink=shrink)
     assert {tuple(r) for r in found.collect()} == {(1, "a", 1), (1, "b", 1), (9, "c", None), (None, "d", None)}
+
+
+@pytest.mark.parametrize("few", [1, 4, 10_000])
+def test_several_ranks_at_once(spark, few):
+    df = spark.range(500).withColumn("k", F.col("id"))
+    key = shuffle_key(5, "k")
+    wanted = [0, 1, 2, 250, 250, 499, 500, 501]
+    total, cuts = scale.hash_cuts(df, key, lambda n: wanted, collect_rows=few)
+    assert total == 500 and cuts[0] is None and cuts[-1] == scale.ABOVE_HEX
+    assert [df.where(key <= cut).count() for cut in cuts[1:]] == [1, 2, 250, 250, 499, 500, 500]
+    assert scale.hash_cuts(df.limit(0), key, lambda n: [n, 1]) == (0, [None, scale.ABOVE_HEX])
+
+
+def test_derived_sides_are_written_and_measured(spark):
+    side = spark.range(100).groupBy((F.col("id") % 7).alias("k")).count()
+    table, small = scale.sized(side)
+    assert small and table.inputFiles() and sorted(table.collect()) == sorted(side.collect())
+    assert not scale.sized(side, max_rows=6)[1]
+    scan = table.where("k > 2")
+    assert scale.sized(scan)[0] is scan
