@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plyforge.llm.graph import components
+from plyforge.scale import lookup_join
 from plyforge.session import written
 
 COSINE = 0.95
@@ -111,12 +112,14 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _coded(batches, parts, tables, probes):
+def _coded(batches, tables, probes):
+    """Codes of vectors; the parts of a code follow from how many vectors have the same length."""
     for batch in batches:
         sizes = np.asarray(batch.column("vector").value_lengths())
         for size in np.unique(sizes).tolist():
             rows = batch.filter(pa.array(sizes == size))
-            found = codes(_matrix(rows.column("vector")), parts[size], tables, probes)
+            parts = parts_for(rows.column("of_size")[0].as_py(), 1 << max(size - 1, 1).bit_length())
+            found = codes(_matrix(rows.column("vector")), parts, tables, probes)
             flat = found.reshape(len(found), -1)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -214,15 +217,12 @@ def near_duplicates(
         .join(classes, ["rep", "k1", "k2"])
         .dropDuplicates(["rep", "k1", "k2"])
     )
-    sizes = {
-        row["size"]: row["count"]
-        for row in classes.join(rows.select(*keys, F.size("vector").alias("size")).distinct(), ["k1", "k2"])
-        .groupBy("size").count().limit(10_000).collect()
-    }
-    parts = {size: parts_for(n, 1 << max(size - 1, 1).bit_length()) for size, n in sizes.items()}
+    lengths = classes.join(rows.select(*keys, F.size("vector").alias("size")).distinct(), ["k1", "k2"])
+    lengths = lengths.groupBy("size").agg(F.count(F.lit(1)).alias("of_size"))
     kind = dict(rows.dtypes)["vector"]
-    coded = reps.select("rep", "n", "vector").mapInArrow(
-        lambda batches: _coded(batches, parts, tables, probes),
+    laden = lookup_join(reps.withColumn("size", F.size("vector")), lengths, "size")
+    coded = laden.select("rep", "n", "vector", "of_size").mapInArrow(
+        lambda batches: _coded(batches, tables, probes),
         f"rep long, n long, vector {kind}, codes array<long>",
     )
     coded = written(coded, "codes")

@@ -180,11 +180,19 @@ def rules() -> tuple[Rule, ...]:
 
 
 def kept(found: list[tuple]) -> list[tuple]:
-    """Detections (start, end, priority, label) that do not lie inside a stronger or longer one."""
-    out = []
-    for one in sorted(set(found), key=lambda x: (-x[2], x[0] - x[1], x[0], x[3])):
-        if not any(a <= one[0] and one[1] <= b for a, b, _, _ in out):
+    """Detections (start, end, priority, label) that do not lie inside a stronger or longer one.
+
+    Of two with the same place and priority the first label stays. The detections are gone through
+    from the left, the longer first; for each priority the farthest end so far is known, and one
+    that ends before the farthest end of its own or a higher priority is inside such a one. What was
+    dropped lies in something stronger that stays, so it need not be told apart.
+    """
+    out, farthest = [], {}
+    for one in sorted(set(found), key=lambda x: (x[0], -x[1], -x[2], x[3])):
+        start, end, priority, _ = one
+        if not any(own >= priority and last >= end for own, last in farthest.items()):
             out.append(one)
+        farthest[priority] = max(end, farthest.get(priority, end))
     return sorted(out)
 
 
