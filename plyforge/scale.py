@@ -187,29 +187,26 @@ def prefix_sum(
     sums are then joined to the rows. A null or repeated `order` is an error.
     """
     narrow = checkpointed(df.select(order, weight.cast("long").alias("_weight")))
-    rows, distinct = narrow.agg(F.count(F.lit(1)), F.count_distinct(order)).first()
-    if rows != distinct:
-        raise ValueError(f"{order} is not unique")
+    rows, known = narrow.agg(F.count(F.lit(1)), F.count(order)).first()
+    if rows != known:
+        raise ValueError(f"{order} is null in a row")
     n_buckets = max(1, min(MAX_BUCKETS, ceil(rows / rows_per_bucket)))
     placed = narrow.withColumn("_bucket", range_bucket(narrow, order, n_buckets))
-    before = F.coalesce(
-        F.sum("_weight").over(
-            Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        ),
-        F.lit(0),
-    )
-    if n_buckets == 1:
-        sums = narrow.select(order, F.coalesce(F.sum("_weight").over(
-            Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(out))
-        return df.join(F.broadcast(sums), order)
+    inside = Window.partitionBy("_bucket").orderBy(order)
+    before = F.coalesce(F.sum("_weight").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     totals = placed.groupBy("_bucket").agg(F.sum("_weight").alias("_total"))
     scan = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(  # at most MAX_BUCKETS rows
         "_bucket", F.coalesce(F.sum("_total").over(scan), F.lit(0)).alias("_carried")
     )
+    # Equal keys are neighbours in one bucket, so they show up on the way.
+    seen, again = Observation(), (F.lag(order).over(inside) == F.col(order)).alias("_again")
     sums = placed.join(F.broadcast(carried), "_bucket").select(
-        order, (F.col("_carried") + before).alias(out)
+        order, (F.col("_carried") + before).alias(out), again
     )
+    sums = written(sums.observe(seen, F.count_if("_again").alias("again")).drop("_again"), "sums")
+    if seen.get["again"]:
+        raise ValueError(f"{order} is not unique")
     return df.join(F.broadcast(sums) if rows <= BROADCAST_ROWS else sums, order)
 
 
