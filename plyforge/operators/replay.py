@@ -2,7 +2,7 @@
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from plyforge.functions.notation import parse_half_moves
@@ -11,7 +11,7 @@ from plyforge.session import scratch_path, written
 # Fixed value: shortest move list that counts as a game.
 MIN_HALF_MOVES = 6
 
-STRETCH = 8
+STRETCH = 16
 EDGES_PER_BUCKET = 4_000_000
 
 
@@ -98,7 +98,8 @@ def game_states(games: DataFrame, transitions: DataFrame, start) -> DataFrame:
     listed = spark.read.schema(listed.schema).parquet(path)
     alive, walked = None, None
     with Relation(transitions) as edges:
-        for part in range(listed.agg(F.max("part")).first()[0] + 1 if not listed.isEmpty() else 0):
+        last = listed.agg(F.max("part")).first()[0]
+        for part in range(0 if last is None else last + 1):
             nodes = listed.where(F.col("part") == part).groupBy("node").agg(
                 F.any_value("parent").alias("parent"), F.any_value("moves").alias("moves")
             )
@@ -106,10 +107,12 @@ def game_states(games: DataFrame, transitions: DataFrame, start) -> DataFrame:
                 nodes = nodes.withColumn("state", F.lit(str(start)))
             else:
                 nodes = nodes.join(alive, "parent")
-            made = written(_walk(nodes.select("node", "moves", "state"), edges), "states")
+            seen, going = Observation(), F.count("state").alias("going")
+            made = _walk(nodes.select("node", "moves", "state"), edges)
+            made = written(made.observe(seen, going), "states")
             walked = made if walked is None else walked.unionByName(made)
             alive = made.where(F.col("state").isNotNull()).select(F.col("node").alias("parent"), "state")
-            if alive.isEmpty():
+            if not seen.get["going"]:
                 break
     if walked is None:
         return games.withColumn("states", F.transform("moves", lambda _: F.lit(None).cast("string"))).drop("_row")

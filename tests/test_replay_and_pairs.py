@@ -16,7 +16,7 @@ def machine():
 
 def test_walk_equals_a_plain_one(spark, machine):
     draw = random.Random(9)
-    games = [(i, [draw.choice("abc") for _ in range(draw.randint(0, 30))]) for i in range(60)]
+    games = [(i, [draw.choice("abc") for _ in range(draw.randint(0, 50))]) for i in range(60)]
     games += [(100 + i, moves + ["a", "b"]) for i, moves in games[:20]]  # shared beginnings
     expected = set()
     for game, moves in games:
