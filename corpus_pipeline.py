@@ -26,8 +26,8 @@ def frugal(stage):
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        read = docs.inputFiles() if _LEFT else []
-        for path in [path for path in _LEFT if not any(path in file for file in read)]:
+        read = "\n".join(docs.inputFiles()) if _LEFT else ""
+        for path in [path for path in _LEFT if path.rsplit("/", 1)[1] not in read]:
             removed(spark, path)
             _LEFT.remove(path)
         with noted_scratch() as made:
