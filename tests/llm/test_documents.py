@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from plyforge.llm import batches, decontamination, licenses, packing, toxicity
+from tests_llm_plain import licence_places
 
 ODD = [
     (1, "", "x"),
@@ -212,3 +213,16 @@ def test_suppression_equals_all_pairs_and_is_quick():
     many = [(i, i + 3, 10, "mit") for i in range(0, 200_000, 5)]
     started = time.perf_counter()
     assert len(licenses.kept(many)) == len(many) and time.perf_counter() - started < 2
+
+
+def test_base_places_equal_a_plain_search(spark):
+    draw = np.random.default_rng(7)
+    words = ["MIT", "License", "license,", "apache", "general", "public", "x", "é", "licenses", "1"]
+    texts = [" ".join(draw.choice(words, int(draw.integers(0, 60)))) for _ in range(150)] + ["", None, "mit-license" * 900]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = licenses.summary(licenses.scan(rows)).collect()
+    names = ["n_words", "n_base", "first_word", "last_word", "base_labels"]
+    assert {r["doc_id"]: tuple(r[name] for name in names) for r in found} == {
+        i: licence_places(text) for i, text in enumerate(texts)
+    }
+    assert licenses.summary(licenses.scan(rows.limit(0))).count() == 0

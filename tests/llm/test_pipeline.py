@@ -7,6 +7,7 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -122,6 +123,34 @@ def test_run_gives_the_same_pieces(spark, folder, outputs):
     assert set(keys) <= set(found.columns) and total(found) == total(outputs[5])
 
 
+def test_stages_with_clashing_columns_and_without_rows(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(40)
+    names = ["_score", "_digest", "_found", "component_id", "rep", "size", "key", "n", "_left"]
+    wide = docs.select("*", *(F.lit(name).alias(name) for name in names))
+    for name, given in (("wide", wide), ("none", wide.where("false"))):
+        for number, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+            before = given
+            path = f"{tmp_path}/{name}{number}"
+            stage(spark, given, folder).write.parquet(path)
+            given = spark.read.parquet(path)
+            assert given.columns == wide.columns
+            assert {row["doc_id"] for row in given.collect()} <= {row["doc_id"] for row in before.collect()}
+        assert all(row[name] == name for row in given.collect() for name in names)
+        assert (given.count() == 0) == (name == "none")
+        assert (corpus_pipeline.STAGES[4][1](spark, given, folder).count() == 0) == (name == "none")
+
+
+def test_scratch_of_finished_stages_goes(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(20)
+    held = corpus_pipeline.one_of_each_group(spark, docs, folder)
+    left = list(corpus_pipeline._LEFT)
+    assert left
+    corpus_pipeline.drop_contaminated(spark, held, folder)  # reads what the stage before it left
+    assert held.count() == 20
+    corpus_pipeline.drop_contaminated(spark, docs, folder)
+    assert not set(left) & set(corpus_pipeline._LEFT)
+
+
 def shown(value):
     return f"{value:.9g}" if isinstance(value, float) else None if value is None else str(value)
 
