@@ -76,23 +76,24 @@ def parse_fen_lines(lines: DataFrame) -> DataFrame:
 
     A split is worked through alone, and a short row per split stitches the borders: its last line
     may be the citation of the next split's first line, and its first line that is not blank the
-    solution of a position that the splits before left open.
+    solution of a position that the splits before left open. What follows a line is looked up from
+    the back: a frame that grows is carried on from row to row, one that shrinks is read anew each time.
     """
-    own = Window.partitionBy("source", "split").orderBy("place")
+    back = Window.partitionBy("source", "split").orderBy(F.desc("place"))
     filled = F.when(F.col("line") != "", F.col("line"))
-    following = F.first(filled, ignorenulls=True).over(own.rowsBetween(1, Window.unboundedFollowing))
-    placed = lines.select("*", F.lag("line").over(own).alias("_before"), following.alias("_after"))
+    following = F.last(filled, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    placed = lines.select("*", F.lead("line").over(back).alias("_before"), following.alias("_after"))
     fens = placed.where(_is_fen(F.col("line")))
     by_place = lambda name, pick: pick(name, F.when(F.col(name).isNotNull(), F.col("place")))
     ends = lines.withColumn("_filled", filled).groupBy("source", "split").agg(
         F.max_by("line", "place").alias("_last"), by_place("_filled", F.min_by).alias("_first")
     )
-    splits = Window.partitionBy("source").orderBy("split")
+    splits = Window.partitionBy("source").orderBy(F.desc("split"))
     borders = ends.select(
         "source",
         "split",
-        F.lag("_last").over(splits).alias("_cited"),
-        F.first("_first", ignorenulls=True).over(splits.rowsBetween(1, Window.unboundedFollowing)).alias("_solved"),
+        F.lead("_last").over(splits).alias("_cited"),
+        F.last("_first", ignorenulls=True).over(splits.rowsBetween(Window.unboundedPreceding, -1)).alias("_solved"),
     )
     rows = fens.join(borders, ["source", "split"]).select(
         "source",

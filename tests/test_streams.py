@@ -124,3 +124,10 @@ def test_fen_files_in_splits_equal_whole_files(spark, tmp_path, size):
         for name, value in before.items():
             spark.conf.set(name, value)
     assert sorted(found) == sorted(sp.parse_fen_puzzles(whole).drop("source").collect())
+
+
+def test_fen_lines_take_no_frame_that_shrinks(spark):
+    """Such a frame is read anew for each line, so the time would grow with the square of a split."""
+    lines = spark.createDataFrame([("a", 0, 0, "cite")], "source string, split long, place long, line string")
+    plan = sp.parse_fen_lines(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition" in plan and "unboundedfollowing" not in plan
