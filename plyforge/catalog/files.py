@@ -17,6 +17,7 @@ from plyforge.sources import games as src_games
 from plyforge.sources import puzzles as src
 from plyforge.sources import tables as tables
 from plyforge.streaming import jobs
+from plyforge.streaming.logs import file_system
 
 PART_ROWS = """SELECT p_partkey::VARCHAR AS PuzzleId, p_name AS Themes, CASE WHEN p_partkey % 8 = 0 THEN NULL ELSE p_size END AS Rating,
 'x, "' || p_brand || '"' AS OpeningTags FROM part"""
@@ -143,16 +144,26 @@ def resume_eval_stream(spark, sf):
     return spark.read.parquet(f"{folder}/out")
 
 
-def _put_logs(spark, made, place):
-    """Move the one file of each run to `run=…/log`, in place of an earlier, shorter one."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    system = path(made).getFileSystem(spark._jsc.hadoopConfiguration())
-    for run in tables.children(spark, made):
-        (file,) = tables.children(spark, f"{made}/{run}")
-        target = path(f"{place}/{run}/log")
-        system.mkdirs(target.getParent())
-        system.delete(target, False)
-        system.rename(path(f"{made}/{run}/{file}"), target)
+def _write_logs(lines, place):
+    """One file `run=…/log` per run, in place of an earlier, shorter one; rows (run, value) are sorted by run."""
+
+    def write(batches):
+        system, root = file_system(place)
+        last, file = None, None
+        for batch in batches:
+            for run, value in zip(batch.column("run").to_pylist(), batch.column("value").to_pylist()):
+                if file is None or run != last:
+                    if file is not None:
+                        file.close()
+                    folder = f"{root}/run={'__HIVE_DEFAULT_PARTITION__' if run is None else run}"
+                    system.create_dir(folder)
+                    last, file = run, system.open_output_stream(f"{folder}/log", buffer_size=1 << 16)
+                file.write(f"{value or ''}\n".encode())
+            yield batch.slice(0, 0)
+        if file is not None:
+            file.close()
+
+    lines.mapInArrow(write, lines.schema).write.format("noop").mode("overwrite").save()
 
 
 @query("round_log_stream", LOG_LINES.replace("SELECT run, min_by", "SELECT run::VARCHAR AS run, min_by"))
@@ -162,9 +173,8 @@ def round_log_stream(spark, sf):
     lines = log_lines(spark, sf).repartition("run").sortWithinPartitions("run", "line_no")
     shown = lines.select("run", F.col("line").alias("value"), "line_no")
     half = (shown.agg(F.max("line_no")).first()[0] or 0) // 2
-    for name, part in (("early", shown.where(F.col("line_no") < half)), ("late", shown)):
-        part.select("run", "value").write.partitionBy("run").text(f"{folder}/{name}")
-        _put_logs(spark, f"{folder}/{name}", f"{folder}/in")
+    for part in (shown.where(F.col("line_no") < half), shown):
+        _write_logs(part.select("run", "value"), f"{folder}/in")
         jobs.round_log_stream(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint")
     return jobs.round_summary(spark, f"{folder}/out")
 

@@ -4,6 +4,8 @@ The offset of a stream is a byte position for each file, so lines added to a fil
 read by the next one. A line counts once its line end is written.
 """
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -12,6 +14,8 @@ SCHEMA = "run string, file string, place bigint, line string"
 RANGE_BYTES = 32 << 20
 READ_BYTES = 1 << 20
 BATCH_LINES = 10_000
+RANGE_FILES = 500
+OPEN_FILES = 16
 
 
 class LogRanges(InputPartition):
@@ -21,6 +25,13 @@ class LogRanges(InputPartition):
         self.ranges = ranges
 
 
+def file_system(path: str) -> tuple:
+    """(file system, path there) of a plain path or a URI."""
+    if "://" in path or path.startswith("file:"):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path
+
+
 def _run_of(file: str) -> str | None:
     """The value of the folder `run=…` that a file is in."""
     for part in reversed(file.split("/")[:-1]):
@@ -79,21 +90,18 @@ class LogReader(DataSourceStreamReader):
     def initialOffset(self) -> dict:
         return {}
 
-    def _system(self):
-        return fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (
-            fs.LocalFileSystem(), self.path
-        )
-
     def latestOffset(self) -> dict:
-        system, root = self._system()
+        system, root = file_system(self.path)
+
+        def end(info) -> int:
+            with system.open_input_file(info.path) as stream:
+                return line_end(stream, info.size)
+
         found = system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
-        ends = {}
-        for info in found:
-            hidden = info.base_name.startswith(("_", "."))
-            if info.type == fs.FileType.File and info.size and not hidden:
-                with system.open_input_file(info.path) as stream:
-                    ends[info.path] = line_end(stream, info.size)
-        return {file: end for file, end in ends.items() if end}
+        found = [x for x in found if x.type == fs.FileType.File and x.size and not x.base_name.startswith(("_", "."))]
+        with ThreadPoolExecutor(OPEN_FILES) as pool:
+            ends = list(pool.map(end, found))
+        return {info.path: end for info, end in zip(found, ends) if end}
 
     def partitions(self, start: dict, end: dict) -> list:
         parts, size = [], self.range_bytes
@@ -102,7 +110,7 @@ class LogReader(DataSourceStreamReader):
             first = first if first <= stop else 0  # the file was written anew
             edges = [*range(first, stop, self.range_bytes), stop]
             for a, b in zip(edges, edges[1:]):
-                if size + b - a > self.range_bytes:
+                if size + b - a > self.range_bytes or len(parts[-1]) == RANGE_FILES:
                     parts.append([])
                     size = 0
                 parts[-1].append((file, first, a, b))
@@ -110,7 +118,7 @@ class LogReader(DataSourceStreamReader):
         return [LogRanges(ranges) for ranges in parts]
 
     def read(self, partition: LogRanges):
-        system, _ = self._system()
+        system, _ = file_system(self.path)
         held = []
 
         def batch():

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from plyforge.catalog import files
 from plyforge.sources import puzzles as sp
 from plyforge.streaming import jobs
 from plyforge.streaming.logs import LogReader, line_end, lines_of
@@ -57,6 +58,33 @@ def test_a_rewritten_log_is_read_from_its_start():
     assert reader.latestOffset() == {}
 
 
+def test_a_run_without_metric_lines_is_told_once(spark, tmp_path):
+    logs, sink, check = (str(tmp_path / name) for name in ("logs", "out", "check"))
+    (tmp_path / "logs" / "run=1").mkdir(parents=True)
+    (tmp_path / "logs" / "run=1" / "log").write_text("start\nstep 1\n")
+    jobs.round_log_stream(spark, logs, sink, check)
+    assert [tuple(row) for row in jobs.round_summary(spark, sink).collect()] == [("1", None, None)]
+    (tmp_path / "logs" / "run=1" / "log").write_text("start\nstep 1\nBest val loss: 2.5\n")
+    jobs.round_log_stream(spark, logs, sink, check)
+    assert [tuple(row) for row in jobs.round_summary(spark, sink).collect()] == [("1", None, 2.5)]
+
+
+def test_logs_are_written_by_the_tasks(spark, tmp_path):
+    place = (tmp_path / "in").as_uri()
+    rows = [(1, "a"), (1, None), (None, "c"), (2, "d")]
+    for part in (rows[:1], rows):
+        lines = spark.createDataFrame(part, "run long, value string").repartition("run").sortWithinPartitions("run")
+        files._write_logs(lines, place)
+    found = {p.parent.name: p.read_text() for p in (tmp_path / "in").rglob("log")}
+    assert sorted(found.pop("run=1").split("\n")) == ["", "", "a"]
+    assert found == {"run=2": "d\n", "run=__HIVE_DEFAULT_PARTITION__": "c\n"}
+
+
+def test_many_files_are_read_by_many_tasks():
+    parts = LogReader({"path": "/nowhere"}).partitions({}, {f"f{i:04d}": 10 for i in range(1100)})
+    assert [len(part.ranges) for part in parts] == [500, 500, 100]
+
+
 def test_failed_rows_are_tried_again(spark, tmp_path):
     source, sink = str(tmp_path / "in"), str(tmp_path / "out")
     games, built = {"a", "c"}, []
