@@ -3,10 +3,12 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from plyforge.functions.notation import TRAINER_PIECES
+from plyforge.operators import learning
 from plyforge.operators import tokens as tk
 
 
@@ -170,3 +172,26 @@ def test_invalid_bytes_are_replaced(spark):
     vocabulary = spark.createDataFrame([(0, "C3"), (1, "61")], "token_id int, hex string")
     df = spark.createDataFrame([([0, 1],)], "ids array<int>")
     assert tk.bpe_decode(df, vocabulary).first()["text"] == "�a"
+
+
+def test_a_batch_is_worked_through_in_slices(monkeypatch):
+    """Long pieces: memory follows a slice and the ids that are kept, not the rows of a batch."""
+    monkeypatch.setattr(learning, "SLICE_SYMBOLS", 8)
+    batch = pa.RecordBatch.from_pydict({"piece": ["abc", "d", "efgh", "x" * 20, "", "yz"], "freq": [1, 2, 3, 4, 5, 6]})
+    assert [part.num_rows for part in learning._slices([batch], "piece")] == [3, 1, 2]
+    found = list(learning._start(False)([batch]))
+    assert [len(part) for part in found] == [3, 1, 2]
+    whole = pa.Table.from_batches(found)
+    assert whole["ids"].to_pylist() == [[ord(c) for c in piece] for piece in batch["piece"].to_pylist()]
+    counts = [list(learning._count(whole.combine_chunks().to_batches()))[0]]
+    monkeypatch.setattr(learning, "SLICE_SYMBOLS", 1 << 20)
+    assert counts[0].to_pydict() == list(learning._count(whole.combine_chunks().to_batches()))[0].to_pydict()
+
+
+def test_rows_are_encoded_in_slices(monkeypatch):
+    monkeypatch.setattr(tk, "SLICE_BYTES", 4)
+    lists = pa.array([["skipped"], ["ab", "c"], None, ["d"], [], ["efghij", None], ["k"]], pa.list_(pa.string()))[1:]
+    parts = list(tk._row_slices(lists))
+    assert [len(part) for part in parts] == [4, 1, 1]
+    assert [row for part in parts for row in part.to_pylist()] == lists.to_pylist()
+    assert list(tk._row_slices(lists[:0])) == []
