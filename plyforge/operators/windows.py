@@ -20,39 +20,47 @@ def token_offsets(games: DataFrame, order: str, ids="ids", rows_per_bucket=ROWS_
 def training_windows(stream: DataFrame, block: int, stride=1, turn_ids=()) -> DataFrame:
     """(start, x, y, w) from games (start, ids) of one gapless token stream.
 
-    Window i holds tokens i…i+block−1 and, as targets, the tokens one further on. Games are
-    cut at multiples of `block`; each part goes to its own block and to the one before, so one
-    shuffle on the block number brings together all a block's windows need, across games.
-    A group is at most two blocks long.
+    Window i holds tokens i…i+block−1 and, as targets, the tokens one further on. The windows that
+    start in one block of the stream need its tokens and those after it up to the last target.
+    Where one game holds all of these, its windows are cut on the spot. Only the other blocks, at
+    most two for each game and those of games that are shorter, are put together by one shuffle on
+    the block number. A group is at most two blocks long.
     """
-    size = F.lit(block).cast("long")
-    end = F.col("start") + F.size("ids")
-    cuts = F.sequence(F.floor(F.col("start") / size), F.floor((end - 1) / size))
-    parts = F.transform(
-        cuts,
-        lambda k: F.struct(
-            k.alias("k"),
-            F.greatest(k * size, F.col("start")).alias("at"),
-            F.slice(
-                F.col("ids"),
-                (F.greatest(k * size, F.col("start")) - F.col("start") + 1).cast("int"),
-                (F.least((k + 1) * size, end) - F.greatest(k * size, F.col("start"))).cast("int"),
-            ).alias("ids"),
-        ),
+    size, step = F.lit(block).cast("long"), F.lit(stride).cast("long")
+    begin, end = F.col("start"), F.col("start") + F.size("ids")
+    # The last window of block k, and the end of what its windows need; nothing if none starts there.
+    final = lambda k: F.floor(((k + 1) * size - 1) / step).cast("long") * step
+    stop = lambda k: F.when(final(k) >= k * size, final(k) + size + 1).otherwise(k * size)
+    blocks = F.sequence(F.greatest(F.floor(begin / size) - 1, F.lit(0)), F.floor((end - 1) / size))
+    alone = lambda k: (begin <= k * size) & (end >= stop(k))
+    needed = lambda k: stop(k) > F.greatest(k * size, begin)
+    part = lambda k: F.struct(
+        k.alias("block"),
+        F.greatest(k * size, begin).alias("at"),
+        F.slice(
+            "ids",
+            (F.greatest(k * size, begin) - begin + 1).cast("int"),
+            (F.least(stop(k), end) - F.greatest(k * size, begin)).cast("int"),
+        ).alias("ids"),
     )
-    placed = (
-        stream.where(F.size("ids") > 0)
-        .select(F.explode(parts).alias("p"))
-        .select(F.explode(F.array(F.col("p.k"), F.col("p.k") - 1)).alias("block"), "p.at", "p.ids")
-        .where(F.col("block") >= 0)
+    games = stream.where(F.size("ids") > 0)
+    cut = lambda test: games.select(
+        F.explode(F.transform(F.filter(blocks, lambda k: needed(k) & test(k)), part)).alias("p")
     )
-    joined = placed.groupBy("block").agg(
-        F.flatten(
-            F.transform(
-                F.sort_array(F.collect_list(F.struct("at", "ids"))), lambda part: part["ids"]
-            )
-        ).alias("ids")
+    inside = cut(alone).select("p.block", "p.ids")
+    across = (
+        cut(lambda k: ~alone(k))
+        .select("p.*")
+        .groupBy("block")
+        .agg(
+            F.flatten(
+                F.transform(
+                    F.sort_array(F.collect_list(F.struct("at", "ids"))), lambda part: part["ids"]
+                )
+            ).alias("ids")
+        )
     )
+    joined = inside.unionByName(across)
     first = F.ceil(F.col("block") * size / F.lit(stride)).cast("long") * stride
     last = F.least((F.col("block") + 1) * size - 1, F.col("block") * size + F.size("ids") - size - 1)
     windows = joined.where(first <= last).select(

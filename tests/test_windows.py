@@ -73,3 +73,17 @@ def test_weighted_loss_is_a_mean_over_all_tokens(spark):
     assert mt.weighted_nll(df, 1).first()[0] == pytest.approx((1.3 / 2 + 4.0) / 2)
     assert mt.weighted_nll(df, 1, max_batches=1).first()[0] == pytest.approx(0.65)
     assert mt.weighted_nll(spark.createDataFrame([], schema), 1).first()[0] == float("inf")
+
+
+def test_windows_inside_a_game_are_not_shuffled(spark):
+    games = [(0, list(range(5000))), (1, [7] * 3), (2, list(range(1234)))]
+    stream = wn.token_offsets(spark.createDataFrame(games, "game_id long, ids array<int>"), "game_id")
+    windows = wn.training_windows(stream.select("start", "ids"), 10, 10)
+    rows = windows.collect()
+    tokens = [token for _, ids in games for token in ids]
+    assert sorted(r["start"] for r in rows) == list(range(0, len(tokens) - 10, 10))
+    assert all(r["y"] == tokens[r["start"] + 1 : r["start"] + 11] for r in rows)
+    leaves = windows._jdf.queryExecution().executedPlan().finalPhysicalPlan().collectLeaves()
+    stages = [leaves.apply(i) for i in range(leaves.size()) if leaves.apply(i).nodeName() == "ShuffleQueryStage"]
+    written = [stage.plan().metrics().apply("shuffleRecordsWritten").value() for stage in stages]
+    assert written and sum(written) <= 12  # of 624 blocks those at the ends of games
