@@ -246,3 +246,25 @@ def test_vectors_equal_brute_force(spark):
     assert found[606]["component_id"] == 605 and not found[606]["kept"] and found[606]["n_links"] == 1
     assert found[504]["component_id"] == found[3]["component_id"] and found[None]["n_links"] == 0
     assert embeddings.near_duplicates(table.where("false")).count() == 0
+
+
+def test_a_passage_meets_all_earlier_documents(spark):
+    """The copy's signatures stand in twelve earlier documents too, none of which is alike enough."""
+    body, rows = words(41000, 60), []
+    for i in range(12):
+        other = list(body)
+        for at in (5 + i, 25 + i, 45 + i):
+            other[at] = f"changed{i}x{at}"
+        rows.append((i, " ".join(words(42000 + i, 30) + other + words(43000 + i, 30))))
+    rows += [(i, " ".join(words(44000 + i, 30) + body + words(45000 + i, 30))) for i in (50, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = passages.repeated_passages(docs).where("other_doc_id = 50").collect()
+    assert [(r["doc_id"], r["first_word"], r["n_words"], r["similarity"]) for r in found] == [(60, 30, 60, 1.0)]
+
+
+def test_pairs_of_nodes_are_joined_in_parts(monkeypatch):
+    monkeypatch.setattr(passages, "PAIRS", 4)
+    own, rep = np.zeros(3, passages._KEPT), np.zeros(6, passages._REP)
+    rep["doc"] = [2, 0, 1, 0, 2, 1]
+    assert [part["doc"].tolist() for part in passages._parts(own, rep)] == [[0, 0], [1, 1], [2, 2]]
+    assert [len(part) for part in passages._parts(own[:0], rep)] == [6]
