@@ -1,5 +1,6 @@
 """Main text of pages and tool-call linking."""
 
+import random
 import time
 import json
 
@@ -139,3 +140,42 @@ def test_long_odd_pages_take_one_pass():
         started = time.perf_counter()
         html.blocks("<article>x</article>" + page)
         assert time.perf_counter() - started < 10
+
+
+def plain_levels(calls):
+    """Late dependencies on the worst path to each call, found call by call; None on and after a cycle."""
+    turns, out = {i: turn for i, turn, _ in calls}, {}
+    left = {i: [d for d in deps if d in turns] for i, _, deps in calls}
+    while ready := [i for i, deps in left.items() if all(d in out for d in deps)]:
+        for i in ready:
+            own = [out[d] + (turns[d] is None or turns[i] is None or turns[d] >= turns[i]) for d in left.pop(i)]
+            out[i] = max(own, default=0)
+    return out | dict.fromkeys(left)
+
+
+def test_all_calls_get_a_level(spark):
+    draw, conversations = random.Random(6), {}
+    for conv in range(8):
+        ids = [f"{conv}-{i}" for i in range(30)]
+        calls = []
+        for i in range(30):
+            near = [draw.choice(ids[max(0, i - 4) : i + (4 if conv > 1 else 0)] or ["gone"]) for _ in range(draw.randrange(3))]
+            calls.append((ids[i], draw.choice([i, i, i, None]) if conv == 7 else i, near))
+        conversations[conv] = calls
+    conversations[8] = [(f"{i}", i, [f"{i + 1}"]) for i in range(60)]  # all late
+    conversations[9] = [(f"{i}", i, [f"{(i + 1) % 7}"]) for i in range(7)] + [("x", 9, ["3", "y"]), ("y", 8, [])]
+    rows = [(conv, *call) for conv, calls in conversations.items() for call in calls]
+    df = spark.createDataFrame(rows, "conv_id long, call_id string, turn long, depends_on array<string>")
+    found = {(r["conv_id"], r["call_id"]): r["level"] for r in toolcalls.levels(df).collect()}
+    expected = {(c, i): level for c, calls in conversations.items() for i, level in plain_levels(calls).items()}
+    assert found == expected and found[8, "0"] == 59 and found[9, "x"] is None
+
+
+def test_a_chain_takes_few_rounds(spark, monkeypatch):
+    steps, kept = [], toolcalls.checkpointed
+    monkeypatch.setattr(toolcalls, "checkpointed", lambda df: steps.append(1) or kept(df))
+    calls = [(1, f"{i}", i, [f"{i + 1}"]) for i in range(120)]
+    df = spark.createDataFrame(calls, "conv_id long, call_id string, turn long, depends_on array<string>")
+    found = {r["call_id"]: r["level"] for r in toolcalls.levels(df).collect()}
+    assert found == {f"{i}": 119 - i for i in range(120)}
+    assert len(steps) <= 50  # 120 rounds if each took off one call
