@@ -179,3 +179,43 @@ def test_a_chain_takes_few_rounds(spark, monkeypatch):
     found = {r["call_id"]: r["level"] for r in toolcalls.levels(df).collect()}
     assert found == {f"{i}": 119 - i for i in range(120)}
     assert len(steps) <= 50  # 120 rounds if each took off one call
+
+
+def test_all_pages_and_all_text_take_part(spark):
+    """Loose text beside an article is cut and kept as elsewhere, and article text counts as a repeat."""
+    notice = "This site is run by a club of friends of old books"
+    story = "Once there was a river that ran up the hill at night"
+    page = lambda *parts: f"<body><nav>Home</nav>{''.join(parts)}</body>"
+    rows = [
+        (1, "http://a.org/1", page(f"<div>{notice}</div>", f"<article><p>{story}</p></article>", "<div>By A. Writer, a friend of birds</div>")),
+        (2, "http://a.org/2", page(f"<div>{notice}</div>", "<article><p>Another story</p></article>")),
+        (3, "http://a.org/3", page(f"<p>{story}</p>", "<p>All that we have read in this year</p>")),
+        (4, "http://b.org/3", page(f"<p>{story}</p>", "<p>All that we have read in this year</p>")),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html.main_text(pages).collect()} == {
+        1: f"{story} By A. Writer, a friend of birds",
+        2: "Another story",
+        3: "All that we have read in this year",
+        4: f"{story} All that we have read in this year",
+    }
+
+
+def test_repeated_runs_equal_those_of_all_pairs_of_pages(spark):
+    draw, tags = random.Random(3), ["div", "article", "nav", "p"]
+    pages = []
+    for i in range(24):
+        parts = [(draw.choice(tags), " ".join(draw.choice("ab") for _ in range(draw.randrange(1, 9)))) for _ in range(4)]
+        pages.append((i, f"http://{i % 3}.org/{i}", "".join(f"<{t}>{text}</{t}>" for t, text in parts)))
+    expected, run = {}, html.RUN
+    streams = {i: [(kind, w) for kind, text in html.blocks(page) for w in text.split()] for i, _, page in pages}
+    for i, own in streams.items():
+        covered = set()
+        for at in range(len(own) - run + 1):
+            prefix = [w for _, w in own[at : at + run]]
+            for j, other in streams.items():
+                if j % 3 == i % 3 and j != i and any([w for _, w in other[k : k + run]] == prefix for k in range(len(other) - run + 1)):
+                    covered.update(range(at, at + run))
+        expected[i] = " ".join(w for n, (kind, w) in enumerate(own) if kind == html.ARTICLE or kind == html.LOOSE and n not in covered)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html.main_text(df).collect()} == expected
