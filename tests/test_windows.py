@@ -1,9 +1,13 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from plyforge import scale
 from plyforge.operators import metrics as mt
+from plyforge.operators import tokens as tk
 from plyforge.operators import windows as wn
+from plyforge.plans import pretraining
 
 
 @pytest.mark.parametrize("block, stride", [(1, 1), (3, 1), (4, 4), (5, 3), (8, 20), (200, 1)])
@@ -87,3 +91,27 @@ def test_windows_inside_a_game_are_not_shuffled(spark):
     stages = [leaves.apply(i) for i in range(leaves.size()) if leaves.apply(i).nodeName() == "ShuffleQueryStage"]
     written = [stage.plan().metrics().apply("shuffleRecordsWritten").value() for stage in stages]
     assert written and sum(written) <= 12  # of 624 blocks those at the ends of games
+
+
+def test_tokens_of_many_games_are_not_shuffled(spark, monkeypatch):
+    """The offsets come to tokens in buckets; nothing else of a game goes through a shuffle."""
+    texts = [(7 * i, f"{i} ab abc cab " * (i % 9)) for i in range(60)]
+    corpus = spark.createDataFrame(texts, "order_key long, pgn string")
+    merges, vocabulary = tk.train_bpe(corpus.select(F.col("pgn").alias("text")), tk.split_pieces(F.col("text")), n_merges=6)
+    read = lambda: pretraining.window_dataset(corpus, merges, vocabulary, 16, 16)
+    rows = lambda df: sorted((r["start"], r["x"], r["y"]) for r in df.collect())
+    expected = rows(read())
+    for module in (pretraining, scale):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(pretraining, "ROWS_PER_BUCKET", 20)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        windows = read()
+        assert rows(windows) == expected and len(expected) > 20
+        plan = windows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert "Bucketed: true" in plan and "SortMergeJoin" not in plan
+    assert dealt and not [line for line in dealt if "hashpartitioning(order_key" in line and ", 3)" not in line]
